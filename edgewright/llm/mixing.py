@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from edgewright.session import cut
 
 #: Parts into which the texts of one source and size are ranked, so that no task ranks all of them.
 PARTS = 64
+#: Lower bounds in tokens of the classes of sizes that are settled one after the other.
+CLASSES = (1024, 64)
 
 
 def clean_source(col="source") -> F.Column:
@@ -54,13 +58,51 @@ def solve_tilts(sizes: DataFrame, goals: dict[str, tuple[float, int, float]], to
     return tilt
 
 
+def _copies_by_size(sizes: DataFrame, goals: dict[str, tuple[float, int]]) -> DataFrame:
+    """(src, n_tokens, rate, each, extra): every text of that size is copied `each` times, `extra` of them once more.
+
+    Sizes are settled from large to small in classes: the dual is solved for all sizes not yet settled, the rates of the
+    largest class become whole copies by systematic rounding along the sizes, and what that misses of a source's goal
+    is left to the smaller sizes. So a source misses its goal by no more than a text of the smallest class.
+    """
+    done, spark = [], sizes.sparkSession
+    left = {s: g for s, (g, _) in goals.items()}
+    edges = [*CLASSES, 0]
+    for at, least in enumerate(edges):
+        upper = edges[at - 1] if at else 1 << 31
+        rest = sizes.filter(F.col("n_tokens") < upper)
+        have = {r[0]: (float(r[1]), r[2]) for r in rest.groupBy("src").agg(F.sum(F.col("n") * F.col("n_tokens")), F.sum("n")).collect()}
+        caps = {s: float(goals[s][1]) for s in have}
+        full = {s for s in have if left[s] >= caps[s] * have[s][0] * (1 - 1e-9)}
+        none = {s for s in have if left[s] <= 0}
+        tilt = solve_tilts(rest.filter(~F.col("src").isin([*full, *none])), {s: (left[s], caps[s], have[s][0] / have[s][1]) for s in have if s not in full | none})
+        par = spark.createDataFrame([(s, tilt.get(s, 0.0), caps[s], have[s][0] / have[s][1], s in full, s in none) for s in have], "src string, tilt double, cap double, mean double, full boolean, none boolean")
+        cells = rest.filter(F.col("n_tokens") >= least).join(F.broadcast(par), "src")  # one row per target
+        free = F.exp(F.least(F.col("tilt") * F.col("n_tokens") / F.col("mean"), F.log("cap")))
+        cells = cells.withColumn("rate", F.when(F.col("full"), F.col("cap")).when(F.col("none"), 0.0).otherwise(free))
+        cells = cells.withColumn("each", F.floor(F.col("rate") + 1e-9)).withColumn("part_rate", F.greatest(F.col("rate") - F.col("each"), F.lit(0.0)))
+        # running sum of the fractional rates along the sizes of a source, in blocks of sizes
+        cells = cells.withColumn("w", F.col("part_rate") * F.col("n")).withColumn("block", F.expr("n_tokens div 64"))
+        upto = Window.partitionBy("src", "block").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = cells.groupBy("src", "block").agg(F.sum("w").alias("bw"))
+        before = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select("src", "block", F.coalesce(F.sum("bw").over(before), F.lit(0.0)).alias("start"))
+        mark = F.col("start") + F.coalesce(F.sum("w").over(upto), F.lit(0.0)) + 0.5
+        cells = cells.join(blocks, ["src", "block"]).withColumn("mark", mark)
+        cells = cut(cells.select("src", "n_tokens", "n", "rate", "each", F.least(F.floor(F.col("mark") + F.col("w")) - F.floor("mark"), F.col("n")).alias("extra")))
+        for s, used in cells.groupBy("src").agg(F.sum(F.col("n_tokens") * (F.col("n") * F.col("each") + F.col("extra")))).collect():
+            left[s] -= float(used)
+        done.append(cells.drop("n"))
+    return reduce(DataFrame.unionByName, done)
+
+
 def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text_hash, copy_no, source, n_tokens, rate, repeats, target_share, reached_share), a row per text drawn.
 
     Entropy balancing: the rates nearest to one copy of each text (in relative entropy, at most max_repeats) that give
     each source its share of the tokens are exponentially tilted in the text's size; Newton iterations solve the dual.
-    Rates become copies by systematic rounding along the sizes of a source, so a source misses its goal by about one
-    text at most and no text is drawn more than max_repeats times. `reached_share` is the source's share of all tokens
+    Rates become copies by systematic rounding along the sizes of a source, large ones first, so a source misses its
+    goal by about one small text and no text is drawn more than max_repeats times. `reached_share` is the source's share of all tokens
     drawn. total_tokens: size of the mix; by default the most that reaches all shares within max_repeats. Where a source
     cannot fill its share (no texts, or a larger total), the mix falls short there and reached_share says so.
 
@@ -77,34 +119,20 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     plan = [(s, share, cap, *have[s]) for s, share, cap in goals_in if s in have]
     weight = sum(p[1] for p in plan)
     size = total_tokens or min((cap * tokens / (share / weight) for _, share, cap, tokens, _ in plan), default=0.0)
-    goals = {s: (size * share / weight, cap, tokens / n) for s, share, cap, tokens, n in plan}
-    full = {s for s, _, cap, tokens, _ in plan if goals[s][0] >= cap * tokens * (1 - 1e-9)}
-    tilt = solve_tilts(sizes, {s: g for s, g in goals.items() if s not in full})
-    spark = documents.sparkSession
-    par = spark.createDataFrame([(s, tilt.get(s, 0.0), float(g[1]), g[2], s in full) for s, g in goals.items()], "src string, tilt double, cap double, mean double, full boolean")
-    rated = sizes.join(F.broadcast(par), "src")  # one row per target
-    rated = rated.withColumn("rate", F.when(F.col("full"), F.col("cap")).otherwise(F.exp(F.least(F.col("tilt") * F.col("n_tokens") / F.col("mean"), F.log("cap")))))
-    rated = rated.withColumn("part_rate", F.round(F.col("rate") - F.floor("rate"), 9))
-    # running sum of the fractional rates along the sizes of a source: first per source and size (few rows), then within
-    blocks = rated.withColumn("block", F.expr("n_tokens div 64"))
-    upto = Window.partitionBy("src", "block").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    inner = blocks.withColumn("in_block", F.coalesce(F.sum(F.col("part_rate") * F.col("n")).over(upto), F.lit(0.0)))
-    starts = blocks.groupBy("src", "block").agg(F.sum(F.col("part_rate") * F.col("n")).alias("w"))
-    starts = starts.select("src", "block", F.coalesce(F.sum("w").over(Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("start"))
-    cells = inner.join(starts, ["src", "block"]).select("src", "n_tokens", "rate", "part_rate", (F.col("start") + F.col("in_block")).alias("base"))
+    goals = {s: (size * share / weight, cap) for s, share, cap, _, _ in plan}
+    cells = _copies_by_size(sizes, goals)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PARTS)))
     counts = rows.groupBy("src", "n_tokens", "part").agg(F.count(F.lit(1)).alias("m"))
     before = F.sum("m").over(Window.partitionBy("src", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     cells = counts.withColumn("before", F.coalesce(before, F.lit(0))).drop("m").join(cells, ["src", "n_tokens"])
     ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("src", "n_tokens", "part").orderBy("doc_id", "text_hash")))
     ranked = ranked.join(cells, ["src", "n_tokens", "part"])
-    mark = F.col("base") + F.col("part_rate") * (F.col("before") + F.col("i")) + 0.5
-    extra = F.when(F.col("part_rate") > 0, F.floor(mark) - F.floor(mark - F.col("part_rate"))).otherwise(0)
-    drawn = ranked.withColumn("repeats", (F.floor("rate") + extra).cast("int")).filter("repeats > 0")
+    more = (F.col("before") + F.col("i") <= F.col("extra")).cast("int")
+    drawn = ranked.withColumn("repeats", (F.col("each") + more).cast("int")).filter("repeats > 0")
     drawn = cut(drawn.select("doc_id", "text_hash", F.col("src").alias("source"), "n_tokens", "rate", "repeats"))
     reached = {r[0]: r[1] for r in drawn.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens"))).collect()}
     total = float(sum(reached.values()) or 1)
-    shares = spark.createDataFrame([(s, share, reached.get(s, 0) / total) for s, share, _ in goals_in], "source string, target_share double, reached_share double")
+    shares = documents.sparkSession.createDataFrame([(s, share, reached.get(s, 0) / total) for s, share, _ in goals_in], "source string, target_share double, reached_share double")
     return drawn.join(F.broadcast(shares), "source")
 
 

@@ -45,7 +45,8 @@ def pieces_of(text: str, capacity: int, vocabulary: str) -> list[tuple[int, int,
     while pos[a] < pos[-1]:
         b = np.searchsorted(pos, pos[a] + capacity, side="right") - 1
         if pos[b] < pos[-1]:
-            w = words[np.searchsorted(words, b, side="right") - 1] if len(words) else a
+            i = np.searchsorted(words, b, side="right") - 1
+            w = words[i] if i >= 0 else a
             b = w if pos[w] > pos[a] + capacity * 63 // 64 else b
         out.append((len(out) + 1, int(chars[a]), int(chars[b]), int(pos[b] - pos[a])))
         a = b

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +34,15 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+#: The encoder's own splitter runs out of stack on longer runs of white space.
+_LONG_BLANK = re.compile(r"\s{20000}")
+
+
 def encode(vocabulary: str, text: str) -> list[int]:
-    return encoder(vocabulary)[0].encode_ordinary(text)
+    own = encoder(vocabulary)[0]
+    if len(text) > 20_000 and _LONG_BLANK.search(text):
+        return [i for word in regex.findall(WORDS, text) for i in own._encode_single_piece(word)]
+    return own.encode_ordinary(text)
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
