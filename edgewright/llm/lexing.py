@@ -134,11 +134,21 @@ _NOT_BRACKET = re.compile(r"[^()\[\]{}]+")
 
 def collapse(s: str) -> str:
     """Every bracketed group as its brackets alone."""
-    while True:
+    for _ in range(60):
         t = _INNER.sub(lambda m: "\x01\x02" if m[0][0] == "(" else "\x03\x04" if m[0][0] == "[" else "\x05\x06", s)
         if t == s:
             return s.translate({1: "(", 2: ")", 3: "[", 4: "]", 5: "{", 6: "}"})
         s = t
+    # very deep nesting: one pass with a stack instead of one pass per level
+    out, stack = [], []
+    for c in s.translate({1: "(", 2: ")", 3: "[", 4: "]", 5: "{", 6: "}"}):
+        if c in "([{":
+            stack.append((c, len(out)))
+        out.append(c)
+        if c in ")]}" and stack and stack[-1][0] + c in ("()", "[]", "{}"):
+            _, at = stack.pop()
+            out[at + 1 :] = [c]
+    return "".join(out)
 
 
 def lex(text: str, language: str) -> str:

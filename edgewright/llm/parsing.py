@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.llm.lexing import _EMPTY, _NOT_BRACKET, LANGUAGE, collapse, lex
+from edgewright.session import cut
 
-_ENDS, _STARTS = "i0s)]}", "i0s"
+#: All classes that a lexer emits.
+ALPHABET = "iw0s()[]{},;.:?=bo*upgatde@#PKkcNTXM^$FVQICmHB><!yhlDfOE"
 
 
 @lru_cache(maxsize=1)
 def forbidden_pairs() -> dict[str, set[str]]:
     """Per language the adjacent classes that no production of its grammar derives."""
-    alphabet = "iw0s()[]{},;.:?=bo*upgatde@#PKkcNTXM^$FVQICmHB><!yhlDfOE"
+    alphabet = ALPHABET
     cross = lambda a, b: {x + y for x in a for y in b}
     anywhere = cross("XM", alphabet) | cross(alphabet, "XM") | {"X$", "M$", "^X", "^M"}
     operators = cross("b", "b)],;:.=$N}?") | cross("=", "b)],;:.=$N}?") | cross(",", ",;.=$?:") | cross(".", "0s.,;:=b)]}$N") | cross("([", ".=,b?") | cross("uo", ")],;:=}$.") | cross("^", ")]},.b=:?*a")
@@ -59,11 +61,7 @@ PRODUCTIONS = {
     "py": r"^((H|h|l).*(:.*[N]|B)|[^Hhl].*N|f.*k.*N)$",
     "rb": r"^(?!.*(iii|[(,]ii[,)o*=]|s\.?s?i0)).*$",
 }
-_SPLIT = {
-    "rs": re.compile(r"[^;{]*(?:\{\}(?![;,.)\]}bo=?gK*])|;|\{\};|\{\}|$)"),
-}
-_STATEMENT = re.compile(r"(?:[^;{P]|\{(?!\})|\{\}(?=[;,.)\]bo=?gk*i]))*(?:\{\}|;|P|$)")
-_ROWS = "file_id long, lang string, kind string, a string, pos int"
+_ROWS = "file_id long, text_hash long, lang string, kind string, a string, pos int"
 
 
 def _top(s: str, lang: str) -> list[str]:
@@ -97,21 +95,23 @@ def lex_rows(text: str, lang: str) -> tuple[set[str], list[tuple[str, int]], set
 
 
 def token_rows(files: DataFrame) -> DataFrame:
-    """(file_id, lang, kind, a, pos): kind `pair`, `nest` or `stmt`; pairs and statements distinct per file."""
+    """(file_id, text_hash, lang, kind, a, pos): kind `pair`, `nest` or `stmt`; pairs and statements distinct per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, kinds, what, at = [], [], [], [], []
-            for f, ext, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            ids, keys, langs, kinds, what, at = [], [], [], [], [], []
+            for f, key, ext, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 lang = LANGUAGE[ext]
                 pairs, nest, stmts = lex_rows(text, lang)
                 n = len(pairs) + len(nest) + len(stmts)
                 ids += [f] * n
+                keys += [key] * n
                 langs += [lang] * n
                 kinds += ["pair"] * len(pairs) + ["nest"] * len(nest) + ["stmt"] * len(stmts)
                 what += [*pairs, *(c for c, _ in nest), *stmts]
                 at += [0] * len(pairs) + [i for _, i in nest] + [0] * len(stmts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(kinds, pa.string()), pa.array(what, pa.string()), pa.array(at, pa.int32())], ["file_id", "lang", "kind", "a", "pos"])
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(kinds, pa.string()), pa.array(what, pa.string()), pa.array(at, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["file_id", "text_hash", "lang", "kind", "a", "pos"])
 
     return files.mapInArrow(run, _ROWS)
 
@@ -121,58 +121,67 @@ def extension(path="file_path"):
 
 
 def parseable(files: DataFrame) -> DataFrame:
-    """(file_id, ext, current_code) of the files that have text and a language by extension."""
-    known = files.filter("current_code is not null and current_code <> '' and file_id is not null").select("file_id", extension().alias("ext"), "current_code")
+    """(file_id, text_hash, ext, current_code) of the files that have text and a language by extension."""
+    known = files.filter("current_code is not null and current_code <> '' and file_id is not null").select("file_id", F.xxhash64("current_code").alias("text_hash"), extension().alias("ext"), "current_code")
     return known.filter(F.col("ext").isin(list(LANGUAGE)))
 
 
 def permissible_pairs(spark) -> DataFrame:
-    """(lang, a): the pairs that are permitted, a fixed table of the grammars."""
-    alphabet = "iw0s()[]{},;.:?=bo*upgatde@#PKkcNTXM^$FVQICmHB><!yhlDfOE"
-    rows = [(lang, x + y) for lang, bad in forbidden_pairs().items() for x in alphabet for y in alphabet if x + y not in bad]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["lang", "a"]))
+    """(lang, kind, a): the pairs that are permitted, a fixed table of the grammars."""
+    rows = [(lang, "pair", x + y) for lang, bad in forbidden_pairs().items() for x in ALPHABET for y in ALPHABET if x + y not in bad]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["lang", "kind", "a"]))
 
 
 def unparsable_files(files: DataFrame) -> DataFrame:
     """(file_id, reason): files whose text breaks the grammar of their extension's language; reason `pair`, `nest` or `stmt`.
 
-    Null and empty texts, unknown extensions and null ids are no case; a file loaded twice counts once; line ends are
-    normalised and a byte order mark is skipped; extra columns are ignored; an empty table gives an empty result.
-    For Python the interpreter's own parser confirms the candidates afterwards.
+    Null and empty texts, unknown extensions and null ids are no case. A file loaded twice counts once; if its texts
+    differ, each is checked and one that breaks the grammar suffices. Line ends are normalised and a byte order mark
+    is skipped; extra columns are ignored; an empty table gives an empty result. Texts are not shuffled but for those of
+    Python candidates, which the interpreter's own parser confirms afterwards.
     """
-    spark = files.sparkSession
-    once = parseable(files).dropDuplicates(["file_id"])
-    rows = token_rows(once)
-    from edgewright.session import cut
-
-    # rows that violate a rule on their own are decided at once, so only these and open brackets are kept
-    allowed = F.broadcast(permissible_pairs(spark))  # fixed size
-    rules = F.create_map(*[x for k, v in PRODUCTIONS.items() for x in (F.lit(k), F.lit(v))])
-    stmt = F.lit(False)
-    for k, v in PRODUCTIONS.items():
-        stmt = stmt | ((F.col("lang") == k) & ~F.col("a").rlike(v))
-    del rules
-    suspects = cut(rows.join(allowed, ["lang", "a"], "left_anti").filter((F.col("kind") != "stmt") | stmt))
-    nest = suspects.filter("kind = 'nest'")
+    known = parseable(files)
+    key = ["file_id", "text_hash"]
+    allowed = F.broadcast(permissible_pairs(files.sparkSession))  # fixed size
+    broken = F.lit(False)
+    for lang, rule in PRODUCTIONS.items():
+        broken = broken | ((F.col("lang") == lang) & ~F.col("a").rlike(rule))
+    # what breaks a rule on its own is decided at once; of the brackets only those that two local reductions leave go on
+    suspects = cut(token_rows(known).join(allowed, ["lang", "kind", "a"], "left_anti").filter((F.col("kind") != "stmt") | broken))
+    nest = suspects.filter("kind = 'nest'").select(*key, "lang", "a", "pos").distinct()
     opens = F.col("a").isin("(", "[", "{")
-    depth = F.sum(F.when(opens, 1).otherwise(-1)).over(Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    depth = F.sum(F.when(opens, 1).otherwise(-1)).over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     leveled = nest.withColumn("d", depth).withColumn("level", F.when(opens, F.col("d")).otherwise(F.col("d") + 1))
-    at_level = Window.partitionBy("file_id", "level").orderBy("pos")
+    at_level = Window.partitionBy(*key, "level").orderBy("pos")
     matched = leveled.withColumn("before", F.lag("a").over(at_level)).withColumn("after", F.lead("a").over(at_level))
-    closes = F.when(F.col("a") == ")", "(").when(F.col("a") == "]", "[").when(F.col("a") == "}", "{")
-    bad_nest = matched.filter(F.when(opens, F.col("after").isNull() | F.col("after").isin("(", "[", "{")).otherwise(~F.col("before").eqNullSafe(closes)))
-    found = suspects.filter("kind <> 'nest'").select("file_id", "lang", "kind").unionByName(bad_nest.select("file_id", "lang", "kind"))
-    found = found.groupBy("file_id", "lang").agg(F.min("kind").alias("reason"))
-    return _confirmed(found, once)
-
+    opener = F.when(F.col("a") == ")", "(").when(F.col("a") == "]", "[").when(F.col("a") == "}", "{")
+    unmatched = F.when(opens, F.coalesce(F.col("after").isin("(", "[", "{"), F.lit(True))).otherwise(~F.col("before").eqNullSafe(opener))
+    found = suspects.filter("kind <> 'nest'").select(*key, "lang", "kind").unionByName(matched.filter(unmatched).select(*key, "lang", F.lit("nest").alias("kind")))
+    found = found.groupBy(*key, "lang").agg(F.min("kind").alias("reason"))
 
-def _confirmed(found: DataFrame, once: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch[[not _python_parses(t) for t in batch["current_code"]]][["file_id", "reason"]]
 
-    python = once.filter("ext = 'py'").join(found.filter("lang = 'py'"), "file_id").select("file_id", "reason", "current_code")
-    return found.filter("lang <> 'py'").select("file_id", "reason").unionByName(python.mapInPandas(run, "file_id long, reason string"))
+    python = known.filter("ext = 'py'").join(found.filter("lang = 'py'"), key).select("file_id", "reason", "current_code")
+    python = python.mapInPandas(confirm, "file_id long, reason string")
+    return found.filter("lang <> 'py'").select("file_id", "reason").unionByName(python).groupBy("file_id").agg(F.min("reason").alias("reason"))
+
+
+def parse_rates(files: DataFrame, reports: DataFrame) -> DataFrame:
+    """(repository, language, n_files, n_unparsable, rate, n_reported, n_reported_sound) per repository and language of the extension.
+
+    n_reported counts the files that any report of that repository names as unparsed, n_reported_sound those of them that parse.
+    """
+    one = files.filter("file_id is not null").select("file_id", "repository", "file_path", extension().alias("language")).dropDuplicates(["file_id"])
+    told = reports.select(F.explode("unparsed_files").alias("file_path")).filter("file_path is not null").distinct().withColumn("told", F.lit(1))
+    bad = unparsable_files(files).select("file_id", F.lit(1).alias("bad"))
+    rows = one.join(bad, "file_id", "left").join(told, "file_path", "left")
+    return (
+        rows.groupBy("repository", "language")
+        .agg(F.count(F.lit(1)).alias("n_files"), F.count("bad").alias("n_unparsable"), F.count("told").alias("n_reported"), F.count(F.when(F.col("bad").isNull(), F.col("told"))).alias("n_reported_sound"))
+        .withColumn("rate", F.col("n_unparsable") / F.col("n_files"))
+    )
 
 
 def _python_parses(text: str) -> bool:
