@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from edgewright.llm.authorship import foreign_files
+from edgewright.llm.documentation import documented_functions
 from edgewright.llm.mixing import mix_report, mix_sources
 from edgewright.llm.packing import fill_containers
 from edgewright.llm.parsing import parse_rates, unparsable_files
@@ -26,6 +27,14 @@ def p5_rates(spark, d):
     return parse_rates(table(spark, d, "source_files"), table(spark, d, "coverage_reports"))
 
 
+def p7_found(spark, d):
+    return documented_functions(table(spark, d, "entities")).select("isgl1_key")
+
+
+def p7_pairs(spark, d):
+    return documented_functions(table(spark, d, "entities"))
+
+
 def p8_containers(spark, d):
     docs = table(spark, d, "documents")
     return with_text(fill_containers(docs), docs)
@@ -55,5 +64,5 @@ def texts_of(rows, docs):
     return with_text(rows.withColumns({"start_char": F.lit(0), "end_char": F.lit(2**31 - 1)}), docs).drop("start_char", "end_char")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p5_found, p5_rates, p8_containers, p9_mix, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p5_found, p5_rates, p7_found, p7_pairs, p8_containers, p9_mix, p9_shares, p10_found, p10_pieces)}
 SQL: dict[str, str] = {}
