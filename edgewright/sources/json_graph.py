@@ -46,8 +46,10 @@ def call_chain(edges: DataFrame, start: str, most: int = 1000) -> list[str]:
 
 
 def graph_document(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """(json): one document per top folder, so that no row holds the whole graph."""
-    e = entities.select("root_subfolder_l1", F.struct("isgl1_key", F.get(F.split("isgl1_key", ":"), F.lit(2)).alias("name"), "file_path").alias("e")).groupBy("root_subfolder_l1").agg(F.sort_array(F.collect_list("e")).alias("entities"))
-    owner = entities.select(F.col("isgl1_key").alias("from_key"), "root_subfolder_l1")
-    d = edges.join(owner, "from_key").select("root_subfolder_l1", F.struct("from_key", "to_key", "edge_type").alias("d")).groupBy("root_subfolder_l1").agg(F.sort_array(F.collect_list("d")).alias("edges"))
-    return e.join(d, "root_subfolder_l1", "left").select("root_subfolder_l1", F.to_json(F.struct("entities", "edges")).alias("json"))
+    """(file_path, json): one document per source file, its entities and their edges out, so that none holds the whole graph."""
+    e = entities.select("file_path", F.struct("isgl1_key", F.get(F.split("isgl1_key", ":"), F.lit(2)).alias("name"), "file_path").alias("e"))
+    e = e.groupBy("file_path").agg(F.sort_array(F.collect_list("e")).alias("entities"))
+    owner = entities.select(F.col("isgl1_key").alias("from_key"), "file_path")
+    d = edges.join(owner, "from_key").select("file_path", F.struct("from_key", "to_key", "edge_type").alias("d"))
+    d = d.groupBy("file_path").agg(F.sort_array(F.collect_list("d")).alias("edges"))
+    return e.join(d, "file_path", "left").select("file_path", F.to_json(F.struct("entities", "edges")).alias("json"))
