@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgewright.llm.lexing import _EMPTY, _NOT_BRACKET, LANGUAGE, collapse, lex
+from edgewright.sources.lexing import _EMPTY, _NOT_BRACKET, LANGUAGE, collapse, lex
 from edgewright.session import cut
 
 #: All classes that a lexer emits.
