@@ -71,6 +71,19 @@ def extract(text: str, lang: str) -> tuple[list[tuple[str, str, int, int]], list
     return list(dict.fromkeys(ents)), deps
 
 
+def _generics(toks: list, j: int) -> str:
+    """The type parameters written directly after a type's name, as in the source."""
+    if j >= len(toks) or toks[j][0] != "<":
+        return ""
+    depth, out = 0, []
+    for t, *_ in toks[j : j + 40]:
+        depth += (t == "<") - t.count(">") * (t.strip(">") == "")
+        out.append(", " if t == "," else t)
+        if depth <= 0:
+            return "".join(out)
+    return ""
+
+
 def _called(toks: list, i: int) -> bool:
     t, c = toks[i][0], toks[i][1]
     return c in "iw" and i + 1 < len(toks) and toks[i + 1][0] == "(" and t not in _NOT_CALLED and t.rstrip("!").isidentifier()
@@ -121,7 +134,7 @@ def _by_braces(toks: list, words: dict, lang: str, last: int) -> tuple[list, lis
                 if lang != "c" or kind != "function":
                     ahead = toks[j + 1][0] if j + 1 < len(toks) else ""
                     if lang != "c" or ahead == "{":
-                        pending = (_kind(kind, stack), toks[j][0], line)
+                        pending = (_kind(kind, stack), toks[j][0] + (_generics(toks, j + 1) if kind != "function" and kind != "method" else ""), line)
         elif _called(toks, i):
             prev = toks[i - 1][0] if i else ""
             if prev in words and (lang != "go" or prev == "func") or (lang == "go" and pending and pending[1] == t):
