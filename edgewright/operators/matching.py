@@ -19,9 +19,9 @@ def match_entities(new: DataFrame, old: DataFrame, tolerance: int = TOLERANCE) -
     o = old.select("key", F.col("name"), F.col("file_path"), F.col("line_start").alias("_start"), F.col("content_hash").alias("_hash"))
     both = n.select("_id", "name", "file_path", "line_start", "content_hash").join(o, ["name", "file_path"])
     rule = F.when(F.col("content_hash") == F.col("_hash"), 1).when(F.abs(F.col("line_start") - F.col("_start")) <= tolerance, 2)
-    best = both.withColumn("_rule", rule).filter("_rule is not null").groupBy("_id").agg(F.min(F.struct("_rule", "key")).alias("b"))
+    best = both.withColumn("_rule", rule).filter("_rule is not null").groupBy("_id").agg(F.min(F.struct("_rule", "key")).alias("_best"))
     out = n.join(best, "_id", "left")
-    return out.withColumns({"old_key": F.col("b.key"), "match": F.when(F.col("b._rule") == 1, "content").when(F.col("b._rule") == 2, "position").otherwise("new")}).drop("_id", "b")
+    return out.withColumns({"old_key": F.col("_best.key"), "match": F.when(F.col("_best._rule") == 1, "content").when(F.col("_best._rule") == 2, "position").otherwise("new")}).drop("_id", "_best")
 
 
 def removed_entities(old: DataFrame, matched: DataFrame) -> DataFrame:

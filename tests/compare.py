@@ -58,7 +58,9 @@ if __name__ == "__main__":
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = views(folder)
-    names = [n for n in entry.queries() if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
+    skip = set(a[1:] for a in args if a.startswith("!"))
+    args = [a for a in args if not a.startswith("!")]
+    names = [n for n in entry.queries() if n not in skip and not (not args and n[0] == "p" and n[1].isdigit())] if not args else [n for n in entry.queries() if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
     for n in names:
         try:
             ok, a, b, s, t, diff = same(spark, con, folder, n)
