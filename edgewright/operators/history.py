@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright.columns import pick
+
 STATE = ["current_ind", "future_ind", "future_action", "birth_timestamp"]
 
 
@@ -19,6 +21,7 @@ def state_versions(states: DataFrame) -> DataFrame:
     Moments are numbered per key and day first and the days of a key are then offset by a running sum, so no task
     sorts all moments of a key; a word holds at most 64 moments.
     """
+    states = pick(states, "report_id", "isgl1_key", *STATE, "effective_at", "received_at")
     state = F.struct(*STATE)
     rows = states.filter("isgl1_key is not null and effective_at is not null").select(F.col("isgl1_key").alias("key"), F.col("effective_at").alias("at"), "received_at", "report_id", state.alias("state"))
     once = rows.groupBy("key", "at").agg(F.max_by("state", F.struct("received_at", "report_id")).alias("state")).withColumn("day", F.to_date("at"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import debt_severity, entropy_level, metric_status
 from edgewright.operators.graph import _ranked, neighbours, nodes_of
+from edgewright.schemas import EDGE_TYPES
 
 #: Thresholds of the metrics, and hours of debt.
 CBO_FAIL, LCOM_FAIL, RFC_WARN, WMC_WARN = 10, 0.8, 50, 50
@@ -97,10 +98,11 @@ def edge_entropy(edges: DataFrame, contains: str | None = None) -> DataFrame:
     A pair of nodes has one type, the greatest of its parallel edges, which counts once per parallel edge.
     """
     typed = edges.groupBy("from_key", "to_key").agg(F.max("edge_type").alias("t"), F.count(F.lit(1)).alias("n"))
-    per = typed.groupBy(F.col("from_key").alias("key"), "t").agg(F.sum("n").alias("n"))
-    sums = per.groupBy("key").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"))
-    rows = nodes_of(edges).join(sums, "key", "left")
-    rows = rows.select("key", F.greatest(F.coalesce(F.log2("total") - F.col("nlogn") / F.col("total"), F.lit(0.0)), F.lit(0.0)).alias("entropy"))
+    counts = {f"n_{t}": F.sum(F.when(F.col("t") == t, F.col("n")).otherwise(0)) for t in EDGE_TYPES}
+    sums = typed.groupBy(F.col("from_key").alias("key")).agg(F.sum("n").alias("total"), *[c.alias(k) for k, c in counts.items()])
+    share = {k: F.col(k) / F.col("total") for k in counts}
+    bits = sum((F.when(F.col(k) > 0, -p * F.log2(p)).otherwise(0.0) for k, p in share.items()), F.lit(0.0))
+    rows = nodes_of(edges).join(sums, "key", "left").select("key", F.round(F.greatest(F.coalesce(bits, F.lit(0.0)), F.lit(0.0)), 12).alias("entropy"))
     if contains:
         rows = rows.filter(F.col("key").contains(contains))
     return rows.withColumn("level", entropy_level("entropy"))

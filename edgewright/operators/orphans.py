@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.columns import pick
 from edgewright.operators.skew import hot_buckets, salted
 from edgewright.session import cut
 
@@ -24,11 +25,13 @@ def references(edges: DataFrame) -> DataFrame:
         F.struct(F.lit("from").alias("side"), F.col("from_key").alias("key")),
         F.struct(F.lit("to").alias("side"), F.col("to_key").alias("key")),
     )
+    edges = pick(edges, "edge_id", "from_key", "to_key", "observed_at")
     return edges.select("edge_id", "observed_at", F.explode(sides).alias("r")).select("edge_id", "r.side", "r.key", "observed_at")
 
 
 def lifetimes(entities: DataFrame, externals: DataFrame) -> DataFrame:
     """(key, begins, ends): distinct periods of existence; a null begin has always begun, a null end is open."""
+    entities, externals = pick(entities, "isgl1_key", "first_seen_at", "removed_at"), pick(externals, "isgl1_key")
     own = entities.select(F.col("isgl1_key").alias("key"), F.col("first_seen_at").alias("begins"), F.col("removed_at").alias("ends"), F.lit(True).alias("dated"))
     outside = externals.select(F.col("isgl1_key").alias("key"), F.lit(None).cast("timestamp_ntz").alias("begins"), F.lit(None).cast("timestamp_ntz").alias("ends"), F.lit(False).alias("dated"))
     return own.filter("key is not null and begins is not null").unionByName(outside.filter("key is not null")).distinct()
@@ -69,6 +72,7 @@ def orphan_cascade(edges: DataFrame, entities: DataFrame, externals: DataFrame,
     Fixpoint: the frontier is semi-joined with the distinct (from, to) pairs on to_key; only keys not yet seen go on.
     Cycles end since seen keys are dropped. max_depth guards against endless input only; reaching it raises.
     """
+    edges, entities = pick(edges, "edge_id", "from_key", "to_key", "observed_at"), pick(entities, "isgl1_key", "first_seen_at", "removed_at")
     bad = orphan_references(edges, entities, externals).filter("side = 'to'").select("edge_id").distinct()
     pairs = cut(edges.filter("from_key is not null and to_key is not null").select("from_key", "to_key").distinct())
     known = entities.select(F.col("isgl1_key").alias("k")).distinct()

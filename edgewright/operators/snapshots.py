@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright.columns import pick
+
 
 def hash_number(col) -> F.Column:
     """Hex text as a number in canonical writing: case, stray blanks and leading zeros do not count; blank is null."""
@@ -22,6 +24,7 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     are ignored; an empty table gives an empty result; extra columns are ignored. Deliveries are pre-aggregated before
     the shuffle, so a key repeated in a third of all rows leaves one row per task and snapshot.
     """
+    snapshots = pick(snapshots, "snapshot_no", "isgl1_key", "content_hash", "delivered_at")
     rows = snapshots.select(F.col("snapshot_no").cast("int").alias("no"), F.trim("isgl1_key").alias("key"), "delivered_at", hash_number(F.col("content_hash")).alias("h")).filter("no is not null and key is not null")
     once = rows.groupBy("key", "no").agg(F.max(F.struct("delivered_at", "h")).alias("m")).select("key", "no", F.col("m.h").alias("h"))
     series = snapshots.select(F.col("snapshot_no").cast("int").alias("no")).filter("no is not null").groupBy("no").agg(F.count(F.lit(1)).alias("n"))

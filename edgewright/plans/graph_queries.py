@@ -322,7 +322,7 @@ for _q in ("ck_metrics", "sqale_debt"):
 
 
 @query("""select key, round(coalesce(h, 0), 6) + 0.0 as entropy, case when coalesce(h, 0) < 1.0 then 'LOW' when coalesce(h, 0) < 1.4 then 'MODERATE' else 'HIGH' end as level from v left join (
-       select key, greatest(0.0 - sum(n / t * log2(n / t)), 0.0) as h from (select key, n::double as n, sum(n) over (partition by key)::double as t from (
+       select key, round(greatest(0.0 - sum(n / t * log2(n / t)), 0.0), 12) as h from (select key, n::double as n, sum(n) over (partition by key)::double as t from (
          select from_key as key, t, sum(c) as n from (select from_key, to_key, max(edge_type) as t, count(*) as c from e group by all) group by all)) group by key) using (key)""")
 def edge_entropy(spark, d):
     return rounded(metrics.edge_entropy(typed(spark, d)), "entropy")
