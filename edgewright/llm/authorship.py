@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.columns import pick
+
 #: Notices of tools and of copying as they stand in file headers, lower case; matched in one automaton.
 GENERATED = (
     "code generated by", "@generated", "automatically generated", "auto-generated", "autogenerated", "auto generated file", "machine written", "machine generated", "machine-generated",
@@ -127,6 +129,7 @@ def foreign_files(files: DataFrame) -> DataFrame:
     their path alone; null ids are ignored; a null path or repository matches no rule; a file loaded twice counts
     once, under its least reason; extra columns are ignored; an empty table gives an empty result.
     """
+    files = pick(files, "file_id", "repository", "file_path", "current_code")
     known = files.filter("file_id is not null").select("file_id", F.coalesce("repository", F.lit("")).alias("repository"), F.lower(F.regexp_extract(F.coalesce("file_path", F.lit("")), r"\.([A-Za-z]+)$", 1)).alias("ext"), "current_code", path_reason().alias("reason"))
     by_path = known.filter("reason is not null").select("file_id", "reason")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright.columns import pick
 from edgewright.llm.splitting import text_key
 from edgewright.llm.tokens import VOCABULARY, token_count
 from edgewright.session import cut
@@ -109,6 +110,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     Sources are compared in clean spelling; documents without a source or with one that has no target are left out, as
     are null ids and null or empty texts. Repeated rows count as texts of their own. Empty tables give an empty result.
     """
+    documents, targets = pick(documents, "doc_id", "text", "source"), pick(targets, "source", "target_share", "max_repeats")
     targets = targets.filter("source is not null and target_share > 0 and max_repeats > 0")
     goals_in = [(r[0], float(r[1]), int(r[2])) for r in targets.select(clean_source("source"), "target_share", "max_repeats").collect()]
     names = [s for s, _, _ in goals_in]

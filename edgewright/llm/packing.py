@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.columns import pick
 from edgewright.llm.splitting import text_key
 from edgewright.llm.tokens import VOCABULARY, WORD, edges_of, encode
 from edgewright.session import cut
@@ -102,6 +103,7 @@ def fill_containers(documents: DataFrame, capacity: int = 4096, nearly_full: flo
     their own; extra columns are ignored; an empty table gives no container.
     """
     enough = ceil(capacity * nearly_full)
+    documents = pick(documents, "doc_id", "text")
     texts = documents.filter("text is not null and text <> '' and doc_id is not null").select("doc_id", text_key(), "text")
     packed = cut(texts.mapInPandas(_first_round(capacity, enough, vocabulary), _ROWS))
     parts, level = packed.rdd.getNumPartitions(), 1

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewright.sources.lexing import _EMPTY, _NOT_BRACKET, LANGUAGE, collapse, lex
+from edgewright.columns import pick
 from edgewright.session import cut
 
 #: All classes that a lexer emits.
@@ -122,6 +123,7 @@ def extension(path="file_path"):
 
 def parseable(files: DataFrame) -> DataFrame:
     """(file_id, text_hash, ext, current_code) of the files that have text and a language by extension."""
+    files = pick(files, "file_id", "file_path", "current_code")
     known = files.filter("current_code is not null and current_code <> '' and file_id is not null").select("file_id", F.xxhash64("current_code").alias("text_hash"), extension().alias("ext"), "current_code")
     return known.filter(F.col("ext").isin(list(LANGUAGE)))
 
@@ -173,6 +175,7 @@ def parse_rates(files: DataFrame, reports: DataFrame) -> DataFrame:
 
     n_reported counts the files that any report of that repository names as unparsed, n_reported_sound those of them that parse.
     """
+    files, reports = pick(files, "file_id", "repository", "file_path", "current_code"), pick(reports, "unparsed_files")
     one = files.filter("file_id is not null").select("file_id", "repository", "file_path", extension().alias("language")).dropDuplicates(["file_id"])
     told = reports.select(F.explode("unparsed_files").alias("file_path")).filter("file_path is not null").distinct().withColumn("told", F.lit(1))
     bad = unparsable_files(files).select("file_id", F.lit(1).alias("bad"))

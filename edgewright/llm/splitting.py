@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewright.columns import pick
 from edgewright.llm.tokens import PARAGRAPH, SENTENCE, VOCABULARY, WORD, edges_of
 from edgewright.session import cut
 
@@ -60,6 +61,7 @@ def boundaries(documents: DataFrame, capacity: int, overlap: int, vocabulary: st
                     yield pa.RecordBatch.from_arrays(head + [pa.array(b[:, i].astype(np.int32)) for i in range(5)], names)
 
     # a text of at most `capacity` bytes has at most `capacity` tokens: the filter is exact and reaches the scan's output
+    documents = pick(documents, "doc_id", "text")
     large = documents.filter((F.octet_length("text") > capacity) & F.col("doc_id").isNotNull()).select("doc_id", text_key(), "text")
     return large.mapInArrow(run, _BOUNDARY)
 
@@ -109,6 +111,7 @@ def piece_bounds(documents: DataFrame, capacity: int = 4096, overlap: int = 128,
 
 def with_text(pieces: DataFrame, documents: DataFrame) -> DataFrame:
     """Add the text of each piece from its character offsets."""
+    documents = pick(documents, "doc_id", "text")
     texts = documents.filter("text is not null and doc_id is not null").select(F.col("doc_id"), text_key(), "text")
     texts = texts.join(pieces.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     return pieces.join(texts, ["doc_id", "text_hash"]).withColumn("text", F.expr("substring(text, start_char + 1, end_char - start_char)"))
