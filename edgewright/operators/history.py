@@ -40,8 +40,8 @@ def state_versions(states: DataFrame) -> DataFrame:
     # a bit starts a run when the bit below it, or the top bit of the word before, is not set
     starts = words.withColumn("starts", F.col("present").bitwiseAND(F.bitwise_not(F.expr("shiftleft(present, 1)").bitwiseOR(into.cast("long")))))
     runs = starts.select("key", "state", "word", F.explode(F.expr("filter(moments, m -> (shiftrightunsigned(starts, m.b) & 1) = 1)")).alias("m")).select("key", "state", "word", "m.at")
-    # the next version of a key begins at the next run start of any state; ordered per key, in month blocks for hot keys
-    runs = runs.withColumn("block", F.date_trunc("month", F.col("at").cast("timestamp")).cast("timestamp_ntz"))
+    # the next version of a key begins at the next run start of any state; ordered per key, day by day for hot keys
+    runs = runs.withColumn("block", F.to_date("at"))
     in_block = F.lead("at").over(Window.partitionBy("key", "block").orderBy("at"))
     firsts = runs.groupBy("key", "block").agg(F.min("at").alias("first_at"))
     firsts = firsts.select("key", "block", F.lead("first_at").over(Window.partitionBy("key").orderBy("block")).alias("next_first"))
