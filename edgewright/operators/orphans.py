@@ -8,6 +8,8 @@ key graph until nothing new is reached.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,21 +76,25 @@ def orphan_cascade(edges: DataFrame, entities: DataFrame, externals: DataFrame,
     """
     edges, entities = pick(edges, "edge_id", "from_key", "to_key", "observed_at"), pick(entities, "isgl1_key", "first_seen_at", "removed_at")
     bad = orphan_references(edges, entities, externals).filter("side = 'to'").select("edge_id").distinct()
-    pairs = cut(edges.filter("from_key is not null and to_key is not null").select("from_key", "to_key").distinct())
-    known = entities.select(F.col("isgl1_key").alias("k")).distinct()
-    first = edges.join(bad, "edge_id", "left_semi").select(F.col("from_key").alias("k")).distinct().join(known, "k", "left_semi")
-    seen = cut(first.select("k", F.lit(0).alias("depth")))
-    frontier, depth = seen.select("k"), 0
-    hot = hot_buckets(pairs, "to_key")
-    inner = pairs.join(known, pairs.from_key == known.k, "left_semi")
+    known = cut(entities.filter("isgl1_key is not null").select(F.col("isgl1_key").alias("key")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    ids = lambda side, name: known.select(F.col("key").alias(side), F.col("id").alias(name))
+    first = edges.join(bad, "edge_id", "left_semi").select("from_key").distinct().join(ids("from_key", "k"), "from_key").select("k")
+    # only edges between records carry an orphan on: keys become integers before the fixpoint
+    left, right = salted(edges.select("from_key", "to_key"), ids("to_key", "dst"), "to_key", "from_key")
+    left, right = salted(left.join(right, ["to_key", "_salt"]).select("from_key", "dst"), ids("from_key", "src"), "from_key", "dst")
+    pairs = cut(left.join(right, ["from_key", "_salt"]).select("src", "dst").distinct())
+    hot = hot_buckets(pairs, "dst")
+    parts = [cut(first.select("k", F.lit(0).alias("depth")))]
     while True:
-        depth += 1
+        depth = len(parts)
         if depth > max_depth:
             raise RuntimeError("the key graph is deeper than max_depth")
-        left, right = salted(inner, frontier.select(F.col("k").alias("to_key")), "to_key", "from_key", hot)
-        step = left.join(right, ["to_key", "_salt"], "left_semi").select(F.col("from_key").alias("k")).distinct()
+        left, right = salted(pairs, parts[-1].select(F.col("k").alias("dst")), "dst", "src", hot)
+        step = left.join(right, ["dst", "_salt"], "left_semi").select(F.col("src").alias("k")).distinct()
+        seen = reduce(DataFrame.unionByName, parts).select("k")
         new = cut(step.join(seen, "k", "left_anti").select("k", F.lit(depth).alias("depth")))
         if new.isEmpty():
             break
-        seen, frontier = cut(seen.unionByName(new)), new.select("k")
-    return seen.select(F.col("k").alias("isgl1_key"), "depth", F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("kind"))
+        parts.append(new)
+    reached = reduce(DataFrame.unionByName, parts).join(known.withColumnRenamed("id", "k"), "k")
+    return reached.select(F.col("key").alias("isgl1_key"), "depth", F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("kind"))
