@@ -223,13 +223,18 @@ def extracted_entities(files: DataFrame, rows: DataFrame | None = None) -> DataF
     return rows.filter("kind is not null").select("file_path", F.col("lang").alias("language"), F.col("kind").alias("entity_type"), "name", "line_start", "line_end").distinct()
 
 
-def extracted_edges(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+def extracted_edges(files: DataFrame, rows: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """(from_key, to_key, edge_type, source_location): calls and implementations from the smallest entity around them to
-    an unresolved name, imports from the file to a module; one row per key, the first place."""
+    an unresolved name, imports from the file to a module; one row per key, the first place.
+
+    Entities are named by their lines unless their keys are given (isgl1_key, file_path, line_start, line_end, entity_type).
+    """
     from edgewright.operators.matching import containing_entity
 
     rows = extracted(files) if rows is None else rows
-    ents = extracted_entities(files, rows).withColumn("isgl1_key", F.concat_ws(":", "language", _token(), "name", semantic_path("file_path"), F.concat_ws("-", "line_start", "line_end")))
+    ents = entities
+    if ents is None:
+        ents = extracted_entities(files, rows).withColumn("isgl1_key", F.concat_ws(":", "language", _token(), "name", semantic_path("file_path"), F.concat_ws("-", "line_start", "line_end")))
     place = F.concat_ws(":", "file_path", "line_start")
     deps = rows.filter("edge_type is not null").withColumn("site_id", F.concat_ws("|", "file_path", "line_start"))
     uses = deps.filter("edge_type = 'Uses'").select(

@@ -17,18 +17,29 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def eligible(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+def nested_repositories(spark: SparkSession, root: str, depth: int = 8) -> list[str]:
+    """Folders below root, down to a depth, that have a .git of their own; the file source leaves such names out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for d in range(1, depth + 1):
+        hits = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "/".join(["*"] * d + [".git"])))
+        out += [h.getPath().getParent().toString() for h in hits or []]
+    return out
+
+
+def eligible(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, nested: list[str] | None = None) -> DataFrame:
     """Files outside nested repositories that match no exclude and, if any are given, an include pattern.
 
-    A pattern is a substring of the path, `*` aside. A nested repository is a folder below the root that has a .git.
+    A pattern is a substring of the path, `*` aside; nested is what nested_repositories found.
     """
-    nested = files.select(F.regexp_extract("path", r"^(.*/[^/]+)/\.git/", 1).alias("repo")).filter("repo <> ''").distinct()
     out = files
-    if not nested.isEmpty():
+    if nested:
+        repos = files.sparkSession.createDataFrame([(n,) for n in nested], "repo string")
         # each file's ancestors are looked up, so the join is on equality
         parts = F.split(folder_of("path"), "/")
         up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-        inside = files.select("path", F.explode(up).alias("repo")).join(nested, "repo", "left_semi").select("path").distinct()
+        inside = files.select("path", F.explode(up).alias("repo")).join(repos, "repo", "left_semi").select("path").distinct()
         out = out.join(inside, "path", "left_anti")
     for p in exclude or []:
         out = out.filter(~F.col("path").contains(p.replace("*", "")))

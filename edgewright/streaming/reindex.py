@@ -65,7 +65,7 @@ def reindex(entities: DataFrame, edges: DataFrame, cache: DataFrame, changes: Da
     left = delete_by_keys(entities, gone.select("key"), "isgl1_key")
     entities_out = upsert(left, kept.dropDuplicates(["isgl1_key"]), ["isgl1_key"])
     edges_left, edges_gone = delete_edges_from(edges, gone.select("key"))
-    found = extracted_edges(texts, rows)
+    found = cut(extracted_edges(texts, rows, kept))
     edges_out = upsert(edges_left, found, ["from_key", "to_key", "edge_type"])
     hashes = texts.select("file_path", F.sha2("current_code", 256).alias("content_hash"))
     cache_out = cache.select("file_path", "content_hash").join(todo.select("file_path"), "file_path", "left_anti").unionByName(hashes)
