@@ -87,7 +87,7 @@ LEXERS: dict[str, tuple[re.Pattern, Classes]] = {
         Classes(
             {"|": "o", "||": "o", "&&": "o", "macro_rules!": "F"},
             {"F": "use fn impl struct enum trait mod const static type extern unsafe async union", "V": "pub", "K": "let return if while loop match for move mut ref dyn box break continue else where as in await yield", "k": ""},
-            _COMMENT | {"'": "i"},
+            _COMMENT | {"'": "w"},
         ),
     ),
     "java": (
