@@ -39,11 +39,12 @@ def forbidden_pairs() -> dict[str, set[str]]:
     out["js"] -= {",,", "[,", ".s"} | {"cw"} | {"bg"}
     out["js"] |= {"ci", "^."}
     out["ts"] = {p for p in out["js"] if "T" not in p} - {"=b", "(?", "?)", "?:", "?,", "?;", ":b"} - {"=o"}
-    out["ts"] -= {"?="}
+    out["ts"] -= {"?=", "u.", "u)", "u,", "u;", "u}"}  # the non-null mark
     out["rs"] = anywhere | operators - {".0", "=b", "o)", "o,", "o=", "o}", "o:"} | touching | cross("i0s]", "FV") - {"iF", "]F", "]V"} | cross(")", "i") | cross("^", "gd0su") | {"^#"} - {"^#"} | cross("p", alphabet) | cross("@P", alphabet) - cross("@", "i(") | cross("d", "0s,;)]}.=$N") | cross("F", "0s)],;.=$") - {"Fs"} | cross("V", "0s)],;.=$")
     out["rs"] -= {"[,"} | {"}0", "}s", "])"} | {"=.", ",="}
     out["java"] = anywhere | operators - {".=", "=b", "?,", "?)"} | touching - {"ii", "]i", "}i"} | cross("i0s", "Q") | cross("c", alphabet.replace("(", "")) | cross("Is", "s{") - {"s{"} | cross("^", "gd0su(") | cross("#P", alphabet) | cross(alphabet, "#") | cross("I", "s{$(=") | {"i0", "is", "0i", "si", "ss", "s0"} | cross("Q", "s{(;$") | cross("m", "0s)],;.=$")
     out["go"] = anywhere | operators - {".s", ",;", "=}", "o;"} | touching - {"ii", "]i"} | cross("^", "iw0s([{*@#PKkcFVId;g") | cross("i0s)", "QF") - {")F"} | cross("I", "iw{[=,)$") - {"Ii", "Iw"} | cross("Q", "s([{.;$0=") | cross("@#a?dt", alphabet) | cross(alphabet, "@#?dt") | {"i;.", "^;"} | cross(";", ".,=b:)") - {";)"}
+    out["go"] -= {"is"}  # a named import
     out["c"] = anywhere | operators - {"=b", "*)", "o,", "*,"} | touching - {"ii", "]i", "ss", "is", "si", "}i"} | cross("c", alphabet.replace("(", "")) | cross("^", "g0s(dtu[") | cross("d@#a", alphabet) | cross(alphabet, "d@#a") | {"i0", "0i", "s0"} | cross("m", "0s)=.$") - {"ms", "m)"} | cross("C", "0s()[],;.=$")
     out["py"] = anywhere | operators - {",N", "[:", ",:", "[,", "=:"} - cross("=", ":") | touching - {"ss"} | cross(")", "i") | cross("}", "i") | cross("u@#PdpatCFQIVc", alphabet) - cross("u", "iw0s([{KuoH") | cross(alphabet, "?pacFQIV#") | cross("B", alphabet) - {"B>"} | cross("N^<yDB", ">") - {"B>"} | cross("^<yN>", "k") | cross("y", alphabet) - {"yh", "y<", "yy"} | cross("!", alphabet) | cross(alphabet, "!") | cross("^N>", "hl") - {"Nh", "Nl"} | {"^h", "^l", ">h", ">l", "Nh", "Nl"} | cross("ko", "N$)],;=") - {"oN", "kN"} | {"kN", "oN"} | cross("i0s)]}", "K") | cross("K", "=,.)]b") - {"K)", "K,", "K]"}
     out["py"] -= {"t" + x for x in "iw0s([{Ku"} | {"y$"} - {"y$"}
