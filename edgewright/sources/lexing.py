@@ -83,7 +83,7 @@ LEXERS: dict[str, tuple[re.Pattern, Classes]] = {
     "js": (_JS, Classes({}, _JS_WORDS, _JS_FIRST)),
     "ts": (_JS, Classes({}, _TS_WORDS, _JS_FIRST)),
     "rs": (
-        _one(_MARK, _SLASH, r'b?r"[^"]*"', r'b?r#"(?s:.*?)"#', r'b?r##"(?s:.*?)"##', r'[bc]?"(?:[^"\\]|\\(?s:.))*"', r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'", r"'[^\W\d]\w*", r"r#\w+", r"[^\W\d]\w*(?:!(?=\s*[(\[{]))?", r"\d(?:\w|\.(?=\d))*", _OPS),
+        _one(_MARK, _SLASH, r'b?r"[^"]*"', r'b?r#"(?s:.*?)"#', r'b?r##"(?s:.*?)"##', r'[bc]?"(?:[^"\\]|\\(?s:.))*"', r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'", r"'[^\W\d]\w*", r"r#\w+", r"\$?[^\W\d]\w*(?:!(?=\s*(?:[(\[{]|\w+\s*\{)))?", r"\d(?:\w|\.(?=\d))*", _OPS),
         Classes(
             {"|": "o", "||": "o", "&&": "o", "macro_rules!": "F"},
             {"F": "use fn impl struct enum trait mod const static type extern unsafe async union", "V": "pub", "K": "let return if while loop match for move mut ref dyn box break continue else where as in await yield", "k": ""},
@@ -94,7 +94,7 @@ LEXERS: dict[str, tuple[re.Pattern, Classes]] = {
         _one(_MARK, _SLASH, r'"""(?s:.*?)"""', _STR, _CHR, r"@(?!interface\b)[^\W\d][\w.]*", r"@interface\b", r"[^\W\d]\w*", _NUM, _OPS),
         Classes(
             {"@interface": "C"},
-            {"Q": "package", "I": "import", "C": "class interface enum", "m": "public private protected static final abstract native synchronized transient volatile strictfp default sealed", "K": "return throw new case break continue do try finally else assert", "k": "instanceof extends implements throws", "c": "if for while switch catch", "w": "record var yield permits non when module"},
+            {"Q": "package", "I": "import", "C": "class interface enum", "m": "public private protected static final abstract native synchronized transient volatile strictfp sealed", "K": "return throw new case break continue do try finally else assert", "k": "instanceof extends implements throws", "c": "if for while switch catch", "w": "default record var yield permits non when module"},
             _COMMENT | {"@": "@"},
         ),
     ),
@@ -115,16 +115,20 @@ LEXERS: dict[str, tuple[re.Pattern, Classes]] = {
         ),
     ),
     "rb": (
-        _one(_MARK, r"^=begin\b(?s:.*?)^=end\b[^\n]*", r"#[^\n]*", r"^__END__\n(?s:.*)", r"<<[~-]?(['\"]?)(?P<tag>[A-Z_]+)\1[^\n]*\n(?s:.*?)^[ \t]*(?P=tag)$", r"%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})", r'"(?:[^"\\]|\\(?s:.))*"', r"'(?:[^'\\]|\\(?s:.))*'", r"`[^`\n]*`", r"(?<=[=(,~ ])/(?![ /=])(?:[^/\\\n]|\\.)+/[imx]*", r"(?<![:\w?)\]]):(?:[^\W\d]\w*[?!=]?(?!:)|\"[^\"\n]*\")", r"(?<![.&])\b(?:__FILE__|defined\?)", r"[@$]{0,2}[^\W\d]\w*[?!]?:(?![:\w])|[@$]{0,2}[^\W\d]\w*(?:[?!](?!=))?", r"\$[\W\d]", _NUM, r"&\.|<=>|=~|!~", _OPS),
+        _one(_MARK, r"^=begin\b(?s:.*?)^=end\b[^\n]*", r"#[^\n]*", r"^__END__\n(?s:.*)", r"<<[~-]?(['\"]?)(?P<tag>[A-Z_]+)\1[^\n]*\n(?s:.*?)^[ \t]*(?P=tag)$", r"%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\})", r'"(?:[^"\\]|\\(?s:.))*"', r"'(?:[^'\\]|\\(?s:.))*'", r"`[^`\n]*`", r"(?<=[=(,~ ])/(?![ /=])(?:[^/\\\n]|\\.)+/[imx]*", r"(?<![:\w?)\]]):(?:[^\W\d]\w*[?!=]?(?!:)|\"[^\"\n]*\")", r"(?<![.&])\b(?:__FILE__|defined\?)", r"(?<=def )\w+=(?=\()", r"[@$]{0,2}[^\W\d]\w*[?!]?:(?![:\w])|[@$]{0,2}[^\W\d]\w*(?:[?!](?!=))?", r"\$[\W\d]", _NUM, r"&\.|<=>|=~|!~", _OPS),
         Classes(
             {"|": "o", "||": "o", "&.": ".", "<=>": "b", "=~": "b", "!~": "b", "<<": "b"},
-            {"O": "def class module begin case", "o": "not", "c": "if unless while until for", "e": "do", "E": "end", "k": "and or in then rescue ensure else elsif when", "K": "return yield raise alias undef defined? next break"},
+            {"F": "def", "O": "class module begin case", "o": "not", "c": "if unless while until for", "y": "do", "E": "end", "k": "and or in then rescue ensure else elsif when", "K": "return yield raise alias undef defined? next break"},
             {"#": " ", "=b": " ", "__": " ", "<<": "s", "%": "s", "/": "s", ":": "s", "@": "i", "$": "i"},
         ),
     ),
 }
 LANGUAGE = {"rs": "rs", "py": "py", "js": "js", "jsx": "js", "ts": "ts", "tsx": "ts", "java": "java", "go": "go", "c": "c", "h": "c", "rb": "rb"}
 
+_MEMBER = re.compile(r"(?<=\.)[CFIKQVckmw]")
+_PROPERTY = re.compile(r"(?<=[{,])[kcK](?=:)")
+_MARKUP = re.compile(r"(?:\breturn|=>|[=(?:,&])\s*<(?:[A-Za-z][\w.]*(?:\s[^<]*?)?/?>|>).*?(?:</[\w.]*>|/>)", re.S)
+_NOT_NESTING = re.compile(r"[^()\[\]{}M]+")
 _JS_BREAK = re.compile(r"(?<=[iw0s)\]}pK])\n+(?=[iw0sKcu@{p*])")
 _GO_BREAK = re.compile(r"(?<=[iw0s)\]}p])\n+")
 _INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
@@ -160,8 +164,14 @@ def lex(text: str, language: str) -> str:
     if language == "rb":
         return lex_ruby(text, pattern, classes)
     s = "".join(map(classes.__getitem__, pattern.findall(text))).replace(" ", "")
+    if "." in s and language != "rs":
+        s = _MEMBER.sub("i", s)
     if language in ("js", "ts"):
         s = _JS_BREAK.sub("N", s).replace("\n", "")
+        s = _PROPERTY.sub("i", s)
+        if "<" in text and _MARKUP.search(text) and not text.lstrip().startswith("<"):
+            # elements in the code: their text follows no token rules, so only brackets and merge marks are left of it
+            return f"^{_NOT_NESTING.sub('', s)}$"
         if language == "js" and ":" in s:
             s = re.sub(r"\([^()?{}]*\)", lambda m: m[0].replace(":", "T"), s)
     elif language == "go":
@@ -227,21 +237,20 @@ def lex_python(text: str, pattern: re.Pattern, classes: Classes) -> str:
 def lex_ruby(text: str, pattern: re.Pattern, classes: Classes) -> str:
     """A block keyword that opens is written O( and its end )E; a modifier k; a loop's own do is dropped."""
     raw = "".join(classes[m.group()] for m in pattern.finditer(text))
-    out, loop, prev = ["^"], False, "N"
+    out, loop, prev, head = ["^"], False, "N", -1  # head: brackets open in a def's own line, -1 outside
     for c in raw:
         if c == " ":
             continue
         if c == "\n":
-            if prev not in "N.,bo=k^({[" or prev == "^":
+            if prev not in "N.,b=^({[":
                 out.append("N")
-            elif prev == "k" or prev == "o":
-                out.append("N")
-            prev, loop = "N", False
+            prev, loop, head = "N", False, -1
             continue
-        if prev in ".d" and c in "OcKkeEo":
+        if prev in ".d" and c in "OFcyKkE":
             c = "i"
-        if c == "O":
+        if c in "OF":
             out.append("O(")
+            head = 0 if c == "F" else -1
         elif c == "c":
             if prev in "N=(;^k":
                 out.append("O(")
@@ -249,15 +258,17 @@ def lex_ruby(text: str, pattern: re.Pattern, classes: Classes) -> str:
             else:
                 out.append("k")
                 c = "k"
-        elif c == "e" :
-            if loop:
-                loop = False
-                c = "k"
-            else:
-                out.append("O(")
+        elif c == "y":
+            out.append("N" if loop else "O(")
+            loop, c = False, "k"
         elif c == "E":
             out.append(")E")
+        elif c == "=" and head == 0 and prev in "i)w":
+            out.append(")E=")  # a method of one expression has no end
+            head = -1
         else:
+            if head >= 0:
+                head += (c in "([{") - (c in ")]}")
             out.append("N" if c == ";" else c)
         prev = c
     return "".join(out) + "$"
