@@ -67,9 +67,9 @@ def _one(*parts: str) -> re.Pattern:
 
 _COMMENT = {"//": " ", "/*": " "}
 _JS_WORDS = {
-    "K": "function class const var return throw new typeof delete void import export default case break continue debugger do try finally else let",
+    "K": "function class const var return throw new typeof delete void import export default case break continue debugger do try finally else let catch",
     "k": "in instanceof extends",
-    "c": "if for while switch with catch",
+    "c": "if for while switch with",
     "w": "async of from as get set static yield await target",
 }
 _TS_WORDS = _JS_WORDS | {"w": _JS_WORDS["w"] + " readonly private protected public abstract declare namespace module type interface keyof infer is asserts override satisfies unique global enum implements out accessor constructor unknown never any object"}
@@ -86,7 +86,7 @@ LEXERS: dict[str, tuple[re.Pattern, Classes]] = {
         _one(_MARK, _SLASH, r'b?r"[^"]*"', r'b?r#"(?s:.*?)"#', r'b?r##"(?s:.*?)"##', r'[bc]?"(?:[^"\\]|\\(?s:.))*"', r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'", r"'[^\W\d]\w*", r"r#\w+", r"\$?[^\W\d]\w*(?:!(?=\s*(?:[(\[{]|\w+\s*\{)))?", r"\d(?:\w|\.(?=\d))*", _OPS),
         Classes(
             {"|": "o", "||": "o", "&&": "o", "macro_rules!": "F"},
-            {"F": "use fn impl struct enum trait mod const static type extern unsafe async union", "V": "pub", "K": "let return if while loop match for move mut ref dyn box break continue else where as in await yield", "k": ""},
+            {"F": "use fn impl struct enum trait mod const static type extern unsafe async union", "V": "pub", "w": "crate", "K": "let return if while loop match for move mut ref dyn box break continue else where as in await yield", "k": ""},
             _COMMENT | {"'": "w"},
         ),
     ),
