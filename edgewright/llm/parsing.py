@@ -36,16 +36,17 @@ def forbidden_pairs() -> dict[str, set[str]]:
     touching = cross("i0s]", "i0s") | cross(")", "0s") | cross("}", "0s")
     out = {}
     out["js"] = anywhere | operators | touching - {"is"} | cross("i0s]", "Kc") | cross("c", alphabet.replace("(", "").replace("i", "").replace("w", "")) | cross("T", alphabet) | cross(alphabet, "T") | cross("#@", "$") | cross("d", alphabet) | cross(alphabet, "dt#P") | {"is", "d:", "gg$"} | cross("^", "gd") | cross("w", "0") | cross("a", ")],;$N}")
-    out["js"] -= {",,", "[,", ".s"} | {"cw"} | {"bg"}
+    out["js"] -= {",,", "[,", ".s", "cw", "bg", "}i", "}0", "}s"}
     out["js"] |= {"ci", "^."}
     out["ts"] = {p for p in out["js"] if "T" not in p} - {"=b", "(?", "?)", "?:", "?,", "?;", ":b"} - {"=o"}
-    out["ts"] -= {"?=", "u.", "u)", "u,", "u;", "u}"}  # the non-null mark
-    out["rs"] = anywhere | operators - {".0", "=b", "o)", "o,", "o=", "o}", "o:"} | touching | cross("i0s]", "FV") - {"iF", "]F", "]V"} | cross(")", "i") | cross("^", "gd0su") | {"^#"} - {"^#"} | cross("p", alphabet) | cross("@P", alphabet) - cross("@", "i(") | cross("d", "0s,;)]}.=$N") | cross("F", "0s)],;.=$") - {"Fs"} | cross("V", "0s)],;.=$")
+    out["ts"] -= {"?=", "u.", "u)", "u,", "u;", "u}", "u:"}  # the non-null mark
+    out["rs"] = anywhere | operators - {".0", "=b", "o)", "o,", "o=", "o}", "o:"} | touching | cross("i0s]", "FV") - {"iF", "]F", "]V"} | cross(")", "i") | cross("^", "gd0su") | {"^#"} - {"^#"} | cross("p", alphabet) | cross("P", alphabet) | cross("d", "0s,;)]}.=$N") | cross("F", "0s)],;.=$") - {"Fs"} | cross("V", "0s)],;.=$")
     out["rs"] -= {"[,"} | {"}0", "}s", "])"} | {"=.", ",="}
     out["java"] = anywhere | operators - {".=", "=b", "?,", "?)"} | touching - {"ii", "]i", "}i"} | cross("i0s", "Q") | cross("c", alphabet.replace("(", "")) | cross("Is", "s{") - {"s{"} | cross("^", "gd0su(") | cross("#P", alphabet) | cross(alphabet, "#") | cross("I", "s{$(=") | {"i0", "is", "0i", "si", "ss", "s0"} | cross("Q", "s{(;$") | cross("m", "0s)],;.=$")
     out["go"] = anywhere | operators - {".s", ",;", "=}", "o;"} | touching - {"ii", "]i"} | cross("^", "iw0s([{*@#PKkcFVId;g") | cross("i0s)", "QF") - {")F"} | cross("I", "iw{[=,)$") - {"Ii", "Iw"} | cross("Q", "s([{.;$0=") | cross("@#a?dt", alphabet) | cross(alphabet, "@#?dt") | {"i;.", "^;"} | cross(";", ".,=b:)") - {";)"}
-    out["go"] -= {"is"}  # a named import
+    out["go"] -= {"is", ";.", "iF"}  # a named or dotted import, a function type
     out["c"] = anywhere | operators - {"=b", "*)", "o,", "*,"} | touching - {"ii", "]i", "ss", "is", "si", "}i"} | cross("c", alphabet.replace("(", "")) | cross("^", "g0s(dtu[") | cross("d@#a", alphabet) | cross(alphabet, "d@#a") | {"i0", "0i", "s0"} | cross("m", "0s)=.$") - {"ms", "m)"} | cross("C", "0s()[],;.=$")
+    out["c"] -= {",."}  # a named initializer
     out["py"] = anywhere | operators - {",N", "[:", ",:", "[,", "=:"} - cross("=", ":") | touching - {"ss"} | cross(")", "i") | cross("}", "i") | cross("u@#PdpatCFQIVc", alphabet) - cross("u", "iw0s([{KuoH") | cross(alphabet, "?pacFQIV#") | cross("B", alphabet) - {"B>"} | cross("N^<yDB", ">") - {"B>"} | cross("^<yN>", "k") | cross("y", alphabet) - {"yh", "y<", "yy"} | cross("!", alphabet) | cross(alphabet, "!") | cross("^N>", "hl") - {"Nh", "Nl"} | {"^h", "^l", ">h", ">l", "Nh", "Nl"} | cross("ko", "N$)],;=") - {"oN", "kN"} | {"kN", "oN"} | cross("i0s)]}", "K") | cross("K", "=,.)]b") - {"K)", "K,", "K]"}
     out["py"] -= {"t" + x for x in "iw0s([{Ku"} | {"y$"} - {"y$"}
     out["py"] = {p for p in out["py"] if p[0] != "t" or p[1] in ")],;:.=$N"} | {"y$", "B$", "y<", "yy"}
@@ -59,7 +60,7 @@ PRODUCTIONS = {
     "rs": r"^(#u?\[\])*(V(\(\))?)?(K?F.*|i(d[iw])*i?(\(\);|\[\];|\{\};?)|;)$|^#u\[\]$",
     "java": r"^(Q[iw](\.[iw])*;|I[mw]?[iw](\.[iw])*(\.\*)?;|(@(\(\))?|m|w(o[iw])?)*(C|w)[iw].*\{\};?|;)$",
     "go": r"^(Q[iw];?|I.*|F.*|V.*|;)$",
-    "c": r"^(P|;|[mCiw*]+(\[\]|\(\))*(=.*)?(,.*)?;|[mCiw*]+(\(\))+[^=]*(\{\});?|[mCiw*]+\(\);|m?C[iw]?\{\}[^.sd]*;|m?C[iw]?\{\}|ms\{\}|m[^s.:]*;|[iw]\(\)|[mCiw*]+\(\)\(\).*;)$",
+    "c": r"^(P|;|[mCiw*]+(\[\]|\(\))*(=.*)?(,.*)?;|[mCiw*]+(\(\))+[^=.:s]*\{\};?|[mCiw*]+\(\);|m*C[iw]?\{\}[^.sd]*;|m*C[iw]?\{\}|ms\{\}|m[^s.:]*;|[iw]\(\)|[mCiw*]+\(\)\(\).*;)$",
     "py": r"^((H|h|l).*(:.*[N]|B)|[^Hhl].*N|f.*k.*N)$",
     "rb": r"^(?!.*(iii|[(,]ii[,)o*=]|s\.?s?i0)).*$",
 }
@@ -77,7 +78,8 @@ def _top(s: str, lang: str) -> list[str]:
     ahead = {"rs": ";,.)]bo=?K*k", "java": ";,.)]bo=?", "go": ";,.([{bo=?gK", "c": ";,.)]bo=?iw*["}[lang]
     for m in re.finditer(r"\{\}|;|P", flat):
         if m[0] == "{}" and m.end() < n and flat[m.end()] in ahead:
-            continue
+            if not (lang == "c" and flat[m.start() - 1 : m.start()] == ")"):  # a function's body ends its declaration
+                continue
         if m.start() < a:
             continue
         out.append(flat[a : m.end()])
