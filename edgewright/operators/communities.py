@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgewright.operators.graph import _csr, _lists, _ranked, coded, in_one_task, is_small, neighbours
+from edgewright.operators.graph import _csr, _lists, _ranked, coded, in_one_task, neighbours, sized
 from edgewright.session import cut
 
 
@@ -90,8 +91,8 @@ def communities(edges: DataFrame, resolution: float = 1.0, passes: int = 10, ker
     The sequential kernel serves graphs of checked size. Larger ones move one half of the nodes at a time by joins; that
     gives communities of the same kind, not the same ones (the order of moves decides, as it does in the kernel).
     """
-    e = edges.select("from_key", "to_key")
-    if is_small(e) if kernel is None else kernel:
+    e, kernel = sized(edges.select("from_key", "to_key"), kernel)
+    if kernel:
         return in_one_task(e, _moving_kernel(resolution, passes), "key string, community long")
     return _moving_joins(e, resolution, passes)
 
@@ -113,10 +114,35 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.sum(F.col("n") - F.col("o") * F.col("i") / F.lit(float(m))) / F.lit(2.0 * m), F.lit(0.0)).alias("modularity"))
 
 
-def label_clusters(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def _label_kernel(rounds: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, src, dst = _csr(rows)
+        n = len(keys)
+        both = np.unique(np.concatenate([src * np.int64(n) + dst, dst * np.int64(n) + src]))
+        a, b = both // n, both % n
+        label = np.arange(n)
+        for _ in range(rounds):
+            pair, count = np.unique(a * np.int64(n) + label[b], return_counts=True)
+            node, seen = pair // n, pair % n
+            order = np.lexsort((seen, -count, node))
+            first = np.concatenate([[True], node[order][1:] != node[order][:-1]])
+            new = label.copy()
+            new[node[order][first]] = seen[order][first]
+            if (new == label).all():
+                break
+            label = new
+        return pd.DataFrame({"key": keys, "label": keys[label]})
+
+    return run
+
+
+def label_clusters(edges: DataFrame, rounds: int = 10, kernel: bool | None = None) -> DataFrame:
     """(key, label): each node takes the most frequent label of its distinct undirected neighbours (itself included if
     it has an edge on itself), the least key among equals, in synchronous rounds."""
-    near = cut(neighbours(edges))
+    pairs, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
+    if kernel:
+        return in_one_task(pairs, _label_kernel(rounds), "key string, label string")
+    near = cut(neighbours(pairs))
     state = near.select("key").distinct().withColumn("label", F.col("key"))
     for _ in range(rounds):
         seen = near.join(state.select(F.col("key").alias("other"), "label"), "other").groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import estimated_tokens
-from edgewright.operators.graph import in_one_task, is_small
+from edgewright.operators.graph import in_one_task, is_small, sized
 from edgewright.operators.traversal import impact_forward
 from edgewright.session import cut
 
@@ -63,11 +63,14 @@ def smart_context(edges: DataFrame, focus: str, budget: int = 4000) -> DataFrame
     candidates, all of at least 100 tokens, the most relevant are filled in.
     """
     pairs = edges.select("from_key", "to_key").distinct()
-    ahead = cut(impact_forward(pairs, focus, DEPTHS + 1))
+    pairs, small = sized(pairs)
+    schema = "position int, key string, relevance double, relevance_type string, estimated_tokens int"
+    if small:
+        return in_one_task(pairs, _context_kernel(focus, budget), schema)
+    ahead = cut(impact_forward(pairs, focus, DEPTHS + 1, False))
     inside = ahead.filter(F.col("distance") <= DEPTHS).select(F.col("node").alias("from_key"))
     start = edges.sparkSession.createDataFrame([(focus,)], "from_key string")
     near = cut(pairs.join(inside.unionByName(start).distinct(), "from_key", "left_semi").unionByName(pairs.filter(F.col("to_key") == focus)).distinct())
-    schema = "position int, key string, relevance double, relevance_type string, estimated_tokens int"
     if is_small(near):
         return in_one_task(near, _context_kernel(focus, budget), schema)
     callers = pairs.filter(F.col("to_key") == focus).select(F.col("from_key").alias("key"), F.lit(1.0).alias("relevance"), F.lit("direct_caller").alias("relevance_type"))

@@ -29,6 +29,12 @@ def is_small(edges: DataFrame, limit: int | None = None) -> bool:
     return edges.limit(limit + 1).count() <= limit
 
 
+def sized(edges: DataFrame, kernel: bool | None = None) -> tuple[DataFrame, bool]:
+    """The edges, written once so that counting and computing do not each derive them, and whether a kernel may take them."""
+    edges = cut(edges)
+    return edges, is_small(edges) if kernel is None else kernel
+
+
 def in_one_task(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Run a kernel over the whole (checked) edge list."""
 
@@ -157,8 +163,8 @@ def _scc_joins(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, kernel: bool | None = None) -> DataFrame:
     """(key, component): strongly connected components, named by their least key; single nodes included."""
-    pairs = edges.select("from_key", "to_key").distinct()
-    return in_one_task(pairs, _scc_kernel, "key string, component string") if (is_small(pairs) if kernel is None else kernel) else _scc_joins(pairs)
+    pairs, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
+    return in_one_task(pairs, _scc_kernel, "key string, component string") if kernel else _scc_joins(pairs)
 
 
 def component_sizes(parts: DataFrame) -> DataFrame:
@@ -182,6 +188,8 @@ def _ranked(rows: DataFrame, name: str, order: list, first: int = 1) -> DataFram
 
 
 def _cycle_kernel(rows: pd.DataFrame) -> pd.DataFrame:
+    if not len(rows):
+        return pd.DataFrame({"length": pd.Series(dtype="int32"), "path": pd.Series(dtype=object)})
     keys, src, dst = _csr(rows)
     start, to = _lists(src, dst, len(keys))
     colour, out = [0] * len(keys), []
@@ -212,14 +220,21 @@ def _cycle_kernel(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["length", "path"]).astype({"length": "int32"})
 
 
-def cycles(edges: DataFrame, most_edges: int = KERNEL_EDGES) -> DataFrame:
+def _inner_cycle_kernel(rows: pd.DataFrame) -> pd.DataFrame:
+    part = _scc_kernel(rows).set_index("key")["component"]
+    return _cycle_kernel(rows[part.loc[rows["from_key"]].to_numpy() == part.loc[rows["to_key"]].to_numpy()])
+
+
+def cycles(edges: DataFrame, most_edges: int = KERNEL_EDGES, kernel: bool | None = None) -> DataFrame:
     """(length, path): one cycle per back edge of a depth-first search in key order; the path repeats its first key.
 
     Only edges inside a component or on themselves can lie on a cycle: the search runs per component. Which cycles are
     found depends on the order of visiting, so this is sequential by nature; a component of more than `most_edges`
     edges is given as one row of length null and its least key instead of being searched.
     """
-    pairs = edges.select("from_key", "to_key").distinct()
+    pairs, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
+    if kernel and most_edges >= KERNEL_EDGES:
+        return in_one_task(pairs, _inner_cycle_kernel, "length int, path array<string>")
     part = components(pairs)
     a = part.select(F.col("key").alias("from_key"), F.col("component").alias("ca"))
     b = part.select(F.col("key").alias("to_key"), F.col("component").alias("cb"))
@@ -271,8 +286,8 @@ def _pagerank_joins(edges: DataFrame, damping: float, tolerance: float, most: in
 
 def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100, kernel: bool | None = None) -> DataFrame:
     """(key, score): parallel edges weigh as often as they stand; the mass of nodes without an edge out is spread evenly."""
-    e = edges.select("from_key", "to_key")
-    if is_small(e) if kernel is None else kernel:
+    e, kernel = sized(edges.select("from_key", "to_key"), kernel)
+    if kernel:
         return in_one_task(e, _pagerank_kernel(damping, tolerance, most), "key string, score double")
     return _pagerank_joins(e, damping, tolerance, most)
 
@@ -286,7 +301,7 @@ def _brandes(start: np.ndarray, to: np.ndarray, sources: np.ndarray) -> np.ndarr
     total = np.zeros(n)
     degree = np.diff(start)
     for s in sources.tolist():
-        sigma, dist, delta = np.zeros(n), np.full(n, -1, dtype=np.int32), np.zeros(n)
+        sigma, dist, delta = np.zeros(n), np.full(n, -1, dtype=np.int8 if n < 127 else np.int32), np.zeros(n)
         sigma[s], dist[s] = 1.0, 0
         level, levels = np.array([s]), []
         d = 0
@@ -298,16 +313,15 @@ def _brandes(start: np.ndarray, to: np.ndarray, sources: np.ndarray) -> np.ndarr
             ends = np.cumsum(reps)
             at = np.arange(m) + np.repeat(start[level] - (ends - reps), reps)
             a, b = np.repeat(level, reps), to[at]
-            fresh = dist[b] < 0
-            dist[b[fresh]] = d + 1
-            tree = dist[b] == d + 1
+            tree = dist[b] < 0
             a, b = a[tree], b[tree]
-            np.add.at(sigma, b, sigma[a])
+            dist[b] = d + 1
+            sigma += np.bincount(b, weights=sigma[a], minlength=n)
             levels.append((a, b))
-            level = np.unique(b)
+            level = np.flatnonzero(dist == d + 1)
             d += 1
         for a, b in reversed(levels):
-            np.add.at(delta, a, sigma[a] / sigma[b] * (1 + delta[b]))
+            delta += np.bincount(a, weights=sigma[a] / sigma[b] * (1 + delta[b]), minlength=n)
         delta[s] = 0
         total += delta
     return total
@@ -379,8 +393,8 @@ def betweenness(edges: DataFrame, kernel: bool | None = None, batch: int = 1000)
 
     A graph of checked size is sent to all tasks, each of which takes its share of the sources.
     """
-    e = edges.select("from_key", "to_key")
-    return _betweenness_kernels(e) if (is_small(e) if kernel is None else kernel) else _betweenness_joins(e, batch)
+    e, kernel = sized(edges.select("from_key", "to_key"), kernel)
+    return _betweenness_kernels(e) if kernel else _betweenness_joins(e, batch)
 
 
 def ranked_scores(scores: DataFrame, top: int | None = None) -> DataFrame:
@@ -435,5 +449,5 @@ def _kcore_joins(edges: DataFrame) -> DataFrame:
 
 def coreness(edges: DataFrame, kernel: bool | None = None) -> DataFrame:
     """(key, coreness): undirected, by the fixpoint in which a node's value is the h-index of its neighbours' values."""
-    pairs = edges.select("from_key", "to_key").distinct()
-    return in_one_task(pairs, _kcore_kernel, "key string, coreness long") if (is_small(pairs) if kernel is None else kernel) else _kcore_joins(pairs)
+    pairs, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
+    return in_one_task(pairs, _kcore_kernel, "key string, coreness long") if kernel else _kcore_joins(pairs)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from edgewright.functions.scalars import debt_severity, entropy_level, metric_status
 from edgewright.operators.graph import _ranked, neighbours, nodes_of
 from edgewright.schemas import EDGE_TYPES
+from edgewright.session import cut
 
 #: Thresholds of the metrics, and hours of debt.
 CBO_FAIL, LCOM_FAIL, RFC_WARN, WMC_WARN = 10, 0.8, 50, 50
@@ -69,6 +70,7 @@ def weight(edges: DataFrame) -> DataFrame:
 
 def ck_metrics(edges: DataFrame, contains: str | None = None) -> DataFrame:
     """(key, cbo, lcom, rfc, wmc, *_status, grade) per node, optionally of keys that contain a text."""
+    edges = cut(edges)  # read by each of the metrics
     rows = nodes_of(edges)
     for part, zero in ((coupling(edges), {"cbo": 0}), (cohesion(edges), {"lcom": 0.0}), (response(edges), {"rfc": 0}), (weight(edges), {"wmc": 0})):
         rows = rows.join(part, "key", "left").na.fill(zero)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import name_of_key
+from edgewright.operators.graph import in_one_task, sized
 from edgewright.session import cut
 
 
@@ -44,13 +46,47 @@ def callers(edges: DataFrame, key: str) -> DataFrame:
     return callers_of(edges, spark.createDataFrame([(key,)], "key string")).drop("key").withColumn("source_location", _place())
 
 
-def impact_backward(edges: DataFrame, key: str, hops: int = 3) -> DataFrame:
+def _search_kernel(key: str, hops: int, backward: bool):
+    """Breadth first over the whole edge list; backward follows callers, by key or by the name they call."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[str]] = {}
+        for a, b in zip(rows["from_key"], rows["to_key"]):
+            if backward:
+                near.setdefault(b, []).append(a)
+                p = b.split(":")
+                if p[0] == "rust" and len(p) > 3 and p[1] in ("fn", "method"):
+                    near.setdefault("\0" + p[2], []).append(a)
+            else:
+                near.setdefault(a, []).append(b)
+        found, seen, frontier = [], {key} if backward else set(), [key]
+        for hop in range(1, hops + 1):
+            new = []
+            for k in frontier:
+                p = k.split(":")
+                for w in (*near.get(k, ()), *(near.get("\0" + p[2], ()) if backward and len(p) > 2 else ())):
+                    if w not in seen:
+                        seen.add(w)
+                        new.append(w)
+            if not new:
+                break
+            found += [(hop, w) for w in new]
+            frontier = new
+        return pd.DataFrame(found, columns=["hop", "key"])
+
+    return run
+
+
+def impact_backward(edges: DataFrame, key: str, hops: int = 3, kernel: bool | None = None) -> DataFrame:
     """(hop, from_key): callers found at each hop, breadth first; the start is never returned; one join per hop."""
+    edges, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
+    if kernel:
+        return in_one_task(edges, _search_kernel(key, hops, True), "hop int, key string").withColumnRenamed("key", "from_key")
     spark = edges.sparkSession
     seen = spark.createDataFrame([(key,)], "key string")
     frontier, out = seen, spark.createDataFrame([], "hop int, from_key string")
     for hop in range(1, hops + 1):
-        step = callers_of(edges.select("from_key", "to_key").distinct(), frontier).select(F.col("from_key").alias("key")).distinct()
+        step = callers_of(edges, frontier).select(F.col("from_key").alias("key")).distinct()
         frontier = cut(step.join(seen, "key", "left_anti"))
         if frontier.isEmpty():
             break
@@ -59,10 +95,13 @@ def impact_backward(edges: DataFrame, key: str, hops: int = 3) -> DataFrame:
     return out
 
 
-def impact_forward(edges: DataFrame, key: str, hops: int) -> DataFrame:
+def impact_forward(edges: DataFrame, key: str, hops: int, kernel: bool | None = None) -> DataFrame:
     """(node, distance): least number of edges from the key, up to `hops`; the key itself only if a cycle leads back."""
+    pairs, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
+    if kernel:
+        return in_one_task(pairs, _search_kernel(key, hops, False), "hop int, key string").select(F.col("key").alias("node"), F.col("hop").alias("distance"))
     spark = edges.sparkSession
-    pairs, empty = edges.select("from_key", "to_key").distinct(), spark.createDataFrame([], "node string, distance int")
+    empty = spark.createDataFrame([], "node string, distance int")
     frontier, seen = spark.createDataFrame([(key,)], "from_key string"), empty
     for hop in range(1, hops + 1):
         step = pairs.join(frontier, "from_key", "left_semi").select(F.col("to_key").alias("node")).distinct()
@@ -74,9 +113,9 @@ def impact_forward(edges: DataFrame, key: str, hops: int) -> DataFrame:
     return seen
 
 
-def reachable(edges: DataFrame, key: str) -> DataFrame:
+def reachable(edges: DataFrame, key: str, kernel: bool | None = None) -> DataFrame:
     """(node): everything reachable from the key; cycles end; the key itself only if it lies on one."""
-    return impact_forward(edges, key, 1 << 30).select("node")
+    return impact_forward(edges, key, 1 << 30, kernel).select("node")
 
 
 def impact_summary(hops: DataFrame) -> DataFrame:

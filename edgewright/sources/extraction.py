@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import content_hash, is_test_file, key_v2, semantic_path
+from edgewright.session import cut
 from edgewright.sources.lexing import LANGUAGE, LEXERS
 
 #: Words that open a definition, with the kind of entity, per language.
@@ -231,7 +232,7 @@ def extracted_edges(files: DataFrame, rows: DataFrame | None = None, entities: D
     """
     from edgewright.operators.matching import containing_entity
 
-    rows = extracted(files) if rows is None else rows
+    rows = cut(extracted(files)) if rows is None else rows
     ents = entities
     if ents is None:
         ents = extracted_entities(files, rows).withColumn("isgl1_key", F.concat_ws(":", "language", _token(), "name", semantic_path("file_path"), F.concat_ws("-", "line_start", "line_end")))

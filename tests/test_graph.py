@@ -106,6 +106,8 @@ def test_cycles(edges_of):
     got = sorted((r.length, r.path) for r in graph.cycles(edges_of(G8 + " A>A")).collect())
     assert got == [(1, ["A", "A"]), (2, ["G", "H", "G"]), (3, ["D", "E", "F", "D"])]
     assert graph.cycles(edges_of(CHAIN)).count() == 0
+    text = "Z>A A>B B>C C>A B>A C>D D>C E>C D>E"
+    assert sorted(r.path for r in graph.cycles(edges_of(text), kernel=True).collect()) == sorted(r.path for r in graph.cycles(edges_of(text), kernel=False).collect())
 
 
 def test_empty_graph(spark):
@@ -164,19 +166,24 @@ def test_modularity_and_communities(spark, edges_of):
 
 def test_label_clusters(edges_of):
     got = as_dict(C.label_clusters(edges_of("A>B B>C C>A X>Y Y>Z Z>X")), "label")
+    text = "A>B B>C C>A A>D D>E E>F F>D G>G H>G"
+    assert as_dict(C.label_clusters(edges_of(text), kernel=True), "label") == as_dict(C.label_clusters(edges_of(text), kernel=False), "label")
     assert len({got[k] for k in "ABC"}) == 1 and len({got[k] for k in "XYZ"}) == 1 and got["A"] != got["X"]
     rows = C.cluster_edges(edges_of("A>B B>C C>A X>Y Y>Z Z>X C>X"), C.label_clusters(edges_of("A>B B>C C>A X>Y Y>Z Z>X"))).orderBy("cluster_id").collect()
     assert [(r.entity_count, r.internal_edges, r.external_edges) for r in rows] == [(3, 3, 1), (3, 3, 1)]
 
 
-def test_traversal(edges_of):
+@pytest.mark.parametrize("kernel", [True, False])
+def test_traversal(spark, edges_of, kernel):
     e = edges_of("A>B B>C C>D A>C")
-    assert {(r.node, r.distance) for r in traversal.impact_forward(e, "A", 1).collect()} == {("B", 1), ("C", 1)}
-    assert {(r.node, r.distance) for r in traversal.impact_forward(e, "A", 5).collect()} == {("B", 1), ("C", 1), ("D", 2)}  # the shorter way counts
-    assert traversal.impact_forward(e, "A", 0).count() == 0
+    assert {(r.node, r.distance) for r in traversal.impact_forward(e, "A", 1, kernel).collect()} == {("B", 1), ("C", 1)}
+    assert {(r.node, r.distance) for r in traversal.impact_forward(e, "A", 5, kernel).collect()} == {("B", 1), ("C", 1), ("D", 2)}  # the shorter way counts
+    assert traversal.impact_forward(e, "A", 0, kernel).count() == 0
     loop = edges_of("A>B B>C C>A")
-    assert {r.node for r in traversal.reachable(loop, "A").collect()} == {"A", "B", "C"}
-    assert {(r.hop, r.from_key) for r in traversal.impact_backward(loop, "A", 9).collect()} == {(1, "C"), (2, "B")}
+    assert {r.node for r in traversal.reachable(loop, "A", kernel).collect()} == {"A", "B", "C"}
+    assert {(r.hop, r.from_key) for r in traversal.impact_backward(loop, "A", 9, kernel).collect()} == {(1, "C"), (2, "B")}
+    named = spark.createDataFrame([("x", "rust:fn:f:a:1-2"), ("y", "go:fn:f:p:T1"), ("z", "x")], "from_key string, to_key string")
+    assert {(r.hop, r.from_key) for r in traversal.impact_backward(named, "go:fn:f:p:T1", 2, kernel).collect()} == {(1, "x"), (1, "y"), (2, "z")}
 
 
 def test_callers_by_name(edges_of):
