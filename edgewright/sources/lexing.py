@@ -110,7 +110,7 @@ LEXERS: dict[str, tuple[re.Pattern, Classes]] = {
         _one(_MARK, r"#[^\n]*", r"\\\n", r"(?i:[rbuft]{0,2})(?:\"\"\"(?:[^\\]|\\(?s:.))*?\"\"\"|'''(?:[^\\]|\\(?s:.))*?''')", r"\"\"\"|'''", r"(?i:[rbuft]{0,2})(?:" + _STR + "|" + _CHR + ")", r"\n[ \t\f]*", r"[^\W\d]\w*", _NUM, _OPS.replace(r"\n|", r"//=|//|@=|")),
         Classes(
             {"//": "b", "@": "b", "//=": "=", "@=": "=", "|": "b", "!": "X", "?": "X", "++": "o", "--": "o", "&&": "X", "||": "X", "===": "X", "=>": "X", "::": ":", ";": ";", "~": "u", '"""': "X", "'''": "X", "^": "b"},
-            {"H": "def class if elif else for while with try except finally", "k": "in is and or as import from", "u": "not", "K": "return yield await raise assert del global nonlocal lambda async", "i": "pass break continue", "w": "match case type print"},
+            {"H": "def class if elif else for while with try except finally", "k": "in is and or as import from", "u": "not", "K": "return raise assert del global nonlocal async", "i": "pass break continue", "w": "match case type print lambda yield await"},
             {"#": " ", "\\\n": " "},
         ),
     ),
