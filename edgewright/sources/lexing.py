@@ -38,12 +38,13 @@ class Classes(dict):
 
     def __init__(self, exact: dict[str, str], words: dict[str, str], first: dict[str, str]):
         super().__init__(_EXACT | exact)
+        self.fixed = _EXACT | exact
         self.words, self.first = {w: c for c, ws in words.items() for w in _words(ws)}, first
 
     def __missing__(self, t: str) -> str:
         if len(self) > 200_000:  # strings and comments of many files: forget them
-            for k in [k for k in self if k not in _EXACT]:
-                del self[k]
+            self.clear()
+            self.update(self.fixed)
         h = t[0]
         c = self.words.get(t)
         if c is None:
