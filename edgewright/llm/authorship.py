@@ -28,12 +28,15 @@ MINIFIED_PATH = r"[.-]min\.[cm]?[jt]sx?$"
 GENERATED_PATH = r"(_pb2(_grpc)?\.pyi?|\.pb\.(go|cc|h|c)|\.g\.[cm]?[jt]sx?|[._]generated\.\w+|[._]gen\.go|\.tab\.[ch]|\.lex\.c|\.designer\.\w+)$"
 LOCKFILE = r"(^|/)(package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|Cargo\.lock|poetry\.lock|Pipfile\.lock|Gemfile\.lock|composer\.lock|go\.sum)$"
 
-#: A text is data when this share of it is literals, compressed when fewer of its characters are blanks, and a tool's
-#: repetition when no more of its lines are distinct, numbers aside; shorter texts are not judged by the latter two.
+#: A text is data when this share of it is literals and it has no statements, compressed when fewer of its characters
+#: (literals aside) are blanks, and a tool's repetition when no more of its lines are distinct, numbers aside; shorter
+#: texts are not judged by the latter two.
 DATA_SHARE, BLANK_SHARE, DISTINCT_SHARE, LEAST_SIZE, LEAST_LINES = 0.75, 0.05, 0.3, 200, 20
 
 _OWNER = re.compile(r"(?:copyright \(c\)(?: \d{4})? the|part of the) (\S+) (?:authors|contributors|project)\b", re.I)
 _LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`|(?<![\w.])-?(?:0x[0-9a-fA-F]+|\d[\d.]*)[,\s]*')
+_STATEMENT = re.compile(r"\b(func|def|fn|function|for|while|return|if|switch|match)\b")
+_COMMENT = re.compile(r"^(//|#|/?\*)")
 _NUMBER = re.compile(r"\w*\d{2,}\w*|\d+")
 _HASH = ("py", "rb")
 
@@ -104,12 +107,14 @@ def reason_of(text: str, ext: str, repository: str) -> str | None:
             return "vendored"
     lines = [s for row in text.split("\n") if (s := row.strip())]
     n = len(text)
-    if n >= LEAST_SIZE and text.count(" ") + text.count("\t") < BLANK_SHARE * n:
-        return "data" if sum(map(len, _LITERAL.findall(text))) >= DATA_SHARE * n else "minified"
+    literal = sum(map(len, _LITERAL.findall(text)))
+    if literal >= DATA_SHARE * n and not _STATEMENT.search(_LITERAL.sub(" ", "\n".join(s for s in lines if not _COMMENT.match(s)))):
+        return "data"
+    # literals aside, so that a long address in code is no sign of compression
+    if n - literal >= LEAST_SIZE and text.count(" ") + text.count("\t") < BLANK_SHARE * (n - literal):
+        return "minified"
     if len(lines) >= LEAST_LINES and len(set(_NUMBER.sub("0", "\n".join(lines)).split("\n"))) <= DISTINCT_SHARE * len(lines):
         return "generated"
-    if sum(map(len, _LITERAL.findall(text))) >= DATA_SHARE * n:
-        return "data"
     return None
 
 

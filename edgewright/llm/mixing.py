@@ -23,7 +23,7 @@ def clean_source(col="source") -> F.Column:
     return F.regexp_replace(F.lower(F.trim(F.col(col))), r"[\s_-]+", "_")
 
 
-def solve_tilts(sizes: DataFrame, goals: dict[str, tuple[float, int, float]], tolerance: float = 1e-10, most: int = 80) -> dict[str, float]:
+def solve_tilts(sizes: DataFrame, goals: dict[str, tuple[float, int, float]], tolerance: float = 1e-7, most: int = 80) -> dict[str, float]:
     """The dual variable of each source: sum over its texts of n * min(cap, exp(tilt * n / mean)) = goal.
 
     sizes: (src, n_tokens, n), goals: src -> (goal in tokens, cap, mean size). The dual is convex and separable; each

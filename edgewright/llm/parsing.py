@@ -50,6 +50,7 @@ def forbidden_pairs() -> dict[str, set[str]]:
     out["py"] = anywhere | operators - {",N", "[:", ",:", "[,", "=:"} - cross("=", ":") | touching - {"ss"} | cross(")", "i") | cross("}", "i") | cross("u@#PdpatCFQIVc", alphabet) - cross("u", "iw0s([{KuoH") | cross(alphabet, "?pacFQIV#") | cross("B", alphabet) - {"B>"} | cross("N^<yDB", ">") - {"B>"} | cross("^<yN>", "k") | cross("y", alphabet) - {"yh", "y<", "yy"} | cross("!", alphabet) | cross(alphabet, "!") | cross("^N>", "hl") - {"Nh", "Nl"} | {"^h", "^l", ">h", ">l", "Nh", "Nl"} | cross("ko", "N$)],;=") - {"oN", "kN"} | {"kN", "oN"} | cross("i0s)]}", "K") | cross("K", "=,.)]b") - {"K)", "K,", "K]"}
     out["py"] -= {"t" + x for x in "iw0s([{Ku"} | {"y$"} - {"y$"}
     out["py"] = {p for p in out["py"] if p[0] != "t" or p[1] in ")],;:.=$N"} | {"y$", "B$", "y<", "yy"}
+    out["py"] |= {"KK"}
     out["py"] -= {"=s", "e.", "e,"}
     out["rb"] = anywhere | {p for p in operators if "N" not in p and "{" not in p and "o" not in p and p[0] != "?"} - {"[,", ".(", ",=", "=b", "(b", ",:"} | cross("0s]}", "i0s") - {"ss", "si"} | cross(")", "i0s") | cross("^", "gd0{u(") | {")t", ")a", "=$"} | cross("P@pC", alphabet) | cross(alphabet, "pP@") | {":="} | cross("i", "0") - {"i0"} | {"):", "]:"} | cross("=", ")]") | {"=N"} - {"=N"}
     return out
