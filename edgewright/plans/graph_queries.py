@@ -245,12 +245,20 @@ def betweenness(spark, d):
     return rounded(graph.betweenness(typed(spark, d)), "score", digits=4)
 
 
-@query()
+_CORE = """, near as (select from_key as key, to_key as other from p union select to_key, from_key from p),
+  kc(it, key, c) as (select 0, key, count(*) from near group by key union all
+    select it + 1, key, max(least(est, rn)) from (select n.key, o.it, o.c as est, row_number() over (partition by n.key order by o.c desc) as rn from near n join kc o on o.key = n.other where o.it < 40) group by it, key)"""
+
+
+@query("select key, c as coreness, case when c >= 8 then 'CORE' when c >= 3 then 'MID' else 'PERIPHERAL' end as layer from kc where it = 40")
 def coreness(spark, d):
     rows = graph.coreness(typed(spark, d))
     return rows.withColumn("layer", S.core_layer("coreness"))
 
 
+SQL["coreness"] = SQL["coreness"].replace(_PRELUDE, _PRELUDE.rstrip() + _CORE)
+
+
 @query()
 def communities(spark, d):
     return C.communities(typed(spark, d))
