@@ -23,15 +23,23 @@ DEFINES = {
     "go": {"func": "function", "struct": "struct", "interface": "interface"},
     "c": {"struct": "struct", "enum": "enum", "union": "struct"},
     "rb": {"def": "function", "class": "class", "module": "module"},
+    "cpp": {"struct": "struct", "enum": "enum", "union": "struct", "class": "class", "namespace": "module"},
+    "cs": {"class": "class", "struct": "struct", "interface": "interface", "enum": "enum", "record": "class", "namespace": "module"},
+    "php": {"function": "function", "class": "class", "interface": "interface", "trait": "trait", "enum": "enum"},
+    "swift": {"func": "function", "class": "class", "struct": "struct", "enum": "enum", "protocol": "interface", "extension": "impl"},
 }
-NAMES = {"rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "c": "c", "rb": "ruby"}
+EXTENSIONS = LANGUAGE | dict.fromkeys(("cpp", "cc", "cxx", "hpp"), "cpp") | {"cs": "cs", "php": "php", "swift": "swift", "mjs": "js"}
+NAMES = {"cpp": "cpp", "cs": "csharp", "php": "php", "swift": "swift", "rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "c": "c", "rb": "ruby"}
 #: Lines that import something; the first group that matched is the module.
 IMPORTS = {
     "rs": re.compile(r"^\s*(?:pub\s+)?use\s+([\w:]+)", re.M), "py": re.compile(r"^\s*(?:from\s+([\w.]+)\s+import\b|import\s+([\w.]+))", re.M),
     "js": re.compile(r"""^\s*import\b[^'"\n]*['"]([^'"]+)['"]|\brequire\(\s*['"]([^'"]+)['"]""", re.M), "java": re.compile(r"^\s*import\s+(?:static\s+)?([\w.]+)", re.M),
     "go": re.compile(r"""^\s*(?:import\s+)?(?:\w+\s+)?"([\w./-]+)"\s*$""", re.M), "c": re.compile(r"""^[ \t]*#[ \t]*include[ \t]*[<"]([^>"]+)[>"]""", re.M), "rb": re.compile(r"""^\s*require(?:_relative)?\s+['"]([^'"]+)['"]""", re.M),
 }
-IMPORTS["ts"] = IMPORTS["js"]
+IMPORTS["ts"], IMPORTS["cpp"] = IMPORTS["js"], IMPORTS["c"]
+IMPORTS["cs"] = re.compile(r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;", re.M)
+IMPORTS["php"] = re.compile(r"""^\s*use\s+([\w\\]+)|\b(?:require|include)(?:_once)?\s*\(?\s*['"]([^'"]+)""", re.M)
+IMPORTS["swift"] = re.compile(r"^\s*import\s+(?:\w+\s+)?([\w.]+)", re.M)
 _TRAIT = re.compile(r"\bimpl(?:<[^>{]*>)?\s+([\w:]+)(?:<[^{]*?>)?\s+for\s+(\w+)")
 _NOT_CALLED = frozenset("if for while switch catch return match with function elif except and or not in is lambda await typeof sizeof super this fn func def defer go case new throw print".split())
 
@@ -50,7 +58,7 @@ def extract(text: str, lang: str) -> tuple[list[tuple[str, str, int, int]], list
         t = m.group()
         line += text.count("\n", at, m.start())
         at = m.start()
-        if t[0] == "\n" or t[:2] in ("//", "/*") or (t[0] == "#" and lang in ("py", "rb")) or (lang == "c" and t.lstrip()[:1] == "#"):
+        if t[0] == "\n" or t[:2] in ("//", "/*") or (t[0] == "#" and lang in ("py", "rb")) or (lang in ("c", "cpp", "cs", "php") and t.lstrip()[:1] == "#"):
             if t[0] == "\n" and lang in ("py", "rb"):
                 toks.append(("\n", "\n", line + 1, len(t) - 1))
             continue
@@ -134,17 +142,17 @@ def _by_braces(toks: list, words: dict, lang: str, last: int) -> tuple[list, lis
             if 0 <= j < len(toks) and toks[j][0].isidentifier() and paren == 0:
                 if lang != "c" or kind != "function":
                     ahead = toks[j + 1][0] if j + 1 < len(toks) else ""
-                    if lang != "c" or ahead == "{":
+                    if lang not in ("c", "cpp") or ahead in ("{", ":"):
                         pending = (_kind(kind, stack), toks[j][0] + (_generics(toks, j + 1) if kind != "function" and kind != "method" else ""), line)
         elif _called(toks, i):
             prev = toks[i - 1][0] if i else ""
             if prev in words and (lang != "go" or prev == "func") or (lang == "go" and pending and pending[1] == t):
                 continue
             body = stack[-1] if stack else None
-            member = body is not None and body[0] in ("class", "interface", "enum") and depth == body[3] and lang in ("js", "ts", "java")
-            top = lang == "c" and depth == 0
+            member = body is not None and body[0] in ("class", "struct", "interface", "enum") and depth == body[3] and lang in ("js", "ts", "java", "cpp", "cs")
+            top = lang == "c" and depth == 0 or lang == "cpp" and (depth == 0 or body is not None and body[0] == "module" and depth == body[3])
             if (member or top) and paren == 0 and pending is None and prev not in (".", "=", "new", "return", "@"):
-                pending = ("method" if member else "function", t, line)
+                pending = ("method" if member or prev == "::" else "function", t, line)
             elif depth:
                 calls.append((t.rstrip("!"), line))
     ents += [(k, n, f, last) for k, n, f, _d in stack]
@@ -205,7 +213,7 @@ def extracted(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for path, ext, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                lang = LANGUAGE[ext]
+                lang = EXTENSIONS[ext]
                 ents, deps = extract(text, lang)
                 out += [(path, NAMES[lang], k, n, a, b, None) for k, n, a, b in ents]
                 out += [(path, NAMES[lang], None, n, a, a, e) for e, n, a in deps]
@@ -214,7 +222,7 @@ def extracted(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     ext = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z]+)$", 1))
-    rows = files.filter("current_code is not null and file_path is not null").select("file_path", ext.alias("ext"), "current_code").filter(F.col("ext").isin(list(LANGUAGE)))
+    rows = files.filter("current_code is not null and file_path is not null").select("file_path", ext.alias("ext"), "current_code").filter(F.col("ext").isin(list(EXTENSIONS)))
     return rows.mapInArrow(run, "file_path string, lang string, kind string, name string, line_start int, line_end int, edge_type string")
 
 

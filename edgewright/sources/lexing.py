@@ -124,6 +124,13 @@ LEXERS: dict[str, tuple[re.Pattern, Classes]] = {
         ),
     ),
 }
+_PLAIN = "break continue do else try finally throw return new case"
+LEXERS |= {
+    "cpp": (LEXERS["c"][0], Classes({}, {"m": "static extern inline const volatile virtual explicit constexpr unsigned signed long short auto template typename friend using typedef public private protected mutable", "C": "struct union enum class namespace", "K": _PLAIN + " sizeof delete goto default", "c": "if for while switch catch"}, _COMMENT | {"#": "P", " ": "P", "\t": "P"})),
+    "cs": (_one(_MARK, _SLASH, r'[$@]{0,2}"(?:[^"\\\n]|\\(?s:.))*"', _CHR, r"^[ \t]*#[^\n]*", r"@?[^\W\d]\w*", _NUM, _OPS), Classes({}, {"C": "class struct interface enum record namespace", "m": "public private protected internal static readonly const virtual override sealed abstract async partial", "K": _PLAIN + " using", "c": "if for foreach while switch catch lock"}, _COMMENT | {"#": "P", " ": "P", "$": "s"})),
+    "php": (_one(_MARK, _SLASH, r"#[^\n]*", r"<\?(?:php|=)?|\?>", _STR, r"'(?:[^'\\]|\\(?s:.))*'", r"\$?[^\W\d][\w\\]*", _NUM, _OPS), Classes({"<?php": ";", "?>": ";", "<?=": ";"}, {"C": "class interface trait enum namespace", "F": "function fn", "m": "public private protected static final abstract", "K": _PLAIN + " echo use", "c": "if for foreach while switch catch"}, _COMMENT | {"#": " "})),
+    "swift": (_one(_MARK, _SLASH, r'"""(?s:.*?)"""', _STR, r"@[^\W\d]\w*", r"#[^\W\d]\w*", r"[^\W\d]\w*", _NUM, _OPS), Classes({}, {"C": "class struct enum protocol extension", "F": "func", "m": "public private internal static final override mutating open lazy weak", "K": _PLAIN + " let var guard if for while switch in"}, _COMMENT | {"@": "@", "#": "i"})),
+}
 LANGUAGE = {"rs": "rs", "py": "py", "js": "js", "jsx": "js", "ts": "ts", "tsx": "ts", "java": "java", "go": "go", "c": "c", "h": "c", "rb": "rb"}
 
 _MEMBER = re.compile(r"(?<=\.)[CFIKQVckmw]")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edgewright.functions.scalars import extension_of
 from edgewright.operators.matching import match_entities, removed_entities
 from edgewright.operators.relations import delete_by_keys, delete_edges_from, latest, upsert
 from edgewright.schemas import FILE_CHANGES
@@ -15,9 +16,11 @@ from edgewright.sources.catalog import Store
 from edgewright.sources.extraction import as_entities, extracted, extracted_edges
 
 
-def file_changes(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """The stream of change events dropped into a folder as JSON; the trigger takes a bounded number of files."""
-    return spark.readStream.schema(FILE_CHANGES).option("maxFilesPerTrigger", files_per_batch).json(folder)
+def file_changes(spark: SparkSession, folder: str, files_per_batch: int = 100, watched: tuple[str, ...] = ()) -> DataFrame:
+    """The stream of change events dropped into a folder as JSON, of files with a watched extension if any are named;
+    the trigger takes a bounded number of files."""
+    rows = spark.readStream.schema(FILE_CHANGES).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return rows.filter(extension_of("file_path").isin(*watched)) if watched else rows
 
 
 def debounced(changes: DataFrame) -> DataFrame:
@@ -99,6 +102,25 @@ def start(spark: SparkSession, folder: str, store: Store, checkpoint: str, once:
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="100 milliseconds").start()
 
 
+class Watcher:
+    """One running change stream: starting it twice is an error, stopping it is not."""
+
+    def __init__(self, spark: SparkSession, folder: str, store: Store, checkpoint: str):
+        self._args, self.query = (spark, folder, store, checkpoint), None
+
+    def start(self, once: bool = False) -> None:
+        if self.query is not None and self.query.isActive:
+            raise RuntimeError("the watcher runs already")
+        self.query = start(*self._args, once=once)
+
+    def stop(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+
+    def status(self) -> dict:
+        return status(self.query) if self.query is not None else {"running": False, "message": "not started", "batches": 0, "last_rows": 0}
+
+
 def status(query) -> dict:
     """Whether a stream runs, its message, events so far and the last batch's size."""
     last = query.lastProgress

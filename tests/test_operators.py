@@ -133,6 +133,14 @@ SOURCES = {
 }
 
 
+SOURCES |= {
+    "cpp": ("#include <a>\nnamespace n {\nclass A : public B {\n public:\n  int m(int x) {\n    return g(x);\n  }\n};\n}\nint A::f(int y) {\n  return h(y);\n}\n", {("module", "n", 2, 9), ("class", "A", 3, 8), ("method", "m", 5, 7), ("method", "f", 10, 12)}),
+    "cs": ("using System.IO;\nnamespace N {\n  class A {\n    [X]\n    public int M(int x) {\n      return G(x);\n    }\n  }\n}\n", {("module", "N", 2, 9), ("class", "A", 3, 8), ("method", "M", 5, 7)}),
+    "php": ("<?php\nuse A\\B;\nclass C {\n  public function m($x) {\n    return g($x);\n  }\n}\nfunction f() {}\n", {("class", "C", 3, 7), ("method", "m", 4, 6), ("function", "f", 8, 8)}),
+    "swift": ("import A\nstruct S {\n  func m(x: Int) -> Int {\n    return g(x)\n  }\n}\nfunc f() {}\n", {("struct", "S", 2, 6), ("method", "m", 3, 5), ("function", "f", 7, 7)}),
+}
+
+
 @pytest.mark.parametrize("lang", SOURCES)
 def test_extraction(lang):
     text, want = SOURCES[lang]
@@ -207,6 +215,30 @@ def test_store_and_stream(spark, tmp_path):
     assert deliver(5, ("a.py", "Deleted", None, 6)) == {} and store.read("indexed_edges").count() == 0
 
 
+def test_ingest(spark, tmp_path):
+    from edgewright.plans.endpoints import BadRequest, Service
+    from edgewright.plans.ingest import ingest
+
+    for p, t in {"src/a.rs": SOURCES["rs"][0], "src/b.py": SOURCES["py"][0], "tests/c_test.go": "package c\n\nfunc T() {\n\tx()\n}\n", "notes.txt": "x"}.items():
+        f = tmp_path / "tree" / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(t)
+    os.makedirs(tmp_path / "db")
+    store = Store(spark, str(tmp_path / "db"))
+    total = ingest(store, str(tmp_path / "tree")).first()
+    assert (total.files, total.processed, total.errors) == (4, 4, 0)
+    names = {r.isgl1_key.split(":")[2] for r in store.read("entities").collect()}
+    assert {"m", "top", "C", "g", "call"} <= names and "T" not in names and store.read("excluded_tests").count() == 1
+    s = Service(spark, store.read("entities"), store.read("edges"))
+    assert s.statistics().tokens == 50 and s.list_entities("function").tokens > 50
+    key = store.read("entities").filter("entity_type = 'function' and current_code is not null").first().isgl1_key
+    assert s.entity_detail(key).tokens > 100 and json.loads(s.search("call").envelope())["success"]
+    with pytest.raises(BadRequest):
+        s.search(" ")
+    with pytest.raises(NotFound):
+        s.callers("nobody:fn:none:p:T1")
+
+
 def test_coverage(spark):
     src = spark.createDataFrame([("src/a.rs", "use x;\n// note here\nfn a() {}"), ("src/b.py", None), ("target/c.rs", "x"), ("d.txt", "x")], "file_path string, current_code string")
     ents = spark.createDataFrame([("k", "src/a.rs", "CODE", "fn a() {}")], "isgl1_key string, file_path string, entity_class string, current_code string")
