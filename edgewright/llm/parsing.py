@@ -65,8 +65,6 @@ PRODUCTIONS = {
     "py": r"^((H|h|l).*(:.*[N]|B)|[^Hhl].*N|f.*k.*N)$",
     "rb": r"^(?!.*(iii|[(,]ii[,)o*=]|s\.?s?i0)).*$",
 }
-_ROWS = "file_id long, text_hash long, lang string, kind string, a string, pos int"
-
 
 def _top(s: str, lang: str) -> list[str]:
     if lang == "py":
@@ -88,37 +86,42 @@ def _top(s: str, lang: str) -> list[str]:
     return out + [flat[a:]] * (a < n)
 
 
-def lex_rows(text: str, lang: str) -> tuple[set[str], list[tuple[str, int]], set[str]]:
-    """(adjacent pairs, brackets left after two local reductions with their order, statements) of one text."""
+def lex_rows(text: str, lang: str) -> tuple[set[str], str, set[str]]:
+    """(adjacent pairs, brackets left after two local reductions in their order, statements) of one text."""
     s = lex(text, lang)
-    pairs = set(map("".join, zip(s, s[1:])))
+    pairs = {a + b for a, b in set(zip(s, s[1:]))}
     if lang in ("rs", "java", "c"):
         end = s[-2]
         pairs |= {"X$"} if end not in {"rs": ";}^]", "java": ";}^", "c": ";}P^)"}[lang] else set()
     rest = _EMPTY.sub("", _EMPTY.sub("", _NOT_BRACKET.sub("", s)))
-    return pairs, [(c, i) for i, c in enumerate(rest)], set(_top(s, lang)) if lang in PRODUCTIONS else set()
+    return pairs, rest, set(_top(s, lang)) if lang in PRODUCTIONS else set()
 
 
 def token_rows(files: DataFrame) -> DataFrame:
-    """(file_id, text_hash, lang, kind, a, pos): kind `pair`, `nest` or `stmt`; pairs and statements distinct per text."""
+    """(file_id, text_hash, lang, kind, a, pos): kind `pair`, `nest` or `stmt`; pairs and statements distinct per text.
+
+    The lexers return one compact row per text; the rows of tokens are made of it inside the JVM.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, langs, kinds, what, at = [], [], [], [], [], []
-            for f, key, ext, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                lang = LANGUAGE[ext]
-                pairs, nest, stmts = lex_rows(text, lang)
-                n = len(pairs) + len(nest) + len(stmts)
-                ids += [f] * n
-                keys += [key] * n
-                langs += [lang] * n
-                kinds += ["pair"] * len(pairs) + ["nest"] * len(nest) + ["stmt"] * len(stmts)
-                what += [*pairs, *(c for c, _ in nest), *stmts]
-                at += [0] * len(pairs) + [i for _, i in nest] + [0] * len(stmts)
-            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(kinds, pa.string()), pa.array(what, pa.string()), pa.array(at, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["file_id", "text_hash", "lang", "kind", "a", "pos"])
-
-    return files.mapInArrow(run, _ROWS)
+            langs, pairs, nests, statements = [], [], [], []
+            for ext, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                langs.append(LANGUAGE[ext])
+                p, nest, stmts = lex_rows(text, langs[-1])
+                pairs.append("".join(p))
+                nests.append(nest)
+                statements.append(list(stmts))
+            columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(pairs, pa.string()), pa.array(nests, pa.string()), pa.array(statements, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["file_id", "text_hash", "lang", "pairs", "nest", "stmts"])
+
+    texts = files.mapInArrow(run, "file_id long, text_hash long, lang string, pairs string, nest string, stmts array<string>")
+    row = lambda kind, a, pos: F.struct(F.lit(kind).alias("kind"), a.alias("a"), pos.cast("int").alias("pos"))
+    places = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.transform(places((F.length("pairs") / 2).cast("int")), lambda i: row("pair", F.substring(F.col("pairs"), i * 2 + 1, F.lit(2)), F.lit(0)))
+    nest = F.transform(places(F.length("nest")), lambda i: row("nest", F.substring(F.col("nest"), i + 1, F.lit(1)), i))
+    stmts = F.transform("stmts", lambda x: row("stmt", x, F.lit(0)))
+    return texts.select("file_id", "text_hash", "lang", F.explode(F.concat(pairs, nest, stmts)).alias("t")).select("file_id", "text_hash", "lang", "t.kind", "t.a", "t.pos")
 
 
 def extension(path="file_path"):
