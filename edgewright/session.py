@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 
@@ -43,6 +44,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and continue from there: lineage ends, lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and continue from there: lineage ends, lost executors cost nothing.
+
+    A checkpoint keeps the optimizer's size estimate, and estimates of joins multiply: in a loop they would grow into
+    numbers that take longer to multiply than the joins to run. Beyond a petabyte the estimate is forgotten; sizes are then
+    known from the shuffles while the query runs.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())).bit_length() <= 50:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_edgewright_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="edgewright-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "edgewright"), "zip", os.path.dirname(home), "edgewright"))
+    sc._edgewright_shipped = True
