@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgewright.sources.lexing import _EMPTY, _NOT_BRACKET, LANGUAGE, collapse, lex
+from edgewright.sources.lexing import _EMPTY, _NOT_BRACKET, LANGUAGE, collapse, lex_both
 from edgewright.columns import pick
 from edgewright.session import cut
 
@@ -66,6 +66,43 @@ PRODUCTIONS = {
     "rb": r"^(?!.*(iii|[(,]ii[,)o*=]|s\.?s?i0)).*$",
 }
 
+#: Fragments of statements at any level, groups reduced, that no production derives: the bracket's own surroundings, then
+#: a call beside a name, const or var without a name (not where it may be a member's name), try without catch or finally.
+BODY_BREAKS = {
+    "js": r"i\(\)i$|^[)aYZ^]:v[=;)]|Y\{\}$",
+    "ts": r"i\(\)i$|^[)aYZ^]:v[=;)]|Y\{\}$",
+    "java": r":(?![Kk])[^:]*i\(\)i$|Y\{\}$",
+    "go": r"^[^K^]:(?!F).?i\(\)i$",
+}
+_MAY_BREAK = {"js": r"[)]i|v[=;)]|Y", "ts": r"[)]i|v[=;)]|Y", "java": r"[)]i|Y", "go": r"[)]i"}
+_FRAGMENT = re.compile(r"(?:^|.)i\(\)i|v[=;)]|Y\{\}(?!\n*Z)")
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
+def body_fragments(s: str, lang: str) -> set[str]:
+    """`what stands before the group:fragment` of the statements in every group, and with ^ of the file's own."""
+    if not re.search(_MAY_BREAK[lang], s):
+        return set()
+    out: set[str] = set()
+    open_groups: list[tuple[str, str, list[str]]] = [("^", "", [])]
+    last = 1
+    for m in _BRACKET.finditer(s):
+        i, c = m.start(), m[0]
+        open_groups[-1][2].append(s[last:i])
+        last = i + 1
+        if c in "([{":
+            open_groups.append((s[i - 1], c, []))
+        elif len(open_groups) > 1:
+            before, opener, parts = open_groups.pop()
+            out.update(f"{before}:{x}" for x in _FRAGMENT.findall("".join(parts)))
+            open_groups[-1][2].append(opener + c)
+    open_groups[-1][2].append(s[last:-1])
+    while open_groups:  # what is left open is flagged by its nesting
+        before, _, parts = open_groups.pop()
+        out.update(f"{before}:{x}" for x in _FRAGMENT.findall("".join(parts)))
+    return out
+
+
 def _top(s: str, lang: str) -> list[str]:
     if lang == "py":
         flat = re.sub(r"[<>y!]", "", collapse(s)[1:-1])
@@ -86,42 +123,44 @@ def _top(s: str, lang: str) -> list[str]:
     return out + [flat[a:]] * (a < n)
 
 
-def lex_rows(text: str, lang: str) -> tuple[set[str], str, set[str]]:
-    """(adjacent pairs, brackets left after two local reductions in their order, statements) of one text."""
-    s = lex(text, lang)
+def lex_rows(text: str, lang: str) -> tuple[set[str], str, set[str], set[str]]:
+    """(adjacent pairs, brackets left after two local reductions in their order, statements, fragments in groups) of one text."""
+    s, stated = lex_both(text, lang)
     pairs = {a + b for a, b in set(zip(s, s[1:]))}
     if lang in ("rs", "java", "c"):
         end = s[-2]
         pairs |= {"X$"} if end not in {"rs": ";}^]", "java": ";}^", "c": ";}P^)"}[lang] else set()
     rest = _EMPTY.sub("", _EMPTY.sub("", _NOT_BRACKET.sub("", s)))
-    return pairs, rest, set(_top(s, lang)) if lang in PRODUCTIONS else set()
+    return pairs, rest, set(_top(s, lang)) if lang in PRODUCTIONS else set(), body_fragments(stated, lang) if lang in BODY_BREAKS else set()
 
 
 def token_rows(files: DataFrame) -> DataFrame:
-    """(file_id, text_hash, lang, kind, a, pos): kind `pair`, `nest` or `stmt`; pairs and statements distinct per text.
+    """(file_id, text_hash, lang, kind, a, pos): kind `pair`, `nest`, `stmt` or `body`; all but `nest` distinct per text.
 
     The lexers return one compact row per text; the rows of tokens are made of it inside the JVM.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, pairs, nests, statements = [], [], [], []
+            langs, pairs, nests, statements, bodies = [], [], [], [], []
             for ext, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 langs.append(LANGUAGE[ext])
-                p, nest, stmts = lex_rows(text, langs[-1])
+                p, nest, stmts, fragments = lex_rows(text, langs[-1])
                 pairs.append("".join(p))
                 nests.append(nest)
                 statements.append(list(stmts))
-            columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(pairs, pa.string()), pa.array(nests, pa.string()), pa.array(statements, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["file_id", "text_hash", "lang", "pairs", "nest", "stmts"])
+                bodies.append(list(fragments))
+            columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(pairs, pa.string()), pa.array(nests, pa.string()), pa.array(statements, pa.list_(pa.string())), pa.array(bodies, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["file_id", "text_hash", "lang", "pairs", "nest", "stmts", "bodies"])
 
-    texts = files.mapInArrow(run, "file_id long, text_hash long, lang string, pairs string, nest string, stmts array<string>")
+    texts = files.mapInArrow(run, "file_id long, text_hash long, lang string, pairs string, nest string, stmts array<string>, bodies array<string>")
     row = lambda kind, a, pos: F.struct(F.lit(kind).alias("kind"), a.alias("a"), pos.cast("int").alias("pos"))
     places = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     pairs = F.transform(places((F.length("pairs") / 2).cast("int")), lambda i: row("pair", F.substring(F.col("pairs"), i * 2 + 1, F.lit(2)), F.lit(0)))
     nest = F.transform(places(F.length("nest")), lambda i: row("nest", F.substring(F.col("nest"), i + 1, F.lit(1)), i))
     stmts = F.transform("stmts", lambda x: row("stmt", x, F.lit(0)))
-    return texts.select("file_id", "text_hash", "lang", F.explode(F.concat(pairs, nest, stmts)).alias("t")).select("file_id", "text_hash", "lang", "t.kind", "t.a", "t.pos")
+    bodies = F.transform("bodies", lambda x: row("body", x, F.lit(0)))
+    return texts.select("file_id", "text_hash", "lang", F.explode(F.concat(pairs, nest, stmts, bodies)).alias("t")).select("file_id", "text_hash", "lang", "t.kind", "t.a", "t.pos")
 
 
 def extension(path="file_path"):
@@ -154,9 +193,11 @@ def unparsable_files(files: DataFrame) -> DataFrame:
     allowed = F.broadcast(permissible_pairs(files.sparkSession))  # fixed size
     broken = F.lit(False)
     for lang, rule in PRODUCTIONS.items():
-        broken = broken | ((F.col("lang") == lang) & ~F.col("a").rlike(rule))
+        broken = broken | ((F.col("kind") == "stmt") & (F.col("lang") == lang) & ~F.col("a").rlike(rule))
+    for lang, rule in BODY_BREAKS.items():
+        broken = broken | ((F.col("kind") == "body") & (F.col("lang") == lang) & F.col("a").rlike(rule))
     # what breaks a rule on its own is decided at once; of the brackets only those that two local reductions leave go on
-    suspects = cut(token_rows(known).join(allowed, ["lang", "kind", "a"], "left_anti").filter((F.col("kind") != "stmt") | broken))
+    suspects = cut(token_rows(known).join(allowed, ["lang", "kind", "a"], "left_anti").filter(~F.col("kind").isin("stmt", "body") | broken).withColumn("kind", F.when(F.col("kind") == "body", "stmt").otherwise(F.col("kind"))))
     nest = suspects.filter("kind = 'nest'").select(*key, "lang", "a", "pos").distinct()
     opens = F.col("a").isin("(", "[", "{")
     depth = F.sum(F.when(opens, 1).otherwise(-1)).over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))

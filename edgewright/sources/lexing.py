@@ -163,15 +163,47 @@ def collapse(s: str) -> str:
     return "".join(out)
 
 
+class _Stated(Classes):
+    """A comment over several lines counts as their end."""
+
+    def __missing__(self, t: str) -> str:
+        c = super().__missing__(t)
+        if c == " " and "\n" in t:
+            c = self[t] = "\n"
+        return c
+
+
+#: Word classes for statements: v const and var, Y try, Z catch and finally; the rest as in the lexer.
+def _stated(lang: str, words: dict[str, str], first: dict[str, str], exact: dict[str, str]) -> Classes:
+    own = {"v": "const var" if lang != "java" else "", "Y": "try", "Z": "catch finally"}
+    taken = {w for ws in own.values() for w in ws.split()}
+    return _Stated(exact, {c: " ".join(w for w in ws.split() if w not in taken) for c, ws in words.items()} | own, first)
+
+
+_JAVA = {c: " ".join(w for w, k in LEXERS["java"][1].words.items() if k == c) for c in set(LEXERS["java"][1].words.values())}
+STATED = {"js": _stated("js", _JS_WORDS, _JS_FIRST, {}), "ts": _stated("ts", _TS_WORDS, _JS_FIRST, {}), "java": _stated("java", _JAVA, LEXERS["java"][1].first, {"@interface": "C"})}
+_NAME = re.compile(r"(?<=\.)[vYZKc]|(?<=[{,\n])[vYZKck](?=:)")
+
+
 def lex(text: str, language: str) -> str:
     """The token classes of a text, from ^ to $."""
+    return lex_both(text, language)[0]
+
+
+def lex_both(text: str, language: str) -> tuple[str, str]:
+    """(token classes, the same with the classes of STATED, empty where the language has none; line ends are kept for js and ts)."""
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     pattern, classes = LEXERS[language]
     if language == "py":
-        return lex_python(text, pattern, classes)
+        return lex_python(text, pattern, classes), ""
     if language == "rb":
-        return lex_ruby(text, pattern, classes)
-    s = "".join(map(classes.__getitem__, pattern.findall(text))).replace(" ", "")
+        return lex_ruby(text, pattern, classes), ""
+    tokens = pattern.findall(text)
+    s = "".join(map(classes.__getitem__, tokens)).replace(" ", "")
+    stated = ""
+    if language in STATED:
+        stated = "".join(map(STATED[language].__getitem__, tokens)).replace(" ", "")
+        stated = f"^{_NAME.sub('i', stated if language != 'java' else stated.replace('\n', ''))}$"
     if "." in s and language != "rs":
         s = _MEMBER.sub("i", s)
     if language in ("js", "ts"):
@@ -179,14 +211,15 @@ def lex(text: str, language: str) -> str:
         s = _PROPERTY.sub("i", s)
         if "<" in text and _MARKUP.search(text) and not text.lstrip().startswith("<"):
             # elements in the code: their text follows no token rules, so only brackets and merge marks are left of it
-            return f"^{_NOT_NESTING.sub('', s)}$"
+            return f"^{_NOT_NESTING.sub('', s)}$", ""
         if language == "js" and ":" in s:
             s = re.sub(r"\([^()?{}]*\)", lambda m: m[0].replace(":", "T"), s)
     elif language == "go":
         s = _GO_BREAK.sub(";", s).replace("\n", "")
     else:
         s = s.replace("\n", "")
-    return f"^{s}$"
+    s = f"^{s}$"
+    return s, s if language == "go" else stated
 
 
 def lex_python(text: str, pattern: re.Pattern, classes: Classes) -> str:

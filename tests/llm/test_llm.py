@@ -102,6 +102,25 @@ def test_each_other_language_is_broken(spark):
     assert [r[1] for r in rows if r[0] not in got] == []
 
 
+def test_statements_in_bodies(spark):
+    """Errors below the file's own statements, and of js and ts, which have no other statement rule."""
+    bad = {
+        "java": ["class A { void f() { foo() bar(); } }", "class A { void f() { try { g(); } } }"],
+        "js": ["function f() { foo() bar(); }", "const = 5;", "foo() bar();", "try { g() }", "x(() => { const = 1 })"],
+        "ts": ["function f(): void { foo() bar(); }", "try {}\nlet a = 1"],
+        "go": ["package a\n\nfunc f() int {\n\tfoo() bar()\n}\n"],
+    }
+    good = {
+        "java": ["class A { @B(1) int x; A f() throws E { if (a) g(); try (R r = h()) { i(); } return (T) x; } }", "class A { void f() { try { g(); } catch (E e) { } finally { } } }"],
+        "js": ["class A { try() { return 1 }\n const = 5\n}\nfoo()\nbar()\n", "if (a) b()\nfor (const x of f()) g(x)\ntry { a() }\ncatch { b() }\np.try({}).catch(e)\nconst q = { try: 1, catch: 2 }\n"],
+        "ts": ["interface I { f(): x\n g(): y }\nabstract class A { abstract f(): void; g() { return a() as B } }\n"],
+        "go": ["package a\n\ntype T interface {\n\tM() int\n}\n\nfunc (t *T) f() int {\n\tg := func() int { return 1 }\n\tif x := h(); x {\n\t}\n\treturn g()\n}\n"],
+    }
+    rows = [(k, "r", f"r/x.{lang}", text) for k, (lang, text) in enumerate((lang, t) for group in (bad, good) for lang, ts in group.items() for t in ts)]
+    got = {r.file_id: r.reason for r in unparsable_files(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == {k: "stmt" for k in range(sum(map(len, bad.values())))}, [rows[k] for k in got if k >= sum(map(len, bad.values()))]
+
+
 # ---- 7 -----------------------------------------------------------------------------------------------------------
 
 
