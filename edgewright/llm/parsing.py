@@ -123,9 +123,9 @@ def _top(s: str, lang: str) -> list[str]:
     return out + [flat[a:]] * (a < n)
 
 
-def lex_rows(text: str, lang: str) -> tuple[set[str], str, set[str], set[str]]:
+def lex_rows(text: str, lang: str, ext: str = "") -> tuple[set[str], str, set[str], set[str]]:
     """(adjacent pairs, brackets left after two local reductions in their order, statements, fragments in groups) of one text."""
-    s, stated = lex_both(text, lang)
+    s, stated = lex_both(text, lang, ext in ("js", "jsx", "tsx"))
     pairs = {a + b for a, b in set(zip(s, s[1:]))}
     if lang in ("rs", "java", "c"):
         end = s[-2]
@@ -145,7 +145,7 @@ def token_rows(files: DataFrame) -> DataFrame:
             langs, pairs, nests, statements, bodies = [], [], [], [], []
             for ext, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 langs.append(LANGUAGE[ext])
-                p, nest, stmts, fragments = lex_rows(text, langs[-1])
+                p, nest, stmts, fragments = lex_rows(text, langs[-1], ext)
                 pairs.append("".join(p))
                 nests.append(nest)
                 statements.append(list(stmts))

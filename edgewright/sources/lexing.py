@@ -135,8 +135,13 @@ LANGUAGE = {"rs": "rs", "py": "py", "js": "js", "jsx": "js", "ts": "ts", "tsx":
 
 _MEMBER = re.compile(r"(?<=\.)[CFIKQVckmw]")
 _PROPERTY = re.compile(r"(?<=[{,])[kcK](?=:)")
-_MARKUP = re.compile(r"(?:\breturn|=>|[=(?:,&])\s*<(?:[A-Za-z][\w.]*(?:\s[^<]*?)?/?>|>).*?(?:</[\w.]*>|/>)", re.S)
-_NOT_NESTING = re.compile(r"[^()\[\]{}M]+")
+#: Where an element may begin; whether it does is decided on tokens. The tokens after which `<` opens no comparison.
+_MARKUP = re.compile(r"(?:\breturn|\bdefault|=>|[=(?:,&|{\[}])\s*<(?:[A-Za-z]|>)")
+_BEFORE_ELEMENT = frozenset("return default => = ( ? : , && || ?? [ {".split())
+_TAG = re.compile(r"\s*(?:[^\W\d][\w$]*(?:[-.:][\w$]+)*)?")
+_ATTRIBUTE = re.compile(r"\s*[^\W\d]?[\w$:-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'))?")
+_GAP = re.compile(r"(?:\s|/\*(?s:.*?)\*/|//[^\n]*)*")
+_CHILDREN = re.compile(r"[^<{]*")
 _JS_BREAK = re.compile(r"(?<=[iw0s)\]}pK])\n+(?=[iw0sKcu@{p*])")
 _GO_BREAK = re.compile(r"(?<=[iw0s)\]}p])\n+")
 _INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
@@ -163,6 +168,80 @@ def collapse(s: str) -> str:
     return "".join(out)
 
 
+def _element(text: str, at: int, pattern: re.Pattern, classes: Classes) -> tuple[int, list[str]] | None:
+    """(end, tokens) of the element that begins at `at`, as the call it stands for: its name, then in parentheses the code
+    between its braces. None if it has no end."""
+    out, open_tags, first = ["x", "("], [], True
+    while first or open_tags:
+        if not first:
+            at = _CHILDREN.match(text, at).end()
+            if text[at : at + 1] == "{":
+                inner = _braces(text, at, pattern, classes)
+                if inner is None:
+                    return None
+                at = inner[0]
+                out += [*inner[1], ","] if inner[1] else []
+                continue
+        first = False
+        if text[at : at + 1] != "<":
+            return None
+        if text[at + 1 : at + 2] == "/":
+            m = _TAG.match(text, at + 2)
+            end = _GAP.match(text, m.end()).end()
+            if text[end : end + 1] != ">" or not open_tags or open_tags.pop() != m[0].strip():
+                return None
+            at = end + 1
+            continue
+        m = _TAG.match(text, at + 1)
+        at = m.end()
+        while True:
+            at = _GAP.match(text, at).end()
+            if text[at : at + 1] == ">":
+                open_tags.append(m[0].strip())
+                at += 1
+                break
+            if text[at : at + 2] == "/>":
+                at += 2
+                break
+            if text[at : at + 1] == "{" or (text[at : at + 1] == "=" and text[at + 1 :].lstrip()[:1] == "{"):
+                inner = _braces(text, text.index("{", at), pattern, classes)
+                if inner is None:
+                    return None
+                at = inner[0]
+                out += [*inner[1], ","] if inner[1] else []
+                continue
+            a = _ATTRIBUTE.match(text, at)
+            if a.end() == at:
+                return None
+            at = a.end()
+    return at, [*(out[:-1] if out[-1] == "," else out), ")"]
+
+
+def _braces(text: str, at: int, pattern: re.Pattern, classes: Classes) -> tuple[int, list[str]] | None:
+    """(end, tokens within) of the brace group that begins at `at`."""
+    end, tokens = _tokens(text, at + 1, pattern, classes, True)
+    return None if end is None else (end, [t for t in tokens if classes[t] != " " and t != "\n"])
+
+
+def _tokens(text: str, at: int, pattern: re.Pattern, classes: Classes, inside: bool = False) -> tuple[int | None, list[str]]:
+    """(end, tokens) from `at` on, elements as calls; inside: up to the brace that closes what was open at `at`."""
+    out, prev, depth = [], "{" if inside else "", 0
+    while m := pattern.search(text, at):
+        t, at = m[0], m.end()
+        if t == "<" and prev in _BEFORE_ELEMENT and (found := _element(text, m.start(), pattern, classes)):
+            at, own = found
+            out += own
+            prev = ")"
+            continue
+        depth += (t == "{") - (t == "}")
+        if inside and depth < 0:
+            return at, out
+        out.append(t)
+        if t != "\n" and classes[t] != " ":
+            prev = t
+    return None if inside else at, out
+
+
 class _Stated(Classes):
     """A comment over several lines counts as their end."""
 
@@ -185,12 +264,12 @@ STATED = {"js": _stated("js", _JS_WORDS, _JS_FIRST, {}), "ts": _stated("ts", _TS
 _NAME = re.compile(r"(?<=\.)[vYZKc]|(?<=[{,\n])[vYZKck](?=:)")
 
 
-def lex(text: str, language: str) -> str:
-    """The token classes of a text, from ^ to $."""
-    return lex_both(text, language)[0]
+def lex(text: str, language: str, elements: bool = False) -> str:
+    """The token classes of a text, from ^ to $. elements: the language has elements (JSX), which become calls."""
+    return lex_both(text, language, elements)[0]
 
 
-def lex_both(text: str, language: str) -> tuple[str, str]:
+def lex_both(text: str, language: str, elements: bool = False) -> tuple[str, str]:
     """(token classes, the same with the classes of STATED, empty where the language has none; line ends are kept for js and ts)."""
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     pattern, classes = LEXERS[language]
@@ -198,7 +277,7 @@ def lex_both(text: str, language: str) -> tuple[str, str]:
         return lex_python(text, pattern, classes), ""
     if language == "rb":
         return lex_ruby(text, pattern, classes), ""
-    tokens = pattern.findall(text)
+    tokens = _tokens(text, 0, pattern, classes)[1] if elements and "<" in text and _MARKUP.search(text) else pattern.findall(text)
     s = "".join(map(classes.__getitem__, tokens)).replace(" ", "")
     stated = ""
     if language in STATED:
@@ -209,9 +288,6 @@ def lex_both(text: str, language: str) -> tuple[str, str]:
     if language in ("js", "ts"):
         s = _JS_BREAK.sub("N", s).replace("\n", "")
         s = _PROPERTY.sub("i", s)
-        if "<" in text and _MARKUP.search(text) and not text.lstrip().startswith("<"):
-            # elements in the code: their text follows no token rules, so only brackets and merge marks are left of it
-            return f"^{_NOT_NESTING.sub('', s)}$", ""
         if language == "js" and ":" in s:
             s = re.sub(r"\([^()?{}]*\)", lambda m: m[0].replace(":", "T"), s)
     elif language == "go":

@@ -121,6 +121,17 @@ def test_statements_in_bodies(spark):
     assert got == {k: "stmt" for k in range(sum(map(len, bad.values())))}, [rows[k] for k in got if k >= sum(map(len, bad.values()))]
 
 
+def test_elements(spark):
+    """Elements are read on tokens, where the language has them, and hide nothing beside them."""
+    error = "\nlet x = a b c;\n"
+    element = "const C = () => {\n  return (\n    <div className=\"a\" {...p} on={() => { go(1) }}>\n      It's text, isn't it? {/* none */}\n      {xs.map(x => <Li.X key={x}>{x}</Li.X>)}\n      <br/><></>\n    </div>\n  );\n}\n"
+    rows = [("js", 'el.innerHTML = "Name: <b>" + n + "</b>"\n'), ("ts", "// see: <a>x</a>\n"), ("ts", 'f("<p>", `= <b>x</b>`)\n'), ("jsx", element), ("tsx", element), ("js", element), ("tsx", "const f = <T,>(x: T) => x\n")]
+    sound = [(k, "r", f"r/x.{ext}", t) for k, (ext, t) in enumerate(rows)]
+    broken = [(k + 100, "r", path, t + error) for k, _, path, t in sound] + [(200, "r", "r/y.jsx", element.replace("go(1)", "go(1 2)")), (201, "r", "r/y.ts", element)]
+    got = {r.file_id for r in unparsable_files(spark.createDataFrame(sound + broken, FILES)).collect()}
+    assert got == {r[0] for r in broken}
+
+
 # ---- 7 -----------------------------------------------------------------------------------------------------------
 
 
