@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("edgewright.llm.queries")
 
 from edgewright.llm.authorship import foreign_files
-from edgewright.llm.documentation import describe, documented_functions, parts
+from edgewright.llm.documentation import declaration, describe, documented_functions, parts, squeezed
 from edgewright.llm.gll import parse
 from edgewright.llm.mixing import mix_report, mix_sources
 from edgewright.llm.packing import best_fit, fill_containers
@@ -180,6 +180,19 @@ def test_documented_functions(spark):
     assert documented_functions(spark.createDataFrame([], ENTITIES)).count() == 0
 
 
+def test_long_heads():
+    """Heads of any length: the squeezed shape has the declaration of the whole one, and nothing is dropped."""
+    rng = random.Random(7)
+    for _ in range(3000):
+        shape = "".join(rng.choices("CAtG", [3, 2, 3, 1], k=rng.randrange(8))) + "n" + "".join(rng.choices("tGCA", [4, 3, 0.3, 0.2], k=rng.randrange(6))) + "B"
+        short, at = squeezed(shape)
+        want, got = declaration(shape), declaration(short)
+        assert (want is None) == (got is None) and (want is None or want == tuple(at[k] for k in got)), shape
+    lines = [f"Line {i} of the notes." for i in range(2000)]
+    for lang, mark, code in (("rust", "///", "fn f(x: A) {}\n"), ("python", "#", "def f(x):\n    pass\n"), ("typescript", "//", "export const f = (x) => x" + ".map(y => y.z(1))" * 1000 + ";\n")):
+        assert parts("".join(f"{mark} {x}\n" for x in lines) + code, lang, "f")[1].count("\n") >= 1999
+
+
 # ---- tokens, 8, 9, 10 --------------------------------------------------------------------------------------------
 
 
