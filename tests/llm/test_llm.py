@@ -180,6 +180,18 @@ def test_documented_functions(spark):
     assert documented_functions(spark.createDataFrame([], ENTITIES)).count() == 0
 
 
+def test_templates_count_by_share(spark):
+    """A few equal true texts stay in a table of any size; a text that a third of the functions carry says nothing of one."""
+    assert describe("Returns the description.", "getDescription")[1] != describe("Returns the docs.", "getDocs")[1]
+    row = lambda i, doc: (f"rust:fn:n{i}:p:T{i}", "rust", "function", f"/// {doc}\nfn n{i}() {{}}\n")
+    letters = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [row(i, f"Sorts the {letters(i)}x edges.") for i in range(4000)]
+    rows += [row(10_000 + i, "Reads the docs of a crate first.") for i in range(3)] + [row(10_100 + i, "The documentation comes from elsewhere.") for i in range(20)]
+    rows += [row(11_000 + i, "Never blocks.") for i in range(40)] + [row(20_000 + i, "Somebody explains it one day.") for i in range(2000)]
+    got = {r.isgl1_key for r in documented_functions(spark.createDataFrame(rows, ENTITIES)).collect()}
+    assert got == {r[0] for r in rows[:4003]} | {r[0] for r in rows[4023:4063]}
+
+
 def test_long_heads():
     """Heads of any length: the squeezed shape has the declaration of the whole one, and nothing is dropped."""
     rng = random.Random(7)
