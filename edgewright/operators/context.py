@@ -54,16 +54,16 @@ def _context_kernel(focus: str, budget: int):
     return run
 
 
-def smart_context(edges: DataFrame, focus: str, budget: int = 4000) -> DataFrame:
+def smart_context(edges: DataFrame, focus: str, budget: int = 4000, kernel: bool | None = None) -> DataFrame:
     """(position, key, relevance, relevance_type, estimated_tokens): callers, callees and what they lead to, by relevance,
     as many as the budget holds.
 
     Only the neighbourhood that can count (callers and DEPTHS + 1 steps forward) is taken out of the graph, by joins.
-    If that is still too large for one task, depths are the least distances instead of the depth-first ones, and of the
-    candidates, all of at least 100 tokens, the most relevant are filled in.
+    If that is still too large for one task, callers and callees come in the same order by joins; beyond them depths are
+    the least distances, in key order, as the depth-first ones depend on every visit before them.
     """
     pairs = edges.select("from_key", "to_key").distinct()
-    pairs, small = sized(pairs)
+    pairs, small = sized(pairs, kernel)
     schema = "position int, key string, relevance double, relevance_type string, estimated_tokens int"
     if small:
         return in_one_task(pairs, _context_kernel(focus, budget), schema)
@@ -71,16 +71,30 @@ def smart_context(edges: DataFrame, focus: str, budget: int = 4000) -> DataFrame
     inside = ahead.filter(F.col("distance") <= DEPTHS).select(F.col("node").alias("from_key"))
     start = edges.sparkSession.createDataFrame([(focus,)], "from_key string")
     near = cut(pairs.join(inside.unionByName(start).distinct(), "from_key", "left_semi").unionByName(pairs.filter(F.col("to_key") == focus)).distinct())
-    if is_small(near):
+    if kernel is None and is_small(near):
         return in_one_task(near, _context_kernel(focus, budget), schema)
-    callers = pairs.filter(F.col("to_key") == focus).select(F.col("from_key").alias("key"), F.lit(1.0).alias("relevance"), F.lit("direct_caller").alias("relevance_type"))
-    d = F.col("distance")
-    rest = ahead.select(F.col("node").alias("key"), F.when(d == 1, 0.95).otherwise(F.greatest(F.lit(0.1), 0.7 - 0.1 * (d - 1))).alias("relevance"), F.when(d == 1, "direct_callee").otherwise(F.concat(F.lit("transitive_depth_"), d)).alias("relevance_type"))
-    items = callers.unionByName(rest.join(callers.select("key"), "key", "left_anti")).filter(F.col("key") != focus).withColumn("estimated_tokens", estimated_tokens("key"))
-    best = items.orderBy(F.desc("relevance"), "estimated_tokens", "key").limit(budget // 100 + 1)
+    return _in_order(pairs, focus, budget, ahead, schema)
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["relevance", "estimated_tokens", "key"], ascending=[False, True, True])
-        return pd.DataFrame(_fill(list(rows[["key", "relevance", "relevance_type", "estimated_tokens"]].itertuples(index=False, name=None)), budget), columns=["position", "key", "relevance", "relevance_type", "estimated_tokens"])
 
-    return in_one_task(best, fill, schema)
+def _in_order(pairs: DataFrame, focus: str, budget: int, ahead: DataFrame, schema: str) -> DataFrame:
+    """The same order by joins: callers and callees by key, then the rest by least distance and key, a page at a time.
+
+    An item costs at least 100 tokens, so the budget bounds the items; what no longer fits is not fetched.
+    """
+    callers = pairs.filter(F.col("to_key") == focus).select(F.col("from_key").alias("key"), F.lit(0).alias("rank"))
+    items = callers.unionByName(ahead.select(F.col("node").alias("key"), F.col("distance").cast("int").alias("rank"))).filter(F.col("key") != focus)
+    items = cut(items.groupBy("key").agg(F.min("rank").alias("rank")).withColumn("tokens", estimated_tokens("key")))
+    kinds = [("direct_caller", 1.0), ("direct_callee", 0.95)] + [(f"transitive_depth_{d + 1}", max(0.1, 0.7 - 0.1 * d)) for d in range(1, DEPTHS + 1)]
+    out, used, last = [], 0, (-1, "")
+    while budget - used >= 100:
+        left = budget - used
+        rest = items.filter((F.col("rank") > last[0]) | ((F.col("rank") == last[0]) & (F.col("key") > last[1]))).filter(F.col("tokens") <= left)
+        page = rest.orderBy("rank", "key").limit(left // 100).collect()
+        if not page:
+            break
+        for key, rank, tokens in page:
+            if used + tokens <= budget:
+                used += tokens
+                out.append((len(out) + 1, key, kinds[rank][1], kinds[rank][0], tokens))
+        last = (page[-1].rank, page[-1].key)
+    return pairs.sparkSession.createDataFrame(out, schema)

@@ -205,6 +205,15 @@ def test_smart_context(edges_of):
     assert [r.key for r in context.smart_context(e, "F", 120).collect()] == [short]
 
 
+def test_smart_context_by_joins(edges_of):
+    """The joins keep the kernel's order: callers and callees by key, and a later item that still fits is taken."""
+    keys = [f"k{i:03}" + "x" * (i * 37 % 300) for i in range(60)]
+    e = edges_of(" ".join(f"{k}>F" if i % 2 else f"F>{k}" for i, k in enumerate(keys)) + " k000>T T>V U>F F>U")
+    for budget in (99, 250, 1234, 4000, 100_000):
+        rows = [[tuple(r) for r in context.smart_context(e, "F", budget, kernel=kernel).collect()] for kernel in (True, False)]
+        assert rows[0] == rows[1] and (budget < 100) == (not rows[0])
+
+
 def test_hub(edges_of):
     text = " ".join(f"hub>s{i}" for i in range(500)) + " " + " ".join(f"c{i}>c{i + 1}:Uses" for i in range(499)) + " hub>c0"
     e = edges_of(text)
