@@ -225,12 +225,44 @@ def _inner_cycle_kernel(rows: pd.DataFrame) -> pd.DataFrame:
     return _cycle_kernel(rows[part.loc[rows["from_key"]].to_numpy() == part.loc[rows["to_key"]].to_numpy()])
 
 
+def _paths(inside: DataFrame, back: bool) -> DataFrame:
+    """(node, parent, path): breadth first from each component's least key, or back to it, the least parent among equals."""
+    a, b = ("to_key", "from_key") if back else ("from_key", "to_key")
+    steps = inside.select(F.col(a).alias("at"), F.col(b).alias("next"))
+    level = cut(inside.select(F.col("component").alias("node")).distinct().select("node", F.lit(None).cast("string").alias("parent"), F.array("node").alias("path")))
+    seen = level
+    while True:
+        way = F.concat(F.array("next"), F.col("path")) if back else F.concat("path", F.array("next"))
+        far = steps.join(level.select(F.col("node").alias("at"), "path"), "at").join(seen.select(F.col("node").alias("next")), "next", "left_anti")
+        best = far.groupBy("next").agg(F.min_by(F.struct("at", way.alias("path")), "at").alias("m"))
+        level = cut(best.select(F.col("next").alias("node"), F.col("m.at").alias("parent"), "m.path"))
+        if level.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(level))
+
+
+def _cycle_joins(inside: DataFrame) -> DataFrame:
+    """(length, path): for each edge outside the breadth-first tree from the component's least key a simple cycle through
+    it, by way of the tree and a tree back; equal cycles once, from their least key."""
+    ahead, home = _paths(inside, False), _paths(inside, True)
+    tree = ahead.filter("parent is not null").select(F.col("parent").alias("from_key"), F.col("node").alias("to_key"))
+    rest = inside.select("from_key", "to_key").join(tree, ["from_key", "to_key"], "left_anti")
+    rows = rest.join(ahead.select(F.col("node").alias("from_key"), F.col("path").alias("f")), "from_key").join(home.select(F.col("node").alias("to_key"), F.col("path").alias("b")), "to_key")
+    rows = rows.withColumn("x", F.array_intersect("b", "f")[0])  # the first key of the way back that the way ahead has too
+    i, j = F.array_position("b", F.col("x")).cast("int"), F.array_position("f", F.col("x")).cast("int")
+    rows = rows.select(F.concat(F.slice("b", F.lit(1), i), F.slice("f", j + 1, F.size("f") - j)).alias("p"))
+    k = F.array_position("p", F.array_min("p")).cast("int")
+    rows = rows.select(F.concat(F.slice("p", k, F.size("p") - k + 1), F.slice("p", F.lit(1), k - 1), F.array(F.array_min("p"))).alias("path")).distinct()
+    return rows.select((F.size("path") - 1).alias("length"), "path")
+
+
 def cycles(edges: DataFrame, most_edges: int = KERNEL_EDGES, kernel: bool | None = None) -> DataFrame:
     """(length, path): one cycle per back edge of a depth-first search in key order; the path repeats its first key.
 
     Only edges inside a component or on themselves can lie on a cycle: the search runs per component. Which cycles are
-    found depends on the order of visiting, so this is sequential by nature; a component of more than `most_edges`
-    edges is given as one row of length null and its least key instead of being searched.
+    found depends on the order of visiting, so this is sequential by nature. A component of more than `most_edges`
+    edges is searched by joins, which give other cycles: one through each edge outside a breadth-first tree, so that
+    every cycle of the component has an edge on one of them.
     """
     pairs, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
     if kernel and most_edges >= KERNEL_EDGES:
@@ -242,7 +274,9 @@ def cycles(edges: DataFrame, most_edges: int = KERNEL_EDGES, kernel: bool | None
     sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     huge = sizes.filter(F.col("n") > most_edges)
     found = inside.join(sizes.filter(F.col("n") <= most_edges), "component").groupBy("component").applyInPandas(lambda rows: _cycle_kernel(rows), "length int, path array<string>")
-    return found.unionByName(huge.select(F.lit(None).cast("int").alias("length"), F.array("component").alias("path")))
+    if huge.isEmpty():
+        return found
+    return found.unionByName(_cycle_joins(cut(inside.join(huge.select("component"), "component", "left_semi"))))
 
 
 # ---- PageRank ----------------------------------------------------------------------------------------------------

@@ -110,6 +110,20 @@ def test_cycles(edges_of):
     assert sorted(r.path for r in graph.cycles(edges_of(text), kernel=True).collect()) == sorted(r.path for r in graph.cycles(edges_of(text), kernel=False).collect())
 
 
+def test_cycles_by_joins(edges_of):
+    """Components beyond the bound: simple cycles of the graph, and edges on none of them form no cycle."""
+    rng = random.Random(5)
+    pairs = {(f"n{a:02}", f"n{b:02}") for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(40))} | {("x1", "x2"), ("x2", "x1")}
+    got = [(r.length, r.path) for r in graph.cycles(edges_of(" ".join(f"{a}>{b}" for a, b in sorted(pairs))), most_edges=2).collect()]
+    assert (2, ["x1", "x2", "x1"]) in got and len(got) == len({tuple(p) for _, p in got})
+    for length, path in got:
+        assert length == len(path) - 1 == len(set(path)) and path[0] == path[-1] and set(zip(path, path[1:])) <= pairs
+    left = pairs - {e for _, p in got for e in zip(p, p[1:])}
+    while free := {e for e in left if e[1] not in {a for a, _ in left}}:
+        left -= free
+    assert not left
+
+
 def test_empty_graph(spark):
     e = spark.createDataFrame([], "from_key string, to_key string, edge_type string")
     for f in (graph.components, graph.pagerank, graph.betweenness, graph.coreness, graph.cycles, metrics.ck_metrics, metrics.sqale_debt, metrics.edge_entropy, C.communities, C.label_clusters):
