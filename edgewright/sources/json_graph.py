@@ -33,16 +33,21 @@ def entities_in_path(docs: DataFrame, pattern: str, text: str = "json") -> DataF
     return doc_entities(docs, text).filter(F.col("file_path").contains(pattern))
 
 
-def call_chain(edges: DataFrame, start: str, most: int = 1000) -> list[str]:
-    """From a key along the first Calls edge (least target) of each; ends where a key repeats, so cycles end too."""
+def call_chain(edges: DataFrame, start: str, most: int | None = None) -> list[str]:
+    """From a key along the first Calls edge (least target) of each; ends where a key repeats, so cycles end too.
+
+    A chain of more than `most` steps, if given, is an error.
+    """
     firsts = edges.filter("edge_type = 'Calls'").groupBy("from_key").agg(F.min("to_key").alias("to_key"))
-    chain = [start]
-    while len(chain) <= most:
+    chain, seen = [start], {start}
+    while True:
         row = firsts.filter(F.col("from_key") == chain[-1]).first()
-        if row is None or row[1] in chain:
-            break
+        if row is None or row[1] in seen:
+            return chain
+        if most is not None and len(chain) > most:
+            raise RuntimeError(f"the chain from {start} has more than {most} steps")
         chain.append(row[1])
-    return chain
+        seen.add(row[1])
 
 
 def graph_document(entities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -110,6 +110,13 @@ def test_json_graph(spark):
         json_graph.doc_edges(docs, "Nope")
 
 
+def test_call_chain_is_whole(spark):
+    e = spark.createDataFrame([(f"k{i}", f"k{i + 1}", "Calls") for i in range(4)], "from_key string, to_key string, edge_type string")
+    assert json_graph.call_chain(e, "k0") == json_graph.call_chain(e, "k0", 4) == [f"k{i}" for i in range(5)]
+    with pytest.raises(RuntimeError):
+        json_graph.call_chain(e, "k0", 3)
+
+
 def test_text_sinks(spark):
     df = spark.createDataFrame([(1, "a b"), (2, ""), (3, "1.5"), (4, "x:y"), (5, 'q"\t'), (6, None)], "id int, name string")
     lines = [r.value for r in sink.tabular(df, "test").orderBy("part", "value").collect()]
