@@ -1,15 +1,13 @@
 """Problem 5: source files that do not parse.
 
-Files are lexed; what is checked are rows of a DataFrame: adjacent token classes are anti-joined with the pairs that the
-language's grammar permits, brackets are reduced by windows over nesting depth, and statements, with their groups
-reduced, must match one of the language's productions.
+Files are lexed; what is checked are rows of a DataFrame: adjacent tokens are anti-joined with the pairs that the
+language's productions derive, brackets (blocks among them) are reduced by windows over nesting depth, and groups whose
+contents, inner groups reduced, no production derives are rows of their own.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,149 +16,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgewright.sources.lexing import _EMPTY, _NOT_BRACKET, LANGUAGE, collapse, lex_both
 from edgewright.columns import pick
+from edgewright.llm.grammar import BEGIN, END
+from edgewright.llm.languages import grammar
+from edgewright.llm.lexing import token_string
 from edgewright.session import cut
 
-#: All classes that a lexer emits.
-ALPHABET = "iw0s()[]{},;.:?=bo*upgatde@#PKkcNTXM^$FVQICmHB><!yhlDfOE"
-
-
-@lru_cache(maxsize=1)
-def forbidden_pairs() -> dict[str, set[str]]:
-    """Per language the adjacent classes that no production of its grammar derives."""
-    alphabet = ALPHABET
-    cross = lambda a, b: {x + y for x in a for y in b}
-    anywhere = cross("XM", alphabet) | cross(alphabet, "XM") | {"X$", "M$", "^X", "^M"}
-    operators = cross("b", "b)],;:.=$N}?") | cross("=", "b)],;:.=$N}?") | cross(",", ",;.=$?:") | cross(".", "0s.,;:=b)]}$N") | cross("([", ".=,b?") | cross("uo", ")],;:=}$.") | cross("^", ")]},.b=:?*a")
-    touching = cross("i0s]", "i0s") | cross(")", "0s") | cross("}", "0s")
-    out = {}
-    out["js"] = anywhere | operators | touching - {"is"} | cross("i0s]", "Kc") | cross("c", alphabet.replace("(", "").replace("i", "").replace("w", "")) | cross("T", alphabet) | cross(alphabet, "T") | cross("#@", "$") | cross("d", alphabet) | cross(alphabet, "dt#P") | {"is", "d:", "gg$"} | cross("^", "gd") | cross("w", "0") | cross("a", ")],;$N}")
-    out["js"] -= {",,", "[,", ".s", "cw", "bg", "}i", "}0", "}s"}
-    out["js"] |= {"ci", "^."}
-    out["ts"] = {p for p in out["js"] if "T" not in p} - {"=b", "(?", "?)", "?:", "?,", "?;", ":b"} - {"=o"}
-    out["ts"] -= {"?=", "u.", "u)", "u,", "u;", "u}", "u:"}  # the non-null mark
-    out["rs"] = anywhere | operators - {".0", "=b", "o)", "o,", "o=", "o}", "o:"} | touching | cross("i0s]", "FV") - {"iF", "]F", "]V"} | cross(")", "i") | cross("^", "gd0su") | {"^#"} - {"^#"} | cross("p", alphabet) | cross("P", alphabet) | cross("d", "0s,;)]}.=$N") | cross("F", "0s)],;.=$") - {"Fs"} | cross("V", "0s)],;.=$")
-    out["rs"] -= {"[,"} | {"}0", "}s", "])"} | {"=.", ",="}
-    out["java"] = anywhere | operators - {".=", "=b", "?,", "?)"} | touching - {"ii", "]i", "}i"} | cross("i0s", "Q") | cross("c", alphabet.replace("(", "")) | cross("Is", "s{") - {"s{"} | cross("^", "gd0su(") | cross("#P", alphabet) | cross(alphabet, "#") | cross("I", "s{$(=") | {"i0", "is", "0i", "si", "ss", "s0"} | cross("Q", "s{(;$") | cross("m", "0s)],;.=$")
-    out["go"] = anywhere | operators - {".s", ",;", "=}", "o;"} | touching - {"ii", "]i"} | cross("^", "iw0s([{*@#PKkcFVId;g") | cross("i0s)", "QF") - {")F"} | cross("I", "iw{[=,)$") - {"Ii", "Iw"} | cross("Q", "s([{.;$0=") | cross("@#a?dt", alphabet) | cross(alphabet, "@#?dt") | {"i;.", "^;"} | cross(";", ".,=b:)") - {";)"}
-    out["go"] -= {"is", ";.", "iF"}  # a named or dotted import, a function type
-    out["c"] = anywhere | operators - {"=b", "*)", "o,", "*,"} | touching - {"ii", "]i", "ss", "is", "si", "}i"} | cross("c", alphabet.replace("(", "")) | cross("^", "g0s(dtu[") | cross("d@#a", alphabet) | cross(alphabet, "d@#a") | {"i0", "0i", "s0"} | cross("m", "0s)=.$") - {"ms", "m)"} | cross("C", "0s()[],;.=$")
-    out["c"] -= {",."}  # a named initializer
-    out["py"] = anywhere | operators - {",N", "[:", ",:", "[,", "=:"} - cross("=", ":") | touching - {"ss"} | cross(")", "i") | cross("}", "i") | cross("u@#PdpatCFQIVc", alphabet) - cross("u", "iw0s([{KuoH") | cross(alphabet, "?pacFQIV#") | cross("B", alphabet) - {"B>"} | cross("N^<yDB", ">") - {"B>"} | cross("^<yN>", "k") | cross("y", alphabet) - {"yh", "y<", "yy"} | cross("!", alphabet) | cross(alphabet, "!") | cross("^N>", "hl") - {"Nh", "Nl"} | {"^h", "^l", ">h", ">l", "Nh", "Nl"} | cross("ko", "N$)],;=") - {"oN", "kN"} | {"kN", "oN"} | cross("i0s)]}", "K") | cross("K", "=,.)]b") - {"K)", "K,", "K]"}
-    out["py"] -= {"t" + x for x in "iw0s([{Ku"} | {"y$"} - {"y$"}
-    out["py"] = {p for p in out["py"] if p[0] != "t" or p[1] in ")],;:.=$N"} | {"y$", "B$", "y<", "yy"}
-    out["py"] |= {"KK"}
-    out["py"] -= {"=s", "e.", "e,"}
-    out["rb"] = anywhere | {p for p in operators if "N" not in p and "{" not in p and "o" not in p and p[0] != "?"} - {"[,", ".(", ",=", "=b", "(b", ",:"} | cross("0s]}", "i0s") - {"ss", "si"} | cross(")", "i0s") | cross("^", "gd0{u(") | {")t", ")a", "=$"} | cross("P@pC", alphabet) | cross(alphabet, "pP@") | {":="} | cross("i", "0") - {"i0"} | {"):", "]:"} | cross("=", ")]") | {"=N"} - {"=N"}
-    return out
-
-
-#: Productions of a file's own statements, groups reduced; what is not named here has no such rule.
-PRODUCTIONS = {
-    "rs": r"^(#u?\[\])*(V(\(\))?)?(K?F.*|i(d[iw])*i?(\(\);|\[\];|\{\};?)|;)$|^#u\[\]$",
-    "java": r"^(Q[iw](\.[iw])*;|I[mw]?[iw](\.[iw])*(\.\*)?;|(@(\(\))?|m|w(o[iw])?)*(C|w)[iw].*\{\};?|;)$",
-    "go": r"^(Q[iw];?|I.*|F.*|V.*|;)$",
-    "c": r"^(P|;|[mCiw*]+(\[\]|\(\))*(=.*)?(,.*)?;|[mCiw*]+(\(\))+[^=.:s]*\{\};?|[mCiw*]+\(\);|m*C[iw]?\{\}[^.sd]*;|m*C[iw]?\{\}|ms\{\}|m[^s.:]*;|[iw]\(\)|[mCiw*]+\(\)\(\).*;)$",
-    "py": r"^((H|h|l).*(:.*[N]|B)|[^Hhl].*N|f.*k.*N)$",
-    "rb": r"^(?!.*(iii|[(,]ii[,)o*=]|s\.?s?i0)).*$",
-}
-
-#: Fragments of statements at any level, groups reduced, that no production derives: the bracket's own surroundings, then
-#: a call beside a name, const or var without a name (not where it may be a member's name), try without catch or finally.
-BODY_BREAKS = {
-    "js": r"i\(\)i$|^[)aYZ^]:v[=;)]|Y\{\}$",
-    "ts": r"i\(\)i$|^[)aYZ^]:v[=;)]|Y\{\}$",
-    "java": r":(?![Kk])[^:]*i\(\)i$|Y\{\}$",
-    "go": r"^[^K^]:(?!F).?i\(\)i$",
-}
-_MAY_BREAK = {"js": r"[)]i|v[=;)]|Y", "ts": r"[)]i|v[=;)]|Y", "java": r"[)]i|Y", "go": r"[)]i"}
-_FRAGMENT = re.compile(r"(?:^|.)i\(\)i|v[=;)]|Y\{\}(?!\n*Z)")
-_BRACKET = re.compile(r"[()\[\]{}]")
-
-
-def body_fragments(s: str, lang: str) -> set[str]:
-    """`what stands before the group:fragment` of the statements in every group, and with ^ of the file's own."""
-    if not re.search(_MAY_BREAK[lang], s):
-        return set()
-    out: set[str] = set()
-    open_groups: list[tuple[str, str, list[str]]] = [("^", "", [])]
-    last = 1
-    for m in _BRACKET.finditer(s):
-        i, c = m.start(), m[0]
-        open_groups[-1][2].append(s[last:i])
-        last = i + 1
-        if c in "([{":
-            open_groups.append((s[i - 1], c, []))
-        elif len(open_groups) > 1:
-            before, opener, parts = open_groups.pop()
-            out.update(f"{before}:{x}" for x in _FRAGMENT.findall("".join(parts)))
-            open_groups[-1][2].append(opener + c)
-    open_groups[-1][2].append(s[last:-1])
-    while open_groups:  # what is left open is flagged by its nesting
-        before, _, parts = open_groups.pop()
-        out.update(f"{before}:{x}" for x in _FRAGMENT.findall("".join(parts)))
-    return out
-
-
-def _top(s: str, lang: str) -> list[str]:
-    if lang == "py":
-        flat = re.sub(r"[<>y!]", "", collapse(s)[1:-1])
-        return re.findall(r"[^NB]*[NB]|[^NB]+$", flat)
-    if lang == "rb":
-        return collapse(s)[1:-1].replace("O()E", "\n").split("N") + re.findall(r"[^\n]+", s.replace("N", "\n"))
-    flat = collapse(s)[1:-1]
-    out, a, n = [], 0, len(flat)
-    ahead = {"rs": ";,.)]bo=?K*k", "java": ";,.)]bo=?", "go": ";,.([{bo=?gK", "c": ";,.)]bo=?iw*["}[lang]
-    for m in re.finditer(r"\{\}|;|P", flat):
-        if m[0] == "{}" and m.end() < n and flat[m.end()] in ahead:
-            if not (lang == "c" and flat[m.start() - 1 : m.start()] == ")"):  # a function's body ends its declaration
-                continue
-        if m.start() < a:
-            continue
-        out.append(flat[a : m.end()])
-        a = m.end()
-    return out + [flat[a:]] * (a < n)
-
-
-def lex_rows(text: str, lang: str, ext: str = "") -> tuple[set[str], str, set[str], set[str]]:
-    """(adjacent pairs, brackets left after two local reductions in their order, statements, fragments in groups) of one text."""
-    s, stated = lex_both(text, lang, ext in ("js", "jsx", "tsx"))
-    pairs = {a + b for a, b in set(zip(s, s[1:]))}
-    if lang in ("rs", "java", "c"):
-        end = s[-2]
-        pairs |= {"X$"} if end not in {"rs": ";}^]", "java": ";}^", "c": ";}P^)"}[lang] else set()
-    rest = _EMPTY.sub("", _EMPTY.sub("", _NOT_BRACKET.sub("", s)))
-    return pairs, rest, set(_top(s, lang)) if lang in PRODUCTIONS else set(), body_fragments(stated, lang) if lang in BODY_BREAKS else set()
+LANGUAGE = {"rs": "rs", "py": "py", "js": "js", "jsx": "js", "ts": "ts", "tsx": "ts", "java": "java", "go": "go", "c": "c", "h": "c", "rb": "rb"}
+#: Brackets in rows: round, square, curly, parts of a template, indented blocks, blocks closed by a word.
+OPENS, CLOSES = "([{tik", ")]}TIK"
+_EMPTY = re.compile("|".join(re.escape(a + b) for a, b in zip(OPENS, CLOSES)))
+
+
+@lru_cache(maxsize=None)
+def _bracket_rows(lang: str) -> tuple[re.Pattern, dict[int, str]]:
+    """(what is no bracket, the language's brackets as in rows)."""
+    g = grammar(lang)
+    names = {k: OPENS.index({"p": "(", "s": "[", "b": "{"}.get(k, k if k in ("t", "i") else "k")) for k in g.brackets}
+    table = {ord(v[0]): OPENS[names[k]] for k, v in g.brackets.items()} | {ord(v[1]): CLOSES[names[k]] for k, v in g.brackets.items()}
+    return re.compile("[^" + re.escape("".join(g.brackets.values())) + "]+"), table
+
+
+def lex_rows(text: str, lang: str, ext: str = "") -> tuple[set[str], str, list[str]]:
+    """(adjacent pairs, brackets left after two local reductions in their order, first group that no production derives) of one text.
+
+    Groups are reduced here from the inside, each distinct one once per process; where brackets do not match there is
+    nothing to reduce, and the windows over the brackets find it.
+    """
+    s = token_string(text, lang, ext in ("js", "jsx", "tsx"))
+    pairs = {a + b for a, b in set(zip(BEGIN + s, s + END))}
+    other, table = _bracket_rows(lang)
+    rest = _EMPTY.sub("", _EMPTY.sub("", other.sub("", s).translate(table)))
+    return pairs, rest, grammar(lang).errors(s)[:1]
 
 
 def token_rows(files: DataFrame) -> DataFrame:
-    """(file_id, text_hash, lang, kind, a, pos): kind `pair`, `nest`, `stmt` or `body`; all but `nest` distinct per text.
+    """(file_id, text_hash, lang, kind, a, pos): kind `pair`, `nest` or `stmt`; pairs distinct per text.
 
     The lexers return one compact row per text; the rows of tokens are made of it inside the JVM.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, pairs, nests, statements, bodies = [], [], [], [], []
+            langs, pairs, nests, statements = [], [], [], []
             for ext, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 langs.append(LANGUAGE[ext])
-                p, nest, stmts, fragments = lex_rows(text, langs[-1], ext)
+                p, nest, stmts = lex_rows(text, langs[-1], ext)
                 pairs.append("".join(p))
                 nests.append(nest)
-                statements.append(list(stmts))
-                bodies.append(list(fragments))
-            columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(pairs, pa.string()), pa.array(nests, pa.string()), pa.array(statements, pa.list_(pa.string())), pa.array(bodies, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["file_id", "text_hash", "lang", "pairs", "nest", "stmts", "bodies"])
+                statements.append(stmts)
+            columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(pairs, pa.string()), pa.array(nests, pa.string()), pa.array(statements, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["file_id", "text_hash", "lang", "pairs", "nest", "stmts"])
 
-    texts = files.mapInArrow(run, "file_id long, text_hash long, lang string, pairs string, nest string, stmts array<string>, bodies array<string>")
+    texts = files.mapInArrow(run, "file_id long, text_hash long, lang string, pairs string, nest string, stmts array<string>")
     row = lambda kind, a, pos: F.struct(F.lit(kind).alias("kind"), a.alias("a"), pos.cast("int").alias("pos"))
     places = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     pairs = F.transform(places((F.length("pairs") / 2).cast("int")), lambda i: row("pair", F.substring(F.col("pairs"), i * 2 + 1, F.lit(2)), F.lit(0)))
     nest = F.transform(places(F.length("nest")), lambda i: row("nest", F.substring(F.col("nest"), i + 1, F.lit(1)), i))
     stmts = F.transform("stmts", lambda x: row("stmt", x, F.lit(0)))
-    bodies = F.transform("bodies", lambda x: row("body", x, F.lit(0)))
-    return texts.select("file_id", "text_hash", "lang", F.explode(F.concat(pairs, nest, stmts, bodies)).alias("t")).select("file_id", "text_hash", "lang", "t.kind", "t.a", "t.pos")
+    return texts.select("file_id", "text_hash", "lang", F.explode(F.concat(pairs, nest, stmts)).alias("t")).select("file_id", "text_hash", "lang", "t.kind", "t.a", "t.pos")
 
 
 def extension(path="file_path"):
@@ -175,8 +89,8 @@ def parseable(files: DataFrame) -> DataFrame:
 
 
 def permissible_pairs(spark) -> DataFrame:
-    """(lang, kind, a): the pairs that are permitted, a fixed table of the grammars."""
-    rows = [(lang, "pair", x + y) for lang, bad in forbidden_pairs().items() for x in ALPHABET for y in ALPHABET if x + y not in bad]
+    """(lang, kind, a): the pairs that the productions derive, a fixed table of the grammars."""
+    rows = [(lang, "pair", p) for lang in sorted(set(LANGUAGE.values())) for p in sorted(grammar(lang).pairs())]
     return spark.createDataFrame(pd.DataFrame(rows, columns=["lang", "kind", "a"]))
 
 
@@ -185,37 +99,23 @@ def unparsable_files(files: DataFrame) -> DataFrame:
 
     Null and empty texts, unknown extensions and null ids are no case. A file loaded twice counts once; if its texts
     differ, each is checked and one that breaks the grammar suffices. Line ends are normalised and a byte order mark
-    is skipped; extra columns are ignored; an empty table gives an empty result. Texts are not shuffled but for those of
-    Python candidates, which the interpreter's own parser confirms afterwards.
+    is skipped; extra columns are ignored; an empty table gives an empty result. Texts are not shuffled.
     """
     known = parseable(files)
     key = ["file_id", "text_hash"]
     allowed = F.broadcast(permissible_pairs(files.sparkSession))  # fixed size
-    broken = F.lit(False)
-    for lang, rule in PRODUCTIONS.items():
-        broken = broken | ((F.col("kind") == "stmt") & (F.col("lang") == lang) & ~F.col("a").rlike(rule))
-    for lang, rule in BODY_BREAKS.items():
-        broken = broken | ((F.col("kind") == "body") & (F.col("lang") == lang) & F.col("a").rlike(rule))
     # what breaks a rule on its own is decided at once; of the brackets only those that two local reductions leave go on
-    suspects = cut(token_rows(known).join(allowed, ["lang", "kind", "a"], "left_anti").filter(~F.col("kind").isin("stmt", "body") | broken).withColumn("kind", F.when(F.col("kind") == "body", "stmt").otherwise(F.col("kind"))))
-    nest = suspects.filter("kind = 'nest'").select(*key, "lang", "a", "pos").distinct()
-    opens = F.col("a").isin("(", "[", "{")
+    suspects = cut(token_rows(known).join(allowed, ["lang", "kind", "a"], "left_anti"))
+    nest = suspects.filter("kind = 'nest'").select(*key, "a", "pos").distinct()
+    opens = F.col("a").isin(*OPENS)
     depth = F.sum(F.when(opens, 1).otherwise(-1)).over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     leveled = nest.withColumn("d", depth).withColumn("level", F.when(opens, F.col("d")).otherwise(F.col("d") + 1))
     at_level = Window.partitionBy(*key, "level").orderBy("pos")
     matched = leveled.withColumn("before", F.lag("a").over(at_level)).withColumn("after", F.lead("a").over(at_level))
-    opener = F.when(F.col("a") == ")", "(").when(F.col("a") == "]", "[").when(F.col("a") == "}", "{")
-    unmatched = F.when(opens, F.coalesce(F.col("after").isin("(", "[", "{"), F.lit(True))).otherwise(~F.col("before").eqNullSafe(opener))
-    found = suspects.filter("kind <> 'nest'").select(*key, "lang", "kind").unionByName(matched.filter(unmatched).select(*key, "lang", F.lit("nest").alias("kind")))
-    found = found.groupBy(*key, "lang").agg(F.min("kind").alias("reason"))
-
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[not _python_parses(t) for t in batch["current_code"]]][["file_id", "reason"]]
-
-    python = known.filter("ext = 'py'").join(found.filter("lang = 'py'"), key).select("file_id", "reason", "current_code")
-    python = python.mapInPandas(confirm, "file_id long, reason string")
-    return found.filter("lang <> 'py'").select("file_id", "reason").unionByName(python).groupBy("file_id").agg(F.min("reason").alias("reason"))
+    opener = F.translate("a", CLOSES, OPENS)
+    unmatched = F.when(opens, F.coalesce(F.col("after").isin(*OPENS), F.lit(True))).otherwise(~F.col("before").eqNullSafe(opener))
+    found = suspects.filter("kind <> 'nest'").select("file_id", "kind").unionByName(matched.filter(unmatched).select("file_id", F.lit("nest").alias("kind")))
+    return found.groupBy("file_id").agg(F.min("kind").alias("reason"))
 
 
 def parse_rates(files: DataFrame, reports: DataFrame) -> DataFrame:
@@ -233,13 +133,3 @@ def parse_rates(files: DataFrame, reports: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_files"), F.count("bad").alias("n_unparsable"), F.count("told").alias("n_reported"), F.count(F.when(F.col("bad").isNull(), F.col("told"))).alias("n_reported_sound"))
         .withColumn("rate", F.col("n_unparsable") / F.col("n_files"))
     )
-
-
-def _python_parses(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"))
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False

@@ -11,12 +11,17 @@ pytest.importorskip("edgewright.llm.queries")
 from edgewright.llm.authorship import foreign_files
 from edgewright.llm.documentation import declaration, describe, documented_functions, parts, squeezed
 from edgewright.llm.gll import parse
+from edgewright.llm.grammar import Grammar
+from edgewright.llm.languages import grammar
+from edgewright.llm.lexing import token_string
 from edgewright.llm.mixing import mix_report, mix_sources
 from edgewright.llm.packing import best_fit, fill_containers
 from edgewright.llm.parsing import parse_rates, unparsable_files
 from edgewright.llm.splitting import piece_bounds, split_texts
 from edgewright.llm.tokens import VOCABULARY, edges_of, encode, encoder
 
+from snippets import BROKEN, VALID
+
 FILES = "file_id long, repository string, file_path string, current_code string"
 ENTITIES = "isgl1_key string, language string, entity_type string, current_code string"
 DOCS = "doc_id long, text string, source string"
@@ -102,23 +107,42 @@ def test_each_other_language_is_broken(spark):
     assert [r[1] for r in rows if r[0] not in got] == []
 
 
-def test_statements_in_bodies(spark):
-    """Errors below the file's own statements, and of js and ts, which have no other statement rule."""
-    bad = {
-        "java": ["class A { void f() { foo() bar(); } }", "class A { void f() { try { g(); } } }"],
-        "js": ["function f() { foo() bar(); }", "const = 5;", "foo() bar();", "try { g() }", "x(() => { const = 1 })"],
-        "ts": ["function f(): void { foo() bar(); }", "try {}\nlet a = 1"],
-        "go": ["package a\n\nfunc f() int {\n\tfoo() bar()\n}\n"],
-    }
-    good = {
-        "java": ["class A { @B(1) int x; A f() throws E { if (a) g(); try (R r = h()) { i(); } return (T) x; } }", "class A { void f() { try { g(); } catch (E e) { } finally { } } }"],
-        "js": ["class A { try() { return 1 }\n const = 5\n}\nfoo()\nbar()\n", "if (a) b()\nfor (const x of f()) g(x)\ntry { a() }\ncatch { b() }\np.try({}).catch(e)\nconst q = { try: 1, catch: 2 }\n"],
-        "ts": ["interface I { f(): x\n g(): y }\nabstract class A { abstract f(): void; g() { return a() as B } }\n"],
-        "go": ["package a\n\ntype T interface {\n\tM() int\n}\n\nfunc (t *T) f() int {\n\tg := func() int { return 1 }\n\tif x := h(); x {\n\t}\n\treturn g()\n}\n"],
-    }
-    rows = [(k, "r", f"r/x.{lang}", text) for k, (lang, text) in enumerate((lang, t) for group in (bad, good) for lang, ts in group.items() for t in ts)]
-    got = {r.file_id: r.reason for r in unparsable_files(spark.createDataFrame(rows, FILES)).collect()}
-    assert got == {k: "stmt" for k in range(sum(map(len, bad.values())))}, [rows[k] for k in got if k >= sum(map(len, bad.values()))]
+def test_snippets(spark):
+    """Short texts: what each grammar derives is no case, and every break of it is one."""
+    rows = [(k, "r", f"r/x.{lang}", t) for k, (lang, t) in enumerate((lang, t) for lang, ts in VALID.items() for t in ts)]
+    broken = [(1000 + k, "r", f"r/x.{lang}", t) for k, (lang, t) in enumerate((lang, t) for lang, ts in BROKEN.items() for t in ts)]
+    got = {r.file_id for r in unparsable_files(spark.createDataFrame(rows + broken, FILES)).collect()}
+    assert [r for r in rows if r[0] in got] == [] and [r for r in broken if r[0] not in got] == []
+
+
+def test_automaton_and_shared_stacks_agree():
+    """Both recognisers derive the same names from every group of the snippets."""
+    for lang, ts in [*VALID.items(), *BROKEN.items()]:
+        g = grammar(lang)
+        for t in ts:
+            g.errors(token_string(t, lang))
+        for key in list(g.known):
+            contents = key[1:].replace("\n", "") if g.soft and key[0] in "([" else key[1:]
+            assert g.derives(key[0], key[1:]) == g.read(key[0], contents), (lang, key)
+
+
+def test_pairs_are_those_of_the_productions():
+    """Every pair of a sound text is derived; the pairs of a small grammar are exactly the expected ones."""
+    assert Grammar("file = {'a' p.list} ['b'] ; list = [item {',' item}] ; item = 'c' | empty 'd' empty ; empty = ;").pairs() == {
+        "^a", "^b", "^$", "a(", ")a", ")b", ")$", "b$", "(c", "(d", "()", "c,", "d,", ",c", ",d", "c)", "d)"
+    }
+    for lang, ts in VALID.items():
+        allowed = grammar(lang).pairs()
+        for t in ts:
+            s = token_string(t, lang)
+            assert {a + b for a, b in zip("^" + s, s + "$")} <= allowed, t
+
+
+def test_ambiguous_text_is_read():
+    """Nested type arguments, which the automaton would follow in ever more ways, go through the shared stacks."""
+    deep = "let x = A::<" + "B<" * 40 + "C" + ">" * 41 + "::new();"
+    assert grammar("rs").errors(token_string(f"fn f() {{ {deep} }}", "rs")) == []
+    assert grammar("rs").errors(token_string(f"fn f() {{ {deep.replace('C', 'C D')} }}", "rs")) != []
 
 
 def test_elements(spark):
