@@ -19,7 +19,8 @@ _ASSIGN = "+= -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??= &^= //= @="
 
 
 def _one(*parts: str) -> re.Pattern:
-    return re.compile("|".join(parts), re.M)
+    """A token as group 1, blanks before it skipped."""
+    return re.compile(r"[^\S\n]*(" + "|".join(parts) + ")", re.M)
 
 
 #: Operators and words that share a class; what the grammar names itself needs no entry.
@@ -33,15 +34,15 @@ CLASSES = {
     "rb": {"BIN": "== != <= >= > === / % ^ <=> =~ !~ >> && ", "PM": "+ -", "ASG": _ASSIGN, "DOTS": ".. ...", "VAR": "__FILE__ __LINE__ __dir__ __method__"},
 }
 CLASSES["ts"] = CLASSES["js"]
-_SPLIT = {"js": {">>": ">>", ">>>": ">>>", "<-": "<-"}, "rs": {x: x for x in (">>", "<<", "?.", "??", "**", "--", "<-")}, "java": {">>": ">>", ">>>": ">>>", "<-": "<-"}, "go": {">>": ">>", "**": "**"}}
+_SPLIT = {"js": {">>": ">>", ">>>": ">>>", "<-": "<-"}, "rs": {x: x for x in (">>", "<<", "**", "--", "<-")}, "java": {">>": ">>", ">>>": ">>>", "<-": "<-"}, "go": {">>": ">>", "**": "**"}}
 _SPLIT["ts"] = _SPLIT["js"]
 #: Words that a grammar names but that are no names themselves.
 _PATTERNS = {
-    "rs": _one(_MARK, r"\A#!(?!\[)[^\n]*", r"//[^\n]*", r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?s:.*?)\*/)*\*/", r"/\*", r'[bc]?r"[^"]*"', r'[bc]?r#"(?s:.*?)"#', r'[bc]?r##"(?s:.*?)"##', r'[bc]?r###"(?s:.*?)"###', r'[bc]?"(?:[^"\\]|\\(?s:.))*"', r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'", r"'[^\W\d]\w*", r"r#\w+", r"\$?[^\W\d]\w*(?:!(?=\s*(?:[(\[{]|[^\W\d]\w*\s*[(\[{])))?", r"\d(?:\w|\.(?=\d))*(?:(?<=[eE])[+-]\d\w*)?(?:\.(?![\w.]))?", r"\.\.\.|\.\.=", _OPS),
-    "java": _one(_MARK, _SLASH, r'"""(?:[^\\]|\\(?s:.))*?"""', _STR, _CHR, r"@[ ]*(?!interface\b)[^\W\d][\w.]*", r"@[ ]*interface\b", r"[^\W\d$][\w$]*|\$[\w$]*", _NUM, _OPS),
-    "go": _one(_MARK, _SLASH, r"`[^`]*`", _STR, _CHR, _NAME, _NUM, _OPS),
-    "c": _one(_MARK, _SLASH, r"^[ \t]*#(?:[^\n\\]|\\(?s:.))*", r"(?:L|u8?|U)?" + _STR, r"(?:L|u8?|U)?" + _CHR, _NAME, r"\.?\d(?:[\w']|\.|(?<=[eEpP])[+-])*", r"\.\.\.|->|<<=|>>=|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|>>|\n|\S"),
-    "js": _one(_MARK, _SLASH, r"\A#![^\n]*", _STR, _CHR, r"`(?:[^`\\$]|\\(?s:.)|\$(?!\{))*`?", r"@[^\W\d][\w$]*(?:\.[\w$]+)*", r"#[^\W\d$][\w$]*|#\$[\w$]*", r"[^\W\d$][\w$]*|\$[\w$]*", _NUM, _OPS),
+    "rs": _one(_MARK, r"\A#!(?!\[)[^\n]*", r"//[^\n]*", r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?s:.*?)\*/)*\*/", r"/\*", r'[bc]?r"[^"]*"', r'[bc]?r#"(?s:.*?)"#', r'[bc]?r##"(?s:.*?)"##', r'[bc]?r###"(?s:.*?)"###', r'[bc]?"(?:[^"\\]|\\(?s:.))*"', r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'", r"'[^\W\d]\w*", r"r#\w+", r"\$?[^\W\d]\w*(?:!(?=\s*(?:[(\[{]|[^\W\d]\w*\s*[(\[{])))?", r"\d(?:\w|\.(?=\d))*(?:(?<=[eE])[+-]\d\w*)?(?:\.(?![\w.]))?", r"\?", _OPS),
+    "java": _one(r"[^\W\d$][\w$]*", _MARK, _SLASH, r'"""(?:[^\\]|\\(?s:.))*?"""', _STR, _CHR, r"@[ ]*(?!interface\b)[^\W\d][\w.]*", r"@[ ]*interface\b", r"\$[\w$]*", _NUM, _OPS),
+    "go": _one(_NAME, _MARK, _SLASH, r"`[^`]*`", _STR, _CHR, _NAME, _NUM, _OPS),
+    "c": re.compile("|".join((r"^[ \t]*#(?:[^\n\\]|\\(?s:.))*", r"[ \t]+", _MARK, _SLASH, r"(?:L|u8?|U)?" + _STR, r"(?:L|u8?|U)?" + _CHR, _NAME, r"\.?\d(?:[\w']|\.|(?<=[eEpP])[+-])*", r"\.\.\.|->|<<=|>>=|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|>>|\n|\S")), re.M),
+    "js": _one(r"[^\W\d$][\w$]*", _MARK, _SLASH, r"\A#![^\n]*", _STR, _CHR, r"`(?:[^`\\$]|\\(?s:.)|\$(?!\{))*`?", r"@[^\W\d][\w$]*(?:\.[\w$]+)*", r"#[^\W\d$][\w$]*|#\$[\w$]*", r"\$[\w$]*", _NUM, _OPS),
     "py": _one(
         _MARK, r"#[^\n]*", r"\\\n", r"(?i:[rbuft]{0,2})(?:\"\"\"(?:[^\\]|\\(?s:.))*?\"\"\"|'''(?:[^\\]|\\(?s:.))*?''')", r"\"\"\"|'''",
         r'(?i:f|fr|rf|t)"(?:[^"\\\n{]|\\.|\{\{|\{(?:[^{}"\n]|"[^"\n]*"|\{[^{}\n]*\})*\})*"', r"(?i:f|fr|rf|t)'(?:[^'\\\n{]|\\.|\{\{|\{(?:[^{}'\n]|'[^'\n]*'|\{[^{}\n]*\})*\})*'",
@@ -66,7 +67,7 @@ class Codes(dict):
         self.lang, self.char = lang, {k: v for k, v in g.code.items()}
         self.own = {w: g.char(c) for c, ws in CLASSES[lang].items() for w in ws.split()}
         self.own |= {t: c for t, c in g.code.items() if not (t.isupper() and len(t) > 1 and t.isalpha()) or t == "BEGIN"}
-        self.own |= {k: "".join(g.char(x) for x in v) for k, v in _SPLIT.get(lang, {}).items()}
+        self.own |= {k: "".join(self.own.get(x) or g.char(x) for x in v) for k, v in _SPLIT.get(lang, {}).items()}
         self.own |= {ch: ch for ch in "()[]{}\x03\x04" if ch in g.close or ch in g.close.values()}
         self.g = g
 
@@ -83,6 +84,8 @@ class Codes(dict):
             return MERGE
         if t == "\n":
             return LINE
+        if h in " \t" and t.isspace():
+            return " "
         if t[:2] in ("//", "/*") and lang not in ("py", "rb"):
             return NONE if t == "/*" else LINE if "\n" in t else " "
         if h == "#" or (lang == "c" and t.lstrip()[:1] == "#"):
@@ -153,8 +156,13 @@ def token_string(text: str, ext_lang: str, elements: bool = False) -> str:
     text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     c = codes(ext_lang)
     if ext_lang in ("js", "ts"):
-        tokens = _js(text, 0, _PATTERNS[ext_lang], c, elements)[1]
-        return re.sub("\n\n+", "\n", "".join(map(c.__getitem__, tokens)).replace(" ", ""))
+        tokens = None
+        if "${" not in text and not (elements and _MARKUP.search(text)):  # nothing that needs the tokens before it
+            tokens = _PATTERNS[ext_lang].findall(text)
+            if "/" in tokens or "/=" in tokens:
+                tokens = None
+        s = "".join(map(c.__getitem__, tokens or _js(text, 0, _PATTERNS[ext_lang], c, elements)[1])).replace(" ", "")
+        return re.sub("\n\n+", "\n", _after_dot(ext_lang).sub(r"\1" + c.g.char("ID"), s) if tokens else s)
     if ext_lang == "py":
         return _python(text, c)
     if ext_lang == "rb":
@@ -164,16 +172,16 @@ def token_string(text: str, ext_lang: str, elements: bool = False) -> str:
         return _go(s, c)
     s = s.replace("\n", "")
     if ext_lang == "java":
-        return re.sub(_after_dot(ext_lang), "." + c.g.char("ID"), s)
+        return _after_dot(ext_lang).sub(r"\1" + c.g.char("ID"), s)
     return _blank(s, ext_lang)
 
 
 @lru_cache(maxsize=None)
 def _after_dot(lang: str) -> re.Pattern:
-    """A dot and a word after it, which is a name whatever it says (not so after dots that lead to new, or to a star)."""
+    """A dot and a word after it, which is a name whatever it says (but not Java's `new`)."""
     c = codes(lang)
-    words = {v for k, v in c.own.items() if k[:1].isalpha() and k != "new"}
-    return re.compile(r"\.[" + re.escape("".join(words)) + "]")
+    words = {v for k, v in c.own.items() if k[:1].isalpha() and not (lang == "java" and k == "new")}
+    return re.compile("([." + c.own.get("?.", ".") + "]\n*)[" + re.escape("".join(words)) + "]")
 
 
 @lru_cache(maxsize=None)
@@ -191,6 +199,8 @@ def _go(s: str, c: Codes) -> str:
 
 _BEFORE_ELEMENT = frozenset("return default => = ( ? : , && || ?? [ { case yield".split())
 _OPERAND_WORDS = frozenset("return typeof case in of delete void instanceof new do else throw yield await extends".split())
+#: Where an element may begin; whether it does is decided on tokens.
+_MARKUP = re.compile(r"(?:\b(?:return|default|case|yield)|=>|[=(?:,&|{\[])\s*<(?:[A-Za-z]|>)")
 _HEADS = frozenset(("if", "while", "for", "with"))
 _REGEX = re.compile(r"/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\(?s:.)|\$(?!\{))*")
@@ -266,12 +276,12 @@ def _js(text: str, at: int, pattern: re.Pattern, c: Codes, elements: bool, insid
     groups of their parts, words after a dot names, a slash where an operand may stand begins a regular expression."""
     out, prev, depth, heads = [], "{" if inside else "", 0, []  # heads: whether an open round bracket stands behind if, while, for or with
     closed_head = False
-    search, put = pattern.search, out.append
-    while m := search(text, at):
-        t, at = m[0], m.end()
+    match, put = pattern.match, out.append
+    while m := match(text, at):
+        t, at = m[1], m.end()
         h = t[0]
         if h == "<" and elements and t == "<" and prev in _BEFORE_ELEMENT and text[at : at + 1] not in ("", " ", "="):
-            found = _element(text, m.start(), pattern, c)
+            found = _element(text, m.start(1), pattern, c)
             if found:
                 at, own = found
                 out.extend(own)
@@ -295,7 +305,7 @@ def _js(text: str, at: int, pattern: re.Pattern, c: Codes, elements: bool, insid
             prev = ")"
             continue
         elif h == "/" and t in ("/", "/=") and not _divides(prev, closed_head):
-            r = _REGEX.match(text, m.start())
+            r = _REGEX.match(text, m.start(1))
             if r:
                 at = r.end()
                 put("0")
@@ -393,16 +403,16 @@ def _ruby(text: str, c: Codes) -> str:
     tokens = [m for m in _PATTERNS["rb"].finditer(text)]
     n = len(tokens)
     for i, m in enumerate(tokens):
-        t = m[0]
+        t = m[1]
         k = c[t]
         if k == " ":
             continue
         if t == "\n" or t == ";":
             ahead = i + 1
-            while ahead < n and (c[tokens[ahead][0]] in (" ", LINE)):
+            while ahead < n and (c[tokens[ahead][1]] in (" ", LINE)):
                 ahead += 1
-            after = tokens[ahead][0] if ahead < n else ""
-            if t == "\n" and (prev in _AWAITS and not (prev in ("|", "||", "?", "!", "*", "&") and prev != "||") or after in (".", "&.") and not text.startswith("..", tokens[ahead].start())):
+            after = tokens[ahead][1] if ahead < n else ""
+            if t == "\n" and (prev in _AWAITS and not (prev in ("|", "||", "?", "!", "*", "&") and prev != "||") or after in (".", "&.") and not text.startswith("..", tokens[ahead].start(1))):
                 if prev != "|" or True:
                     if prev not in ("{", "(", "["):
                         continue
