@@ -170,7 +170,8 @@ def test_gll():
     [
         ("Never blocks.", True), ("run_all", False), ("Function runAll", False), ("This is the function run_all, which runs all.", False), ("Runs all parts without locking.", True), ("TODO: write me", False), ("FIXME", False), ("n/a", False), ("", False), ("----------", False),
         ("@param x\n@param y\n@return", False), ("@param x the start of it", True), (":param x:\n:returns:", False), ("# Arguments\n* `x`", False), ("{@inheritDoc}", False), ("@see Other", False), ("eslint-disable-next-line complexity", False), ("noqa: D103", False), ("x = run(y, 3)", False),
-        ("for item in queue:\n    item.go()", False), ("Nur für Tests gedacht.", True), ("O(n) in the fan-out.", True), ("Runs all.\nTODO: widen this.", False), ("Returns early when empty.\nFIXME: slow.", True), ("go:noinline", False), ("Description goes here", False),
+        ("for item in queue:\n    item.go()", False), ("Nur für Tests gedacht.", True), ("O(n) in the fan-out.", True), ("Runs all.\nTODO: widen this.", False), ("Returns early when empty.\nFIXME: slow.", True), ("go:noinline", False), ("Description goes here", False), ("TODO list item renderer used by the sidebar.", True), ("Wip indicator shown to the reviewer.", True), ("TODO - later", False),
+        ("Region borders are kept.", True), ("#region helpers", False), ("Webpack loader of the second kind.", True), ("webpack: off", False), ("pylint: disable=x", False), ("clang-format off", False), ("istanbul ignore next", False),
     ],
 )
 def test_descriptions(doc, says):
@@ -216,6 +217,15 @@ def test_templates_count_by_share(spark):
     assert got == {r[0] for r in rows[:4003]} | {r[0] for r in rows[4023:4063]}
 
 
+def test_a_text_of_all_functions_is_no_description(spark):
+    """What hundreds of functions carry alike says nothing of one, whatever its words."""
+    texts = ["Explain this.", "blah blah", "asdf", "comment", "to be filled", "write something here", "TODO add summary"]
+    rows = [(f"rust:fn:n{i}:p:T{i}", "rust", "function", f"/// {texts[i % 7]}\nfn n{i}() {{}}\n") for i in range(3500)]
+    rows += [("rust:fn:a:p:T", "rust", "function", "/// TODO list item renderer used by the sidebar.\nfn a() {}\n"), ("rust:fn:b:p:T", "rust", "function", '#[doc = "Never blocks."]\n#[inline]\nfn b() {}\n')]
+    got = {r.isgl1_key: r.description for r in documented_functions(spark.createDataFrame(rows, ENTITIES)).collect()}
+    assert got == {"rust:fn:a:p:T": "TODO list item renderer used by the sidebar.", "rust:fn:b:p:T": "Never blocks."}
+
+
 def test_long_heads():
     """Heads of any length: the squeezed shape has the declaration of the whole one, and nothing is dropped."""
     rng = random.Random(7)
