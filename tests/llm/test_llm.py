@@ -50,6 +50,20 @@ def test_foreign_files(spark):
     assert foreign_files(spark.createDataFrame([], FILES)).count() == 0
 
 
+def test_notices():
+    """Notices open a sentence of the header; what only talks of them, a docstring's examples or a table of names is no case."""
+    from edgewright.llm.authorship import reason_of
+
+    cases = [
+        ("# auto generated by OpenAPI Generator\nx = 1\n", "py", "generated"), ("/* This file was automatically produced by SWIG 4.0 */\nint x;\n", "c", "generated"), ("/* A Bison parser, made by GNU Bison 3.8.2.  */\nint x;\n", "c", "generated"), ("// DO NOT EDIT. Built by protoc.\nlet x = 1;\n", "js", "generated"),
+        ("// Code generated by mockgen. DO NOT EDIT.\npackage a\n", "go", "generated"), ('"""Code generated by tool 1. DO NOT EDIT."""\nx = 1\n', "py", "generated"), ("/*!\n * jQuery JavaScript Library v3.6.0\n * Copyright OpenJS Foundation and other contributors\n * Released under the MIT license\n */\nlet x = 1;\n", "js", "vendored"),
+        ("/**\n * @license\n * Lodash <https://lodash.com/>\n * Copyright OpenJS Foundation and other contributors <https://openjsf.org/>\n * Released under MIT license <https://lodash.com/license>\n */\nlet x = 1;\n", "js", "vendored"), ("// This is a vendored copy of left-pad.\nlet x = 1;\n", "js", "vendored"),
+        ('"""Finds headers of tools.\n\nCode generated by x. DO NOT EDIT.\n"""\nx = f(1)\n', "py", None), ("// Loads the third-party library at runtime.\nlet x = 1;\n", "js", None), ("// Looks for \"Code generated by\" in the first line.\nlet x = 1;\n", "js", None), ("# Edit the templates here by hand.\nx = f(1)\n", "py", None), ("// Written by Anna for the parser team.\nlet x = 1;\n", "js", None),
+        ("enum E {\n" + "".join(f"    ITEM_{i:02} = {i},\n" for i in range(40)) + "};\n", "c", None), ("void f() {\n" + "".join(f"    check({i}, {i + 1});\n" for i in range(40)) + "}\n", "c", None), ("// Copyright 2024 the me authors. Licensed under the Apache License, Version 2.0.\nlet x = 1;\n", "js", None),
+    ]
+    assert [(t, (reason_of(t, ext, "me") or (None,))[0]) for t, ext, _ in cases] == [(t, want) for t, _, want in cases]
+
+
 # ---- 5 -----------------------------------------------------------------------------------------------------------
 
 GOOD = {
