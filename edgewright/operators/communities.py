@@ -2,83 +2,95 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgewright.operators.graph import _csr, _lists, _ranked, coded, in_one_task, neighbours, sized
+from edgewright.operators.graph import _csr, _ranked, coded, in_one_task, neighbours, nodes_of, sized
+from edgewright.operators.skew import hot_buckets, spread_join
 from edgewright.session import cut
 
 
+#: The nodes move in this many groups, by the first digit of their key's digest: more groups come nearer to moving one node at a time.
+GROUPS = 8
+
+
+def group_of(key: str = "key") -> Column:
+    return (F.conv(F.substring(F.md5(F.col(key)), 1, 1), 16, 10).cast("int") % GROUPS).cast("int")
+
+
 def _moving_kernel(resolution: float, passes: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys, src, dst = _csr(rows)
         n, m = len(keys), float(len(rows))
-        f_at, f_to = _lists(src, dst, n)
-        b_at, b_to = _lists(dst, src, n)
-        near = [[*f_to[f_at[v] : f_at[v + 1]].tolist(), *b_to[b_at[v] : b_at[v + 1]].tolist()] for v in range(n)]
-        degree = [float(len(x)) for x in near]
-        comm, total = list(range(n)), list(degree)
-        size, fresh = [1] * n, n
+        group = np.array([int(hashlib.md5(k.encode()).hexdigest()[0], 16) % GROUPS for k in keys])
+        both, w = np.unique(np.concatenate([src * np.int64(n) + dst, dst * np.int64(n) + src]), return_counts=True)
+        a, b = both // n, both % n
+        k = np.bincount(a, weights=w, minlength=n)
+        comm = np.arange(n)
         for _ in range(passes):
-            improved = False
-            for v in range(n):
-                counts: dict[int, float] = {}
-                for w in near[v]:
-                    counts[comm[w]] = counts.get(comm[w], 0.0) + 1.0
-                best, gain = comm[v], 0.0
-                for c in sorted(counts):
-                    if c != comm[v]:
-                        g = counts[c] / m - resolution * degree[v] * total[c] / (2.0 * m * m)
-                        if g > gain:
-                            best, gain = c, g
-                if best != comm[v]:
-                    for c, sign in ((comm[v], -1), (best, 1)):
-                        total[c] += sign * degree[v]
-                        size[c] += sign
-                    comm[v], improved = best, True
+            moved = False
+            for g in range(GROUPS):
+                names, at = np.unique(comm, return_inverse=True)
+                total = np.bincount(at, weights=k)
+                own = group[a] == g
+                pair, where = np.unique(a[own] * np.int64(len(names)) + at[b[own]], return_inverse=True)
+                v, c = pair // len(names), pair % len(names)
+                gain = 2 * m * np.bincount(where, weights=w[own]) - resolution * k[v] * total[c]
+                good = (c != at[v]) & (gain > 0)
+                v, c, gain = v[good], c[good], gain[good]
+                order = np.lexsort((c, -gain, v))
+                v, c = v[order], c[order]
+                best = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, dtype=bool)
+                comm[v[best]] = names[c[best]]
+                moved |= bool(best.any())
             # refinement: a node of a larger community without an edge inside it goes its own way
-            for v in range(n):
-                c = comm[v]
-                if size[c] > 2 and near[v] and all(comm[w] != c for w in near[v]):
-                    total[c] -= degree[v]
-                    size[c] -= 1
-                    comm[v] = fresh
-                    total.append(degree[v])
-                    size.append(1)
-                    fresh += 1
-            if not improved:
+            _, at, size = np.unique(comm, return_inverse=True, return_counts=True)
+            inside = np.zeros(n, dtype=bool)
+            inside[a[comm[a] == comm[b]]] = True
+            out = np.flatnonzero((size[at] > 2) & ~inside)
+            comm[out] = -1 - out
+            if not moved and not len(out):
                 break
         order: dict[int, int] = {}
-        return pd.DataFrame({"key": keys, "community": [order.setdefault(c, len(order)) for c in comm]})
+        return pd.DataFrame({"key": keys, "community": [order.setdefault(c, len(order)) for c in comm.tolist()]})
 
     return run
 
 
 def _moving_joins(edges: DataFrame, resolution: float, passes: int) -> DataFrame:
-    nodes, e = coded(edges)
+    nodes = cut(_ranked(nodes_of(edges), "id", [F.asc("key")], 0).select("key", F.col("id").cast("long"), group_of().alias("g")))
+    _, e = coded(edges, nodes)
     m = float(e.count())
     near = e.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("o")), F.struct(F.col("dst").alias("id"), F.col("src").alias("o")))).alias("x"))
-    near = cut(near.groupBy(F.col("x.id").alias("id"), F.col("x.o").alias("o")).agg(F.count(F.lit(1)).alias("w")))
-    degree = near.groupBy("id").agg(F.sum("w").alias("k"))
-    state = cut(degree.withColumn("c", F.col("id")))
+    near = near.groupBy(F.col("x.id").alias("id"), F.col("x.o").alias("o")).agg(F.count(F.lit(1)).alias("w"))
+    near = cut(near.join(nodes.select("id", "g"), "id"))
+    state = cut(near.groupBy("id").agg(F.sum("w").alias("k")).withColumn("c", F.col("id")))
     for _ in range(passes):
         moved = 0
-        for half in (0, 1):  # neighbours never move at once in both halves, which would make them swap for ever
+        for g in range(GROUPS):
             totals = state.groupBy("c").agg(F.sum("k").alias("total"))
-            to = near.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == half).join(state.select(F.col("id").alias("o"), "c"), "o").groupBy("id", "c").agg(F.sum("w").alias("w"))
-            choice = to.join(totals, "c").join(state.select("id", "k", F.col("c").alias("own")), "id").filter("c <> own")
-            gain = F.col("w") / m - F.lit(resolution) * F.col("k") * F.col("total") / (2.0 * m * m)
-            best = choice.withColumn("g", gain).filter("g > 0").groupBy("id").agg(F.min(F.struct(-F.col("g"), F.col("c").alias("c"))).alias("b")).select("id", F.col("b.c").alias("new"))
+            of = state.select(F.col("id").alias("o"), "c")
+            to = spread_join(near.filter(F.col("g") == g), of, "o", "id").groupBy("id", "c").agg(F.sum("w").alias("w"))
+            choice = spread_join(to, totals, "c", "id").join(state.select("id", "k", F.col("c").alias("own")), "id").filter("c <> own")
+            gain = F.lit(2 * m) * F.col("w") - F.lit(resolution) * F.col("k") * F.col("total")
+            best = choice.withColumn("gain", gain).filter("gain > 0").groupBy("id").agg(F.min(F.struct(-F.col("gain"), F.col("c").alias("c"))).alias("b")).select("id", F.col("b.c").alias("new"))
             new = cut(state.join(best, "id", "left"))
-            moved += new.filter("new is not null").count()
-            state = new.select("id", "k", F.coalesce("new", "c").alias("c"))
+            n = new.filter("new is not null").count()
+            if n:
+                moved += n
+                state = new.select("id", "k", F.coalesce("new", "c").alias("c"))
         sizes = state.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-        mine = near.join(state.select("id", F.col("c").alias("c1")), "id").join(state.select(F.col("id").alias("o"), F.col("c").alias("c2")), "o")
+        mine = spread_join(near.select("id", "o").join(state.select("id", F.col("c").alias("c1")), "id"), state.select(F.col("id").alias("o"), F.col("c").alias("c2")), "o", "id")
         inside = mine.groupBy("id").agg(F.max((F.col("c1") == F.col("c2")).cast("int")).alias("inside"))
-        state = cut(state.join(sizes, "c").join(inside, "id").select("id", "k", F.when((F.col("size") > 2) & (F.col("inside") == 0), -1 - F.col("id")).otherwise(F.col("c")).alias("c")))
-        if not moved:
+        alone = (F.col("size") > 2) & (F.col("inside") == 0)
+        new = cut(state.join(sizes, "c").join(inside, "id").select("id", "k", F.when(alone, -1 - F.col("id")).otherwise(F.col("c")).alias("c"), alone.alias("alone")))
+        n = new.filter("alone").count()
+        state = new.drop("alone")
+        if not moved and not n:
             break
     named = nodes.join(state, "id")
     least = named.groupBy("c").agg(F.min("key").alias("first"))
@@ -86,10 +98,12 @@ def _moving_joins(edges: DataFrame, resolution: float, passes: int) -> DataFrame
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, passes: int = 10, kernel: bool | None = None) -> DataFrame:
-    """(key, community): greedy moves by modularity gain in key order and refinement, numbered by least key from 0.
+    """(key, community): moves by modularity gain and refinement, numbered by least key from 0.
 
-    The sequential kernel serves graphs of checked size. Larger ones move one half of the nodes at a time by joins; that
-    gives communities of the same kind, not the same ones (the order of moves decides, as it does in the kernel).
+    In each pass the nodes of one group after the other move at once to the neighbouring community of greatest gain
+    (e/m - resolution k K/(2 m^2) against 0), the least among equals; then nodes of larger communities without an edge
+    inside go their own way. It ends when a pass changes nothing. The kernel for graphs of checked size and the joins
+    give the same result.
     """
     e, kernel = sized(edges.select("from_key", "to_key"), kernel)
     if kernel:
@@ -143,9 +157,10 @@ def label_clusters(edges: DataFrame, rounds: int = 10, kernel: bool | None = Non
     if kernel:
         return in_one_task(pairs, _label_kernel(rounds), "key string, label string")
     near = cut(neighbours(pairs))
+    hot = hot_buckets(near, "other")
     state = near.select("key").distinct().withColumn("label", F.col("key"))
     for _ in range(rounds):
-        seen = near.join(state.select(F.col("key").alias("other"), "label"), "other").groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        seen = spread_join(near, state.select(F.col("key").alias("other"), "label"), "other", "key", hot).groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
         best = seen.groupBy("key").agg(F.min(F.struct(-F.col("n"), F.col("label"))).alias("b")).select("key", F.col("b.label").alias("new"))
         new = cut(state.join(best, "key").select("key", "new", (F.col("new") != F.col("label")).alias("moved")))
         state = new.select("key", F.col("new").alias("label"))

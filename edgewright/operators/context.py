@@ -2,82 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import estimated_tokens
-from edgewright.operators.graph import in_one_task, is_small, sized
 from edgewright.operators.traversal import impact_forward
 from edgewright.session import cut
 
 DEPTHS = 3
 
 
-def _fill(items: list[tuple[str, float, str, int]], budget: int) -> list[tuple]:
-    """Greedy with skips: an item that does not fit is passed over, a later smaller one may still be taken."""
-    out, used = [], 0
-    for key, score, kind, tokens in items:
-        if used + tokens <= budget:
-            used += tokens
-            out.append((len(out) + 1, key, score, kind, tokens))
-    return out
-
-
-def _context_kernel(focus: str, budget: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, into = {}, []
-        for a, b in sorted(zip(rows["from_key"], rows["to_key"])):
-            out.setdefault(a, []).append(b)
-            if b == focus:
-                into.append(a)
-        cost = lambda k: 100 + len(k.encode()) // 10
-        seen, items = {focus}, []
-        for kind, score, keys in (("direct_caller", 1.0, into), ("direct_callee", 0.95, out.get(focus, []))):
-            for k in keys:
-                if k not in seen:
-                    seen.add(k)
-                    items.append((k, score, kind, cost(k)))
-        stack = [(k, 1) for k in out.get(focus, [])]
-        while stack:  # last in, first out: the depth a node is found at depends on it
-            k, depth = stack.pop()
-            if depth > DEPTHS:
-                continue
-            for w in out.get(k, []):
-                if w not in seen:
-                    seen.add(w)
-                    items.append((w, max(0.1, 0.7 - 0.1 * depth), f"transitive_depth_{depth + 1}", cost(w)))
-                    stack.append((w, depth + 1))
-        items.sort(key=lambda x: -x[1])
-        return pd.DataFrame(_fill(items, budget), columns=["position", "key", "relevance", "relevance_type", "estimated_tokens"])
-
-    return run
-
-
-def smart_context(edges: DataFrame, focus: str, budget: int = 4000, kernel: bool | None = None) -> DataFrame:
+def smart_context(edges: DataFrame, focus: str, budget: int = 4000) -> DataFrame:
     """(position, key, relevance, relevance_type, estimated_tokens): callers, callees and what they lead to, by relevance,
     as many as the budget holds.
 
-    Only the neighbourhood that can count (callers and DEPTHS + 1 steps forward) is taken out of the graph, by joins.
-    If that is still too large for one task, callers and callees come in the same order by joins; beyond them depths are
-    the least distances, in key order, as the depth-first ones depend on every visit before them.
+    Callers come first, then callees, then what lies up to DEPTHS + 1 steps ahead by least distance, each in key order.
+    The neighbourhood is found by joins from the focus outwards, so the result does not depend on the graph's size.
     """
-    pairs = edges.select("from_key", "to_key").distinct()
-    pairs, small = sized(pairs, kernel)
-    schema = "position int, key string, relevance double, relevance_type string, estimated_tokens int"
-    if small:
-        return in_one_task(pairs, _context_kernel(focus, budget), schema)
-    ahead = cut(impact_forward(pairs, focus, DEPTHS + 1, False))
-    inside = ahead.filter(F.col("distance") <= DEPTHS).select(F.col("node").alias("from_key"))
-    start = edges.sparkSession.createDataFrame([(focus,)], "from_key string")
-    near = cut(pairs.join(inside.unionByName(start).distinct(), "from_key", "left_semi").unionByName(pairs.filter(F.col("to_key") == focus)).distinct())
-    if kernel is None and is_small(near):
-        return in_one_task(near, _context_kernel(focus, budget), schema)
-    return _in_order(pairs, focus, budget, ahead, schema)
+    pairs = edges.select("from_key", "to_key")
+    return _in_order(pairs, focus, budget, cut(impact_forward(pairs, focus, DEPTHS + 1)))
 
 
-def _in_order(pairs: DataFrame, focus: str, budget: int, ahead: DataFrame, schema: str) -> DataFrame:
-    """The same order by joins: callers and callees by key, then the rest by least distance and key, a page at a time.
+def _in_order(pairs: DataFrame, focus: str, budget: int, ahead: DataFrame) -> DataFrame:
+    """Callers and callees by key, then the rest by least distance and key, a page at a time.
 
     An item costs at least 100 tokens, so the budget bounds the items; what no longer fits is not fetched.
     """
@@ -97,4 +44,4 @@ def _in_order(pairs: DataFrame, focus: str, budget: int, ahead: DataFrame, schem
                 used += tokens
                 out.append((len(out) + 1, key, kinds[rank][1], kinds[rank][0], tokens))
         last = (page[-1].rank, page[-1].key)
-    return pairs.sparkSession.createDataFrame(out, schema)
+    return pairs.sparkSession.createDataFrame(out, "position int, key string, relevance double, relevance_type string, estimated_tokens int")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgewright.operators.skew import hot_buckets, salted
+from edgewright.operators.skew import hot_buckets, spread_join
 from edgewright.session import cut
 
 KERNEL_EDGES = 500_000
@@ -47,15 +47,11 @@ def in_one_task(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame]
     return edges.repartition(1).mapInPandas(run, schema)
 
 
-def coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def coded(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes id, key; edges src, dst): keys replaced by integers, written to the checkpoint folder."""
-    nodes = cut(nodes_of(edges).withColumn("id", F.monotonically_increasing_id()))
-    hot = hot_buckets(edges, "to_key")
-    left, right = salted(edges, nodes.select(F.col("key").alias("to_key"), F.col("id").alias("dst")), "to_key", "from_key", hot)
-    mid = left.join(right, ["to_key", "_salt"]).drop("_salt", "to_key")
-    hot = hot_buckets(edges, "from_key")
-    left, right = salted(mid, nodes.select(F.col("key").alias("from_key"), F.col("id").alias("src")), "from_key", "dst", hot)
-    return nodes, cut(left.join(right, ["from_key", "_salt"]).select("src", "dst"))
+    nodes = cut(nodes_of(edges).withColumn("id", F.monotonically_increasing_id())) if nodes is None else nodes
+    mid = spread_join(edges, nodes.select(F.col("key").alias("to_key"), F.col("id").alias("dst")), "to_key", "from_key").drop("to_key")
+    return nodes, cut(spread_join(mid, nodes.select(F.col("key").alias("from_key"), F.col("id").alias("src")), "from_key", "dst", hot_buckets(edges, "from_key")).select("src", "dst"))
 
 
 def _csr(rows: pd.DataFrame):
@@ -121,14 +117,16 @@ def _scc_joins(edges: DataFrame) -> DataFrame:
     e = cut(all_edges.filter("src <> dst").distinct())
     left = nodes.select("id")
     done = None
+    hot_src, hot_dst = hot_buckets(e, "src"), hot_buckets(e, "dst")
+    inner = lambda e, keep: spread_join(spread_join(e, keep.select(F.col("id").alias("src")), "src", "dst", hot_src, "left_semi"), keep.select(F.col("id").alias("dst")), "dst", "src", hot_dst, "left_semi")
     while True:
         # trim: a node without edges in or out, among those left, is a component of its own
         while True:
-            inner = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-            keep = cut(left.join(inner, "id", "left_semi"))
+            within = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+            keep = cut(left.join(within, "id", "left_semi"))
             single = left.join(keep, "id", "left_anti").select("id", F.col("id").alias("c"))
             done = cut(single if done is None else done.unionByName(single))
-            smaller = cut(e.join(keep.select(F.col("id").alias("src")), "src", "left_semi").join(keep.select(F.col("id").alias("dst")), "dst", "left_semi"))
+            smaller = cut(inner(e, keep))
             same = smaller.count() == e.count()
             left, e = keep, smaller
             if same:
@@ -138,24 +136,25 @@ def _scc_joins(edges: DataFrame) -> DataFrame:
         # colour each node with the greatest id that reaches it, then walk back from the roots within a colour
         colour = cut(left.withColumn("c", F.col("id")))
         while True:
-            sent = e.join(colour.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.max("c").alias("m"))
+            sent = spread_join(e, colour.withColumnRenamed("id", "src"), "src", "dst", hot_src).groupBy("dst").agg(F.max("c").alias("m"))
             new = cut(colour.join(sent.withColumnRenamed("dst", "id"), "id", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.col("m") > F.col("c")).alias("up")))
             moved = not new.filter("up").isEmpty()
             colour = new.select("id", "c")
             if not moved:
                 break
-        inside = cut(e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst"))
+        both = spread_join(spread_join(e, colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src", "dst", hot_src), colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst", "src", hot_dst)
+        inside = cut(both.filter("cs = cd").select("src", "dst"))
         members = cut(colour.filter("id = c"))
         frontier = members
         while True:
-            back = inside.join(frontier.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c").distinct()
+            back = spread_join(inside, frontier.select(F.col("id").alias("dst"), "c"), "dst", "src", hot_dst).select(F.col("src").alias("id"), "c").distinct()
             frontier = cut(back.join(members.select("id"), "id", "left_anti"))
             if frontier.isEmpty():
                 break
             members = cut(members.unionByName(frontier))
         done = cut(done.unionByName(members))
         left = cut(left.join(members.select("id"), "id", "left_anti"))
-        e = cut(e.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
+        e = cut(inner(e, left))
     named = nodes.join(done, "id")
     least = named.groupBy("c").agg(F.min("key").alias("component"))
     return named.join(least, "c").select("key", "component")
@@ -305,10 +304,11 @@ def _pagerank_joins(edges: DataFrame, damping: float, tolerance: float, most: in
     n = nodes.count()
     e = cut(e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
     out = e.groupBy("src").agg(F.sum("w").alias("out"))
+    hot = hot_buckets(e, "src")
     state = cut(nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / n)))
     for _ in range(most):
         dangling = state.filter("out is null").agg(F.sum("rank")).first()[0] or 0.0
-        sent = e.join(state.select(F.col("id").alias("src"), "out", "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("w") / F.col("out")).alias("got"))
+        sent = spread_join(e, state.select(F.col("id").alias("src"), "out", "rank"), "src", "dst", hot).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w") / F.col("out")).alias("got"))
         new = state.join(sent.withColumnRenamed("dst", "id"), "id", "left").withColumn("new", F.lit((1 - damping) / n + damping * dangling / n) + damping * F.coalesce("got", F.lit(0.0)))
         new = cut(new.select("id", "out", F.col("new").alias("rank"), F.abs(F.col("new") - F.col("rank")).alias("moved")))
         moved = new.agg(F.sum("moved")).first()[0]
@@ -469,9 +469,10 @@ def _kcore_kernel(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _kcore_joins(edges: DataFrame) -> DataFrame:
     near = cut(neighbours(edges))
+    hot = hot_buckets(near, "other")
     core = cut(near.groupBy("key").agg(F.count(F.lit(1)).alias("core")))
     while True:
-        seen = near.join(core.select(F.col("key").alias("other"), F.col("core").alias("est")), "other").groupBy("key", "est").agg(F.count(F.lit(1)).alias("n"))
+        seen = spread_join(near, core.select(F.col("key").alias("other"), F.col("core").alias("est")), "other", "key", hot).groupBy("key", "est").agg(F.count(F.lit(1)).alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("key").orderBy(F.desc("est")))
         h = seen.select("key", F.least("est", at_least).alias("h")).groupBy("key").agg(F.max("h").alias("h"))
         new = cut(core.join(h, "key").select("key", F.least("core", "h").alias("new"), "core"))

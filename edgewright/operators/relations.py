@@ -31,6 +31,11 @@ def edge_types(edges: DataFrame) -> DataFrame:
     return known.select("from_key", "to_key", "edge_type").distinct()
 
 
+def edge_rows(edges: DataFrame) -> DataFrame:
+    """(from_key, to_key) of every delivery that is an edge, repeated ones included: for lookups that deduplicate what they find."""
+    return edges.filter(F.col("edge_type").isin(*EDGE_TYPES) & (F.length("from_key") > 0) & (F.length("to_key") > 0)).select("from_key", "to_key")
+
+
 def edge_pairs(edges: DataFrame) -> DataFrame:
     """(from_key, to_key): the simple graph, parallel edges of different types collapsed."""
     return edge_types(edges).select("from_key", "to_key").distinct()

@@ -1,15 +1,20 @@
-"""Neighbours, bounded impact and reachability from keys."""
+"""Neighbours, bounded impact and reachability from keys.
+
+Lookups go from the key outwards: each step joins the edges with the frontier alone, so the graph as a whole is neither
+deduplicated nor written. A frontier whose counted size is bounded is broadcast; a larger one is joined by shuffle.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import name_of_key
-from edgewright.operators.graph import in_one_task, sized
 from edgewright.session import cut
 
+#: A frontier of at most so many keys is broadcast (some tens of megabytes).
+BROADCAST_KEYS = 200_000
+
 
 def forward_keys(edges: DataFrame, key: str) -> DataFrame:
     return edges.filter(F.col("from_key") == key).select("to_key").distinct()
@@ -41,81 +46,62 @@ def callers_of(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return same.unionByName(loose).distinct()
 
 
+def calls_key(key: str) -> Column:
+    """Whether to_key is the key, or names the same function or method as `rust:fn:<name>:...` or `rust:method:<name>:...`."""
+    own = F.col("to_key") == key
+    parts = key.split(":")
+    if len(parts) < 3 or not parts[2]:
+        return own
+    return own | F.col("to_key").startswith(f"rust:fn:{parts[2]}:") | F.col("to_key").startswith(f"rust:method:{parts[2]}:")
+
+
 def callers(edges: DataFrame, key: str) -> DataFrame:
-    spark = edges.sparkSession
-    return callers_of(edges, spark.createDataFrame([(key,)], "key string")).drop("key").withColumn("source_location", _place())
-
-
-def _search_kernel(key: str, hops: int, backward: bool):
-    """Breadth first over the whole edge list; backward follows callers, by key or by the name they call."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(rows["from_key"], rows["to_key"]):
-            if backward:
-                near.setdefault(b, []).append(a)
-                p = b.split(":")
-                if p[0] == "rust" and len(p) > 3 and p[1] in ("fn", "method"):
-                    near.setdefault("\0" + p[2], []).append(a)
-            else:
-                near.setdefault(a, []).append(b)
-        found, seen, frontier = [], {key} if backward else set(), [key]
-        for hop in range(1, hops + 1):
-            new = []
-            for k in frontier:
-                p = k.split(":")
-                for w in (*near.get(k, ()), *(near.get("\0" + p[2], ()) if backward and len(p) > 2 else ())):
-                    if w not in seen:
-                        seen.add(w)
-                        new.append(w)
-            if not new:
-                break
-            found += [(hop, w) for w in new]
-            frontier = new
-        return pd.DataFrame(found, columns=["hop", "key"])
-
-    return run
-
-
-def impact_backward(edges: DataFrame, key: str, hops: int = 3, kernel: bool | None = None) -> DataFrame:
+    """All edges to a key or to what is named like it; one filter, which reaches the scan."""
+    return edges.filter(calls_key(key)).distinct().withColumn("source_location", _place())
+
+
+def _sized(frontier: DataFrame) -> tuple[DataFrame, int]:
+    """The frontier, for a broadcast if its counted size allows it, and its size."""
+    n = frontier.count()
+    return (F.broadcast(frontier) if n <= BROADCAST_KEYS else frontier), n
+
+
+def impact_backward(edges: DataFrame, key: str, hops: int = 3) -> DataFrame:
     """(hop, from_key): callers found at each hop, breadth first; the start is never returned; one join per hop."""
-    edges, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
-    if kernel:
-        return in_one_task(edges, _search_kernel(key, hops, True), "hop int, key string").withColumnRenamed("key", "from_key")
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(key,)], "key string")
-    frontier, out = seen, spark.createDataFrame([], "hop int, from_key string")
+    pairs = edges.select("from_key", "to_key")
+    seen, out = spark.createDataFrame([(key,)], "key string"), spark.createDataFrame([], "hop int, from_key string")
+    frontier = None
     for hop in range(1, hops + 1):
-        step = callers_of(edges, frontier).select(F.col("from_key").alias("key")).distinct()
-        frontier = cut(step.join(seen, "key", "left_anti"))
-        if frontier.isEmpty():
+        step = pairs.filter(calls_key(key)) if frontier is None else callers_of(pairs, frontier)
+        new = cut(step.select(F.col("from_key").alias("key")).distinct().join(seen, "key", "left_anti"))
+        frontier, n = _sized(new)
+        if not n:
             break
-        out = out.unionByName(frontier.select(F.lit(hop).alias("hop"), F.col("key").alias("from_key")))
-        seen = cut(seen.unionByName(frontier))
+        out = out.unionByName(new.select(F.lit(hop).alias("hop"), F.col("key").alias("from_key")))
+        seen = cut(seen.unionByName(new)) if hop > 1 else seen.unionByName(new)
     return out
 
 
-def impact_forward(edges: DataFrame, key: str, hops: int, kernel: bool | None = None) -> DataFrame:
+def impact_forward(edges: DataFrame, key: str, hops: int) -> DataFrame:
     """(node, distance): least number of edges from the key, up to `hops`; the key itself only if a cycle leads back."""
-    pairs, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
-    if kernel:
-        return in_one_task(pairs, _search_kernel(key, hops, False), "hop int, key string").select(F.col("key").alias("node"), F.col("hop").alias("distance"))
     spark = edges.sparkSession
-    empty = spark.createDataFrame([], "node string, distance int")
-    frontier, seen = spark.createDataFrame([(key,)], "from_key string"), empty
+    pairs = edges.select("from_key", "to_key")
+    seen, frontier = spark.createDataFrame([], "node string, distance int"), None
     for hop in range(1, hops + 1):
-        step = pairs.join(frontier, "from_key", "left_semi").select(F.col("to_key").alias("node")).distinct()
-        new = cut(step.join(seen, "node", "left_anti").withColumn("distance", F.lit(hop)))
-        if new.isEmpty():
+        step = pairs.filter(F.col("from_key") == key) if frontier is None else pairs.join(frontier, "from_key", "left_semi")
+        new = cut(step.select(F.col("to_key").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)))
+        frontier, n = _sized(new.select(F.col("node").alias("from_key")))
+        if not n:
             break
-        seen = cut(seen.unionByName(new))
-        frontier = new.select(F.col("node").alias("from_key"))
+        seen = cut(seen.unionByName(new)) if hop > 1 else new
     return seen
 
 
-def reachable(edges: DataFrame, key: str, kernel: bool | None = None) -> DataFrame:
+def reachable(edges: DataFrame, key: str) -> DataFrame:
     """(node): everything reachable from the key; cycles end; the key itself only if it lies on one."""
-    return impact_forward(edges, key, 1 << 30, kernel).select("node")
+    # the closure may take as many steps as the graph is deep: pairs are deduplicated and written once
+    return impact_forward(cut(edges.select("from_key", "to_key").distinct()), key, 1 << 30).select("node")
 
 
 def impact_summary(hops: DataFrame) -> DataFrame:

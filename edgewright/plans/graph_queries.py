@@ -162,13 +162,13 @@ def callees(spark, d):
            or (regexp_matches(p.to_key, '^rust:(fn|method):') and split_part(p.to_key, ':', 3) = split_part(b.k, ':', 3) and split_part(b.k, ':', 3) <> '') where hop < 3)
        select min(hop)::int as hop, k as from_key from b group by k having min(hop) > 0)""")
 def impact_backward(spark, d):
-    return traversal.impact_backward(typed(spark, d), busiest(spark, d, "in"), 3)
+    return traversal.impact_backward(R.edge_rows(table(spark, d, "edges")), busiest(spark, d, "in"), 3)
 
 
 @query("""select * from (with recursive f(k, dist) as (select key, 0 from hot_out union select p.to_key, dist + 1 from f join p on p.from_key = f.k where dist < 5)
        select k as node, min(dist)::int as distance from f where dist > 0 group by k)""")
 def impact_forward(spark, d):
-    return traversal.impact_forward(typed(spark, d), busiest(spark, d, "out"), 5)
+    return traversal.impact_forward(R.edge_rows(table(spark, d, "edges")), busiest(spark, d, "out"), 5)
 
 
 @query("""select * from (with recursive r(k) as (select p.to_key from p join hot_out h on p.from_key = h.key union select p.to_key from r join p on p.from_key = r.k) select k as node from r)""")
@@ -338,7 +338,7 @@ def edge_entropy(spark, d):
 
 @query()
 def smart_context(spark, d):
-    return context.smart_context(pairs(spark, d), busiest(spark, d, "both"))
+    return context.smart_context(R.edge_rows(table(spark, d, "edges")), busiest(spark, d, "both"))
 
 
 # ---- coverage and diagnostics ------------------------------------------------------------------------------------

@@ -178,6 +178,14 @@ def test_modularity_and_communities(spark, edges_of):
         assert C.modularity(e, C.communities(e, kernel=kernel)).first()[0] > 0
 
 
+def test_communities_at_every_size(edges_of):
+    """The joins give the kernel's communities, however large the graph."""
+    rng = random.Random(3)
+    text = " ".join(f"n{rng.randrange(60)}>n{int(rng.random() ** 2 * 60)}:{rng.choice(['Calls', 'Uses'])}" for _ in range(200)) + " n1>n1"
+    e = edges_of(text)
+    assert as_dict(C.communities(e, kernel=True), "community") == as_dict(C.communities(e, kernel=False), "community")
+
+
 def test_label_clusters(edges_of):
     got = as_dict(C.label_clusters(edges_of("A>B B>C C>A X>Y Y>Z Z>X")), "label")
     text = "A>B B>C C>A A>D D>E E>F F>D G>G H>G"
@@ -187,17 +195,16 @@ def test_label_clusters(edges_of):
     assert [(r.entity_count, r.internal_edges, r.external_edges) for r in rows] == [(3, 3, 1), (3, 3, 1)]
 
 
-@pytest.mark.parametrize("kernel", [True, False])
-def test_traversal(spark, edges_of, kernel):
+def test_traversal(spark, edges_of):
     e = edges_of("A>B B>C C>D A>C")
-    assert {(r.node, r.distance) for r in traversal.impact_forward(e, "A", 1, kernel).collect()} == {("B", 1), ("C", 1)}
-    assert {(r.node, r.distance) for r in traversal.impact_forward(e, "A", 5, kernel).collect()} == {("B", 1), ("C", 1), ("D", 2)}  # the shorter way counts
-    assert traversal.impact_forward(e, "A", 0, kernel).count() == 0
+    assert {(r.node, r.distance) for r in traversal.impact_forward(e, "A", 1).collect()} == {("B", 1), ("C", 1)}
+    assert {(r.node, r.distance) for r in traversal.impact_forward(e, "A", 5).collect()} == {("B", 1), ("C", 1), ("D", 2)}  # the shorter way counts
+    assert traversal.impact_forward(e, "A", 0).count() == 0
     loop = edges_of("A>B B>C C>A")
-    assert {r.node for r in traversal.reachable(loop, "A", kernel).collect()} == {"A", "B", "C"}
-    assert {(r.hop, r.from_key) for r in traversal.impact_backward(loop, "A", 9, kernel).collect()} == {(1, "C"), (2, "B")}
+    assert {r.node for r in traversal.reachable(loop, "A").collect()} == {"A", "B", "C"}
+    assert {(r.hop, r.from_key) for r in traversal.impact_backward(loop, "A", 9).collect()} == {(1, "C"), (2, "B")}
     named = spark.createDataFrame([("x", "rust:fn:f:a:1-2"), ("y", "go:fn:f:p:T1"), ("z", "x")], "from_key string, to_key string")
-    assert {(r.hop, r.from_key) for r in traversal.impact_backward(named, "go:fn:f:p:T1", 2, kernel).collect()} == {(1, "x"), (1, "y"), (2, "z")}
+    assert {(r.hop, r.from_key) for r in traversal.impact_backward(named, "go:fn:f:p:T1", 2).collect()} == {(1, "x"), (1, "y"), (2, "z")}
 
 
 def test_callers_by_name(edges_of):
@@ -219,13 +226,25 @@ def test_smart_context(edges_of):
     assert [r.key for r in context.smart_context(e, "F", 120).collect()] == [short]
 
 
-def test_smart_context_by_joins(edges_of):
-    """The joins keep the kernel's order: callers and callees by key, and a later item that still fits is taken."""
+def test_smart_context_order(edges_of):
+    """Callers and callees by key, then least distances; a later item that still fits is taken: against a plain walk."""
     keys = [f"k{i:03}" + "x" * (i * 37 % 300) for i in range(60)]
-    e = edges_of(" ".join(f"{k}>F" if i % 2 else f"F>{k}" for i, k in enumerate(keys)) + " k000>T T>V U>F F>U")
+    pairs = [(k, "F") if i % 2 else ("F", k) for i, k in enumerate(keys)] + [(keys[0], "T"), ("T", "V"), ("U", "F"), ("F", "U"), (keys[2], "V")]
+    e = edges_of(" ".join(f"{a}>{b}" for a, b in pairs))
+    rank = {"F": -1} | {a: 0 for a, b in pairs if b == "F"}
+    near = {"F"}
+    for d in range(1, 5):
+        near = {b for a, b in pairs if a in near}
+        for k in near:
+            rank.setdefault(k, d)
     for budget in (99, 250, 1234, 4000, 100_000):
-        rows = [[tuple(r) for r in context.smart_context(e, "F", budget, kernel=kernel).collect()] for kernel in (True, False)]
-        assert rows[0] == rows[1] and (budget < 100) == (not rows[0])
+        want, used = [], 0
+        for r, k in sorted((r, k) for k, r in rank.items() if r >= 0):
+            cost = 100 + len(k) // 10
+            if used + cost <= budget:
+                used += cost
+                want.append((len(want) + 1, k, cost))
+        assert [(r.position, r.key, r.estimated_tokens) for r in context.smart_context(e, "F", budget).collect()] == want
 
 
 def test_hub(edges_of):
