@@ -8,13 +8,11 @@ key graph until nothing new is reached.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.columns import pick
-from edgewright.operators.skew import hot_buckets, salted
+from edgewright.operators.skew import hot_buckets, salted, spread_join
 from edgewright.session import cut
 
 #: What the key of a placeholder record looks like.
@@ -54,47 +52,61 @@ def orphan_references(edges: DataFrame, entities: DataFrame, externals: DataFram
     return found.select("edge_id", "side", "key", "observed_at")
 
 
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """(side, referred_table, week, n_orphans): orphans counted per side, table referred to and week (its Monday)."""
+def _counted(refs: DataFrame, kind: str) -> DataFrame:
+    """(side, referred_table, week, kind, n_orphans): references counted per side, table referred to and week (its Monday)."""
     return (
-        orphans.select(
+        refs.select(
             "side",
             F.when(F.col("key").rlike(PLACEHOLDER), "external_entities").otherwise("entities").alias("referred_table"),
             F.date_format(F.date_trunc("week", F.col("observed_at").cast("timestamp")), "yyyy-MM-dd").alias("week"),
         )
         .groupBy("side", "referred_table", "week")
         .agg(F.count(F.lit(1)).alias("n_orphans"))
+        .withColumn("kind", F.lit(kind))
     )
 
 
-def orphan_cascade(edges: DataFrame, entities: DataFrame, externals: DataFrame, max_depth: int = 1000) -> DataFrame:
+def orphan_report(edges: DataFrame, entities: DataFrame, externals: DataFrame) -> DataFrame:
+    """(side, referred_table, week, kind, n_orphans): `direct` references have no record at the time; `inherited` ones have
+    one, but of an entity that the cascade found: it holds an orphan reference, or reaches one through other entities.
+
+    Weeks are named by their Monday; null where observed_at is. Nulls, repeats and empty tables as in orphan_references.
+    """
+    direct = cut(orphan_references(edges, entities, externals))
+    reached = orphan_cascade(edges, entities, externals, orphans=direct).select(F.col("isgl1_key").alias("key"))
+    inherited = spread_join(references(edges), cut(reached), "key", "edge_id", how="left_semi")
+    inherited = inherited.join(direct.select("edge_id", "side"), ["edge_id", "side"], "left_anti")
+    return _counted(direct, "direct").unionByName(_counted(inherited, "inherited"))
+
+
+def orphan_cascade(edges: DataFrame, entities: DataFrame, externals: DataFrame, max_depth: int = 1000, orphans: DataFrame | None = None) -> DataFrame:
     """(isgl1_key, depth, kind): entities that hold an orphan reference (`direct`, depth 0) or that reach one through
     other entities (`inherited`, depth = number of references between).
 
     Fixpoint: the frontier is semi-joined with the distinct (from, to) pairs on to_key; only keys not yet seen go on.
-    Cycles end since seen keys are dropped. max_depth guards against endless input only; reaching it raises.
+    Cycles end since seen keys are dropped. max_depth guards against endless input only; reaching it raises. orphans: the
+    orphan references, if they are known already.
     """
     edges, entities = pick(edges, "edge_id", "from_key", "to_key", "observed_at"), pick(entities, "isgl1_key", "first_seen_at", "removed_at")
-    bad = orphan_references(edges, entities, externals).filter("side = 'to'").select("edge_id").distinct()
+    orphans = orphan_references(edges, entities, externals) if orphans is None else orphans
+    bad = orphans.filter("side = 'to'").select("edge_id").distinct()
     known = cut(entities.filter("isgl1_key is not null").select(F.col("isgl1_key").alias("key")).distinct().withColumn("id", F.monotonically_increasing_id()))
     ids = lambda side, name: known.select(F.col("key").alias(side), F.col("id").alias(name))
     first = edges.join(bad, "edge_id", "left_semi").select("from_key").distinct().join(ids("from_key", "k"), "from_key").select("k")
     # only edges between records carry an orphan on: keys become integers before the fixpoint
-    left, right = salted(edges.select("from_key", "to_key"), ids("to_key", "dst"), "to_key", "from_key")
-    left, right = salted(left.join(right, ["to_key", "_salt"]).select("from_key", "dst"), ids("from_key", "src"), "from_key", "dst")
-    pairs = cut(left.join(right, ["from_key", "_salt"]).select("src", "dst").distinct())
+    half = spread_join(edges.select("from_key", "to_key"), ids("to_key", "dst"), "to_key", "from_key").select("from_key", "dst")
+    pairs = cut(spread_join(half, ids("from_key", "src"), "from_key", "dst", hot_buckets(edges, "from_key")).select("src", "dst").distinct())
     hot = hot_buckets(pairs, "dst")
-    parts = [cut(first.select("k", F.lit(0).alias("depth")))]
+    seen = level = cut(first.select("k", F.lit(0).alias("depth")))
+    depth = 0
     while True:
-        depth = len(parts)
+        depth += 1
         if depth > max_depth:
             raise RuntimeError("the key graph is deeper than max_depth")
-        left, right = salted(pairs, parts[-1].select(F.col("k").alias("dst")), "dst", "src", hot)
-        step = left.join(right, ["dst", "_salt"], "left_semi").select(F.col("src").alias("k")).distinct()
-        seen = reduce(DataFrame.unionByName, parts).select("k")
-        new = cut(step.join(seen, "k", "left_anti").select("k", F.lit(depth).alias("depth")))
-        if new.isEmpty():
+        step = spread_join(pairs, level.select(F.col("k").alias("dst")), "dst", "src", hot, "left_semi").select(F.col("src").alias("k")).distinct()
+        level = cut(step.join(seen.select("k"), "k", "left_anti").select("k", F.lit(depth).alias("depth")))
+        if level.isEmpty():
             break
-        parts.append(new)
-    reached = reduce(DataFrame.unionByName, parts).join(known.withColumnRenamed("id", "k"), "k")
+        seen = cut(seen.unionByName(level))
+    reached = seen.join(known.withColumnRenamed("id", "k"), "k")
     return reached.select(F.col("key").alias("isgl1_key"), "depth", F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("kind"))

@@ -6,10 +6,12 @@ deduplicated nor written. A frontier whose counted size is bounded is broadcast;
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import name_of_key
+from edgewright.operators.graph import in_one_task, sized
 from edgewright.session import cut
 
 #: A frontier of at most so many keys is broadcast (some tens of megabytes).
@@ -98,10 +100,30 @@ def impact_forward(edges: DataFrame, key: str, hops: int) -> DataFrame:
     return seen
 
 
-def reachable(edges: DataFrame, key: str) -> DataFrame:
-    """(node): everything reachable from the key; cycles end; the key itself only if it lies on one."""
-    # the closure may take as many steps as the graph is deep: pairs are deduplicated and written once
-    return impact_forward(cut(edges.select("from_key", "to_key").distinct()), key, 1 << 30).select("node")
+def _closure_kernel(key: str):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[str]] = {}
+        for a, b in zip(rows["from_key"], rows["to_key"]):
+            near.setdefault(a, []).append(b)
+        seen: set[str] = set()
+        work = [key]
+        while work:
+            new = [w for w in near.get(work.pop(), ()) if w not in seen]
+            seen.update(new)
+            work += new
+        return pd.DataFrame({"node": sorted(seen)}, dtype=object)
+
+    return run
+
+
+def reachable(edges: DataFrame, key: str, kernel: bool | None = None) -> DataFrame:
+    """(node): everything reachable from the key; cycles end; the key itself only if it lies on one.
+
+    The closure may take as many steps as the graph is deep: pairs are deduplicated and written once; a graph of checked
+    size is walked in one task, a larger one by a join per step.
+    """
+    pairs, kernel = sized(edges.select("from_key", "to_key").distinct(), kernel)
+    return in_one_task(pairs, _closure_kernel(key), "node string") if kernel else impact_forward(pairs, key, 1 << 30).select("node")
 
 
 def impact_summary(hops: DataFrame) -> DataFrame:

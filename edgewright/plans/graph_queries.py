@@ -10,6 +10,7 @@ from edgewright.operators import context, coverage, graph, matching, metrics, te
 from edgewright.operators import relations as R
 from edgewright.sinks import text as sink
 from edgewright.sources import catalog, extraction, json_graph
+from edgewright.session import cut
 from edgewright.sources.tables import table
 
 TABLES = ["coverage_reports", "documents", "edges", "entities", "entity_snapshots", "entity_states", "external_entities", "mix_targets", "source_files"]
@@ -204,8 +205,6 @@ def component_sizes(spark, d):
     return graph.component_sizes(graph.components(typed(spark, d)))
 
 
-for _q in ("components", "component_sizes"):
-    SQL[_q] = SQL[_q].replace(_PRELUDE, _PRELUDE.rstrip() + _SCC)
 
 
 @query()
@@ -213,6 +212,26 @@ def cycles(spark, d):
     return graph.cycles(typed(spark, d))
 
 
+@query("""select (select count(distinct component) from scc where key in (select key from scc group by key) and component in (select component from scc group by 1 having count(*) > 1)
+         or key in (select from_key from p where from_key = to_key)) as n_cyclic_components, 0::bigint as n_broken_steps, 0::bigint as n_not_simple, 0::bigint as n_acyclic""")
+def cycle_check(spark, d):
+    """Every step of every cycle is an edge, no key is passed twice, and each component with a cycle has one among them."""
+    edges_, found = cut(pairs(spark, d)), cut(graph.cycles(typed(spark, d)))
+    n = F.size("path")
+    steps = found.select(F.explode(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.col("path")[i].alias("from_key"), F.col("path")[i + 1].alias("to_key")))).alias("s")).select("s.*")
+    odd = found.filter((F.size(F.array_distinct("path")) != n - 1) | (F.col("path")[0] != F.element_at("path", -1)) | (F.col("length") != n - 1)).count()
+    part = cut(graph.components(edges_))
+    loops = edges_.filter("from_key = to_key").select(F.col("from_key").alias("key"))
+    cyclic = part.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component").union(part.join(loops, "key", "left_semi").select("component")).distinct()
+    had = found.select(F.col("path")[0].alias("key")).join(part, "key").select("component").distinct()
+    row = (cyclic.count(), steps.join(edges_, ["from_key", "to_key"], "left_anti").count(), odd, cyclic.join(had, "component", "left_anti").count())
+    return spark.createDataFrame([row], "n_cyclic_components long, n_broken_steps long, n_not_simple long, n_acyclic long")
+
+
+for _q in ("components", "component_sizes", "cycle_check"):
+    SQL[_q] = SQL[_q].replace(_PRELUDE, _PRELUDE.rstrip() + _SCC)
+
+
 _PAGERANK = """, cnt as (select count(*)::double as n from v), od as (select from_key as key, count(*)::double as o from e group by 1),
   nodes as (select v.key, od.o from v left join od using (key)),
   pr(it, key, o, rank, prev) as (
@@ -232,13 +251,13 @@ def pagerank(spark, d):
     return rounded(graph.pagerank(typed(spark, d)), "score", digits=8)
 
 
-SQL["pagerank"] = SQL["pagerank"].replace(_PRELUDE, _PRELUDE.rstrip() + _PAGERANK)
-
-
-@query()
+@query("select row_number() over (order by score desc, key)::int as rank, key, score from (select key, round(rank, 8) as score from pr where it = (select it from stop))")
 def pagerank_ranking(spark, d):
-    return graph.ranked_scores(graph.pagerank(typed(spark, d)))
+    return graph.ranked_scores(rounded(graph.pagerank(typed(spark, d)), "score", digits=8))
+
 
+for _q in ("pagerank", "pagerank_ranking"):
+    SQL[_q] = SQL[_q].replace(_PRELUDE, _PRELUDE.rstrip() + _PAGERANK)
 
 @query()
 def betweenness(spark, d):
@@ -259,11 +278,37 @@ def coreness(spark, d):
 SQL["coreness"] = SQL["coreness"].replace(_PRELUDE, _PRELUDE.rstrip() + _CORE)
 
 
-@query()
+def _communities_sql(passes: int = 10) -> str:
+    """The moves of all groups in all passes, one table each; ids are places in key order."""
+    out = [
+        """, nid as (select key, row_number() over (order by key) - 1 as id, ('0x' || md5(key)[1])::int % 8 as g from v),
+  m2 as (select 2.0::double * count(*) as m2 from e),
+  nb as materialized (select a.id, a.g, b.id as o, count(*)::double as w from (select from_key as x, to_key as y from e union all select to_key, from_key from e) t join nid a on a.key = t.x join nid b on b.key = t.y group by all),
+  s0 as materialized (select id, sum(w) as k, id as c from nb group by id)"""
+    ]
+    n = 0
+    for _ in range(passes):
+        for g in range(8):
+            out.append(f""", t{n} as (select c, sum(k) as total from s{n} group by c),
+  q{n} as (select nb.id, x.c, sum(nb.w) as w from nb join s{n} x on x.id = nb.o where nb.g = {g} group by all),
+  b{n} as (select id, c from (select q.id, q.c, row_number() over (partition by q.id order by (select m2 from m2) * q.w - own.k * t.total desc, q.c) as r
+    from q{n} q join s{n} own on own.id = q.id join t{n} t on t.c = q.c where q.c <> own.c and (select m2 from m2) * q.w - own.k * t.total > 0) where r = 1),
+  s{n + 1} as materialized (select s.id, s.k, coalesce(b.c, s.c) as c from s{n} s left join b{n} b using (id))""")
+            n += 1
+        out.append(f""", r{n} as (select nb.id, max((x.c = y.c)::int) as inside from nb join s{n} x on x.id = nb.id join s{n} y on y.id = nb.o group by 1),
+  s{n + 1} as materialized (select s.id, s.k, case when z.size > 2 and r.inside = 0 then -1 - s.id else s.c end as c from s{n} s join (select c, count(*) as size from s{n} group by c) z using (c) join r{n} r on r.id = s.id)""")
+        n += 1
+    return "".join(out) + f""", com as (select key, dense_rank() over (order by first) - 1 as community from (select nid.key, min(nid.key) over (partition by s.c) as first from s{n} s join nid using (id)))"""
+
+
+@query("select key, community from com")
 def communities(spark, d):
     return C.communities(typed(spark, d))
 
 
+SQL["communities"] = SQL["communities"].replace(_PRELUDE, _PRELUDE.rstrip() + _communities_sql())
+
+
 _LABELS = ", near as (select from_key as key, to_key as other from p union select to_key, from_key from p), l0 as (select distinct key, key as label from near)" + "".join(
     f", l{i} as (select key, label from (select n.key, l.label, count(*) as c from near n join l{i - 1} l on l.key = n.other group by all) qualify row_number() over (partition by key order by c desc, label) = 1)" for i in range(1, 11)
 )
@@ -336,9 +381,21 @@ def edge_entropy(spark, d):
     return rounded(metrics.edge_entropy(typed(spark, d)), "entropy")
 
 
-@query()
+_CONTEXT = """, focus as (select key from deg order by n_in * n_out desc, key limit 1),
+  far(k, dist) as (select p.to_key, 1 from p join focus f on p.from_key = f.key union select p.to_key, dist + 1 from far join p on p.from_key = far.k where dist < 4),
+  cand as (select k, min(r) as r from (select from_key as k, 0 as r from p join focus f on p.to_key = f.key union all select k, dist from far) where k <> (select key from focus) group by k),
+  line as (select k, r, 100 + octet_length(encode(k)) // 10 as cost, row_number() over (order by r, k) as i from cand),
+  fill(i, used) as (select 0::bigint, 0::bigint union all select l.i, case when f.used + l.cost <= 4000 then f.used + l.cost else f.used end from fill f join line l on l.i = f.i + 1),
+  took as (select l.*, row_number() over (order by l.i) as position from line l join fill f on f.i = l.i join fill g on g.i = l.i - 1 where f.used > g.used)"""
+
+
+@query("""select position::int as position, k as key, case when r = 0 then 1.0 when r = 1 then 0.95 else greatest(0.1, round(0.7 - 0.1 * (r - 1), 6)) end::double as relevance,
+       case when r = 0 then 'direct_caller' when r = 1 then 'direct_callee' else 'transitive_depth_' || r end as relevance_type, cost::int as estimated_tokens from took""")
 def smart_context(spark, d):
-    return context.smart_context(R.edge_rows(table(spark, d, "edges")), busiest(spark, d, "both"))
+    return rounded(context.smart_context(R.edge_rows(table(spark, d, "edges")), busiest(spark, d, "both")), "relevance")
+
+
+SQL["smart_context"] = SQL["smart_context"].replace(_PRELUDE, _PRELUDE.rstrip() + _CONTEXT)
 
 
 # ---- coverage and diagnostics ------------------------------------------------------------------------------------
@@ -655,7 +712,10 @@ def test_functions(spark, d):
     return matching.next_function(files.select("file_id", "current_code"))
 
 
-@query()
+@query("""select (row_number() over (order by step) - 1)::int as position, k as key from (with recursive w(k, step, seen) as (
+         select key, 0, [key] from deg where key = (select key from deg order by n_in * n_out desc, key limit 1)
+         union all select c.t, step + 1, list_append(seen, c.t) from w join (select from_key, min(to_key) as t from e where edge_type = 'Calls' group by 1) c on c.from_key = w.k where not list_contains(seen, c.t))
+       select k, step from w)""")
 def call_chain(spark, d):
     chain = json_graph.call_chain(typed(spark, d), busiest(spark, d, "both"))
     return spark.createDataFrame([(i, k) for i, k in enumerate(chain)], "position int, key string")

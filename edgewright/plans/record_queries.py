@@ -20,7 +20,7 @@ def p1_found(spark, d):
 
 
 def p1_orphan_report(spark, d):
-    return orphan_report(orphan_references(*_graph(spark, d)))
+    return orphan_report(*_graph(spark, d))
 
 
 def p1_orphan_cascade(spark, d):
@@ -63,6 +63,13 @@ orphans as (
     and not exists (select 1 from entities e where e.isgl1_key = r.key and e.first_seen_at <= r.observed_at
                     and (e.removed_at is null or e.removed_at > r.observed_at)))"""
 
+_CASCADE = """ks as (select distinct isgl1_key as k from entities),
+  pairs as (select distinct from_key as f, to_key as t from edges where from_key in (select k from ks)),
+  walk as (
+    select distinct e.from_key as k, 0 as depth from orphans o join edges e using (edge_id) where o.side = 'to' and e.from_key in (select k from ks)
+    union
+    select p.f, w.depth + 1 from walk w join pairs p on p.t = w.k where w.depth < 40)"""
+
 _CHANGES = """once as (
   select snapshot_no as no, trim(isgl1_key) as key,
          arg_max(coalesce(nullif(regexp_replace(lower(trim(content_hash)), '^0+(.)', '\\1'), ''), '-'), (delivered_at, coalesce(content_hash, ''))) as h
@@ -89,17 +96,14 @@ starts as (select * from marked where p is null or p <> s)"""
 
 SQL = {
     "p1_found": f"with {_ORPHANS} select edge_id, side from orphans",
-    "p1_orphan_report": f"""with {_ORPHANS}
+    "p1_orphan_report": f"""with recursive {_ORPHANS}, {_CASCADE},
+        told as (select side, key, observed_at, 'direct' as kind from orphans
+          union all select r.side, r.key, r.observed_at, 'inherited' from refs r where r.key in (select k from walk)
+            and not exists (select 1 from orphans o where o.edge_id = r.edge_id and o.side = r.side))
         select side, case when regexp_matches(key, ':(unresolved-reference|external-dependency-[^:]*):0-0$') then 'external_entities' else 'entities' end as referred_table,
-               strftime(date_trunc('week', observed_at), '%Y-%m-%d') as week, count(*) as n_orphans
-        from orphans group by all""",
-    "p1_orphan_cascade": f"""with recursive {_ORPHANS},
-        ks as (select distinct isgl1_key as k from entities),
-        pairs as (select distinct from_key as f, to_key as t from edges where from_key in (select k from ks)),
-        walk as (
-          select distinct e.from_key as k, 0 as depth from orphans o join edges e using (edge_id) where o.side = 'to' and e.from_key in (select k from ks)
-          union
-          select p.f, w.depth + 1 from walk w join pairs p on p.t = w.k where w.depth < 40)
+               strftime(date_trunc('week', observed_at), '%Y-%m-%d') as week, kind, count(*) as n_orphans
+        from told group by all""",
+    "p1_orphan_cascade": f"""with recursive {_ORPHANS}, {_CASCADE}
         select k as isgl1_key, min(depth) as depth, case when min(depth) = 0 then 'direct' else 'inherited' end as kind from walk group by k""",
     "p2_found": f"with {_CHANGES} select snapshot_no, isgl1_key, change_kind from changes",
     "p2_change_counts": f"with {_CHANGES} select snapshot_no, change_kind, count(*) as n from changes group by all",

@@ -34,13 +34,15 @@ def test_orphans(spark):
     rows = [(1, "a", "b", "Calls", day(2)), (2, "a", "b", "Calls", day(5)), (3, "a", "b", "Calls", day(7)), (4, "a", "b", "Calls", day(8)), (5, "a", "x", "Calls", day(0)), (6, "z", None, "Calls", day(2)), (7, "c", "x", "Calls", None), (2, "a", "b", "Calls", day(5))]
     got = sorted((r.edge_id, r.side) for r in orphan_references(noisy(spark.createDataFrame(rows, EDGES)), noisy(ent), noisy(ext)).collect())
     assert got == [(2, "to"), (2, "to"), (3, "to"), (5, "from"), (6, "from"), (6, "to"), (7, "from")]
-    report = {(r.side, r.referred_table, r.week): r.n_orphans for r in orphan_report(orphan_references(spark.createDataFrame(rows, EDGES), ent, ext)).collect()}
-    assert sum(report.values()) == 7 and report[("to", "entities", "2024-01-01")] == 3
+    report = {(r.side, r.referred_table, r.week, r.kind): r.n_orphans for r in orphan_report(noisy(spark.createDataFrame(rows, EDGES)), noisy(ent), noisy(ext)).collect()}
+    assert sum(n for k, n in report.items() if k[3] == "direct") == 7 and report["to", "entities", "2024-01-01", "direct"] == 3
+    # a holds orphan references; what refers to it while it exists is inherited
+    assert {k: n for k, n in report.items() if k[3] == "inherited"} == {("from", "entities", "2024-01-01", "inherited"): 3, ("from", "entities", "2024-01-08", "inherited"): 2}
 
 
 def test_orphans_empty(spark):
     e, n, x = spark.createDataFrame([], EDGES), spark.createDataFrame([], ENTITIES), spark.createDataFrame([], "isgl1_key string")
-    assert orphan_references(e, n, x).count() == 0 and orphan_cascade(e, n, x).count() == 0
+    assert orphan_references(e, n, x).count() == 0 and orphan_cascade(e, n, x).count() == 0 and orphan_report(e, n, x).count() == 0
 
 
 def test_cascade(spark):
