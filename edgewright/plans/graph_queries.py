@@ -259,11 +259,31 @@ def pagerank_ranking(spark, d):
 for _q in ("pagerank", "pagerank_ranking"):
     SQL[_q] = SQL[_q].replace(_PRELUDE, _PRELUDE.rstrip() + _PAGERANK)
 
-@query()
+#: Shortest paths from every source level by level, then dependencies backwards level by level.
+_BETWEEN = """, mult as (select from_key as a, to_key as b, count(*)::double as w from e group by all),
+  bfs(s, v, dist) using key (s, v) as (
+    select distinct a, a, 0 from mult
+    union select x.s, m.b, min(x.dist) + 1 from bfs x join mult m on m.a = x.v where not exists (select 1 from recurring.bfs y where y.s = x.s and y.v = m.b) group by x.s, m.b),
+  lev as materialized (select * from bfs),
+  paths(s, v, l, sigma) as (
+    select s, v, 0, 1.0::double from lev where dist = 0
+    union all select x.s, m.b, x.l + 1, sum(x.sigma * m.w) from paths x join mult m on m.a = x.v join lev d on d.s = x.s and d.v = m.b and d.dist = x.l + 1 group by x.s, m.b, x.l),
+  sg as materialized (select * from paths),
+  back(s, v, l, sigma, delta) as (
+    select s, v, l, sigma, 0.0::double from sg where l = (select max(l) from sg)
+    union all select g.s, g.v, g.l, g.sigma, coalesce(sum(g.sigma * m.w / t.sigma * (1 + t.delta)), 0)
+    from (select distinct l from back) c join sg g on g.l = c.l - 1 left join mult m on m.a = g.v left join back t on t.s = g.s and t.v = m.b group by all),
+  btw as (select v as key, sum(delta) as score from back where s <> v group by 1)"""
+
+
+@query("select v.key, round(coalesce(score, 0), 4) as score from v left join btw using (key)")
 def betweenness(spark, d):
     return rounded(graph.betweenness(typed(spark, d)), "score", digits=4)
 
 
+SQL["betweenness"] = SQL["betweenness"].replace(_PRELUDE, _PRELUDE.rstrip() + _BETWEEN)
+
+
 _CORE = """, near as (select from_key as key, to_key as other from p union select to_key, from_key from p),
   kc(it, key, c) as (select 0, key, count(*) from near group by key union all
     select it + 1, key, max(least(est, rn)) from (select n.key, o.it, o.c as est, row_number() over (partition by n.key order by o.c desc) as rn from near n join kc o on o.key = n.other where o.it < 40) group by it, key)"""
