@@ -726,10 +726,64 @@ def extracted_edges(spark, d):
     return extraction.extracted_edges(table(spark, d, "source_files"))
 
 
-@query()
+#: Small sources, one per language, with what is to be found in them.
+_SAMPLES = {
+    "s/a.rs": "use clap::Parser;\nuse std::collections::HashMap;\nuse crate::y as z;\nstruct S { a: Foo, b: Vec<Bar> }\nimpl Tr for S {\n    fn f(&self, q: Baz) -> Qux {\n        run(1)\n    }\n}\n",
+    "s/b.js": "import a from './x';\nconst f = (x) => g(x);\nconst h = async function(a) {\n  return a.b.c(1);\n};\nclass A {\n  m(a) { return this.p; }\n}\n",
+    "s/c.ts": "const f = async (x: number): Promise<string> => { return g(x); };\ninterface I { a: Map<string, B>; }\n",
+    "s/d.py": "from x.y import z\n@app.route\ndef f(a: Foo) -> Bar:\n    return g(a.b)\n",
+    "s/e.go": "package a\n\nimport \"fmt\"\n\nfunc F(a int) int {\n\treturn fmt.Sum(a)\n}\n",
+}
+_SAMPLE_ENTITIES = [
+    ("s/a.rs", "impl", "S", 5, 9), ("s/a.rs", "method", "f", 6, 8), ("s/a.rs", "struct", "S", 4, 4), ("s/b.js", "class", "A", 6, 8), ("s/b.js", "function", "f", 2, 2), ("s/b.js", "function", "h", 3, 5), ("s/b.js", "method", "m", 7, 7),
+    ("s/c.ts", "function", "f", 1, 1), ("s/c.ts", "interface", "I", 2, 2), ("s/d.py", "function", "f", 3, 4), ("s/e.go", "function", "F", 5, 7),
+]
+_SAMPLE_EDGES = [
+    ("rust", "S", "Implements", "rust:fn:Tr:unresolved-reference:0-0"), ("rust", "f", "Calls", "rust:fn:run:unresolved-reference:0-0"), ("javascript", "f", "Calls", "javascript:fn:g:unresolved-reference:0-0"), ("javascript", "h", "Calls", "javascript:fn:c:unresolved-reference:0-0"),
+    ("typescript", "f", "Calls", "typescript:fn:g:unresolved-reference:0-0"), ("python", "f", "Calls", "python:fn:g:unresolved-reference:0-0"), ("go", "F", "Calls", "go:fn:Sum:unresolved-reference:0-0"),
+] + [
+    (lang, path, "Uses", f"{lang}:module:{name}:0-0")
+    for lang, path, names in (
+        ("rust", "s_a_rs", "Parser:external-dependency-clap Parser std__collections__HashMap HashMap y Foo Bar Baz Qux"), ("javascript", "s_b_js", "./x b c p"), ("typescript", "s_c_ts", "Promise Map"), ("python", "s_d_py", "x.y route Foo Bar b"), ("go", "s_e_go", "fmt"),
+    )
+    for name in names.split()
+]
+
+
+def _samples(spark):
+    return spark.createDataFrame(list(_SAMPLES.items()), "file_path string, current_code string")
+
+
+def _values(rows) -> str:
+    return "(values " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+@query(f"select * from {_values(_SAMPLE_ENTITIES)} t(file_path, entity_type, name, line_start, line_end)")
+def extracted_sample_entities(spark, d):
+    """What extraction finds in the small sources."""
+    return extraction.extracted_entities(_samples(spark)).drop("language")
+
+
+@query(f"select * from {_values(_SAMPLE_EDGES)} t(language, source, edge_type, to_key)")
+def extracted_sample_edges(spark, d):
+    rows = extraction.extracted_edges(_samples(spark))
+    return rows.select(S.language_of_key("from_key").alias("language"), S.name_of_key("from_key").alias("source"), "edge_type", "to_key")
+
+
+@query("select 'rust:module:Parser:external-dependency-clap:0-0' as isgl1_key, 'rust' as language, 'module' as entity_type, 'Parser' as entity_name, 'clap' as crate_name")
+def extracted_sample_placeholders(spark, d):
+    """Records for what the small sources use from outside."""
+    return matching.placeholder_entities(extraction.extracted_edges(_samples(spark)).filter("to_key like '%external-dependency%'"))
+
+
+@query(r"""select file_id, (i + 2 * (row_number() over (partition by file_id order by i) - 1))::int as line, name from (
+       select file_id, i, l[i] as t, regexp_extract(l[i], '^(pub )?fn\s+(\w+)', 2) as name from (select file_id, string_split(any_value(current_code), chr(10)) as l from source_files where current_code is not null and language = 'rust' group by 1), unnest(generate_series(1, len(l))) u(i))
+       where regexp_matches(t, '^(pub )?fn ') qualify name <> ''""")
 def test_functions(spark, d):
+    """Every function of the outermost level of Rust files, marked as a test by a line of its own and a blank one."""
     files = R.latest(table(spark, d, "source_files"), ["file_id"], F.desc("loaded_at")).filter("current_code is not null and language = 'rust'")
-    return matching.next_function(files.select("file_id", "current_code"))
+    marked = F.regexp_replace(F.concat(F.lit("\n"), F.col("current_code")), "\n(pub |)fn ", "\n#[test]\n\n$1fn ")
+    return matching.next_function(files.select("file_id", F.substring(marked, 2, 2**31 - 1).alias("current_code")))
 
 
 @query("""select (row_number() over (order by step) - 1)::int as position, k as key from (with recursive w(k, step, seen) as (

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgewright.functions.scalars import content_hash, is_test_file, key_v2, semantic_path
+from edgewright.functions.scalars import content_hash, is_test_file, key_v2, sanitize_colons, sanitize_path, semantic_path
 from edgewright.session import cut
 from edgewright.sources.lexing import LANGUAGE, LEXERS
 
@@ -41,7 +41,7 @@ IMPORTS["cs"] = re.compile(r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;", re.M)
 IMPORTS["php"] = re.compile(r"""^\s*use\s+([\w\\]+)|\b(?:require|include)(?:_once)?\s*\(?\s*['"]([^'"]+)""", re.M)
 IMPORTS["swift"] = re.compile(r"^\s*import\s+(?:\w+\s+)?([\w.]+)", re.M)
 _TRAIT = re.compile(r"\bimpl(?:<[^>{]*>)?\s+([\w:]+)(?:<[^{]*?>)?\s+for\s+(\w+)")
-_NOT_CALLED = frozenset("if for while switch catch return match with function elif except and or not in is lambda await typeof sizeof super this fn func def defer go case new throw print".split())
+_NOT_CALLED = frozenset("if for while switch catch return match with function elif except and or not in is lambda await typeof sizeof super this fn func def defer go case new throw print async".split())
 
 
 def _kind(kind: str, stack: list) -> str:
@@ -71,10 +71,16 @@ def extract(text: str, lang: str) -> tuple[list[tuple[str, str, int, int]], list
     else:
         ents, calls = _by_braces(toks, words, lang, last)
     deps = [("Calls", name, at) for name, at in calls]
-    for m in IMPORTS[lang].finditer(text):
-        target = next((g for g in m.groups() if g), None)
-        if target:
-            deps.append(("Uses", target, text.count("\n", 0, m.start()) + 1))
+    if lang == "rs":
+        for m in _USE.finditer(text):
+            at = text.count("\n", 0, m.start()) + 1
+            deps += [("Uses", target, at) for target in _use_targets(m[1])]
+    else:
+        for m in IMPORTS[lang].finditer(text):
+            target = next((g for g in m.groups() if g), None)
+            if target:
+                deps.append(("Uses", target, text.count("\n", 0, m.start()) + 1))
+    deps += [("Uses", name, at) for name, at in _uses(toks, lang)]
     if lang == "rs":
         deps += [("Implements", m[1].split("::")[-1], text.count("\n", 0, m.start()) + 1) for m in _TRAIT.finditer(text)]
     return list(dict.fromkeys(ents)), deps
@@ -85,7 +91,9 @@ def _generics(toks: list, j: int) -> str:
     if j >= len(toks) or toks[j][0] != "<":
         return ""
     depth, out = 0, []
-    for t, *_ in toks[j : j + 40]:
+    for t, *_ in toks[j:]:
+        if t in (";", "{"):
+            break
         depth += (t == "<") - t.count(">") * (t.strip(">") == "")
         out.append(", " if t == "," else t)
         if depth <= 0:
@@ -93,6 +101,115 @@ def _generics(toks: list, j: int) -> str:
     return ""
 
 
+_USE = re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", re.M)
+#: Crates whose paths are no dependencies outside, and words that stand for own paths.
+INSIDE = frozenset("crate self super std core alloc proc_macro test".split())
+
+
+def _use_targets(path: str) -> list[str]:
+    """The keys' middles of one use declaration: `Item:external-dependency-crate`, `a__b__C` and the last name; of a list each member's name."""
+    path = re.sub(r"\s+", " ", path).strip().removeprefix("::")
+    if "{" in path:
+        members = re.findall(r"[\w:]+(?=\s*(?:,|\}|\bas\b))", path[path.index("{") :])
+        return [m.split("::")[-1] for m in members if "::" in m]
+    alias = re.match(r"([\w:]+) as ", path)
+    if alias:
+        return [alias[1].split("::")[-1]]
+    if path.endswith("::*"):
+        return [path[:-3].replace("::", "__")]
+    parts = path.split("::")
+    if len(parts) < 2:
+        return [path]
+    whole = f"{parts[-1]}:external-dependency-{parts[0]}" if parts[0] not in INSIDE else "__".join(parts)
+    return [whole, parts[-1]]
+
+
+def _uses(toks: list, lang: str) -> list[tuple[str, int]]:
+    """(name, line) of fields and properties, simple types of parameters, results and fields, arguments of generic types, decorators."""
+    out = []
+    named = lambda k: k < len(toks) and toks[k][0].isidentifier() and toks[k][1] not in "cF"
+    typed = lambda k: named(k) and toks[k][0][:1].isupper()
+    text = lambda k: toks[k][0] if 0 <= k < len(toks) else ""
+    imports = False
+    for i, (t, c, line, _) in enumerate(toks):
+        if lang in ("py", "java"):
+            if t in ("import", "from", "package") and (i == 0 or text(i - 1) in ("\n", ";")):
+                imports = True
+            imports = imports and t not in ("\n", ";")
+            if imports:
+                continue
+        if (t == "." and lang in ("rs", "js", "ts", "py", "java", "c", "rb")) or (t == "->" and lang == "c"):
+            if named(i + 1) and text(i + 1) != "await" and not (lang == "java" and text(i + 2) == "("):
+                out.append((text(i + 1), toks[i + 1][2]))
+        elif lang == "rs" and (t == ":" and typed(i + 1) and text(i + 2) in (",", ")", "}") or t == "->" and typed(i + 1) and text(i + 2) in ("{", "where", ";")):
+            out.append((text(i + 1), toks[i + 1][2]))
+        elif lang == "rs" and t in ("<", ",") and typed(i + 1) and text(i + 2) in (",", ">", "<", ">>") and (typed(i - 1) or t == ","):
+            if t == "<" or any(text(k) == "<" and typed(k - 1) for k in range(max(0, i - 6), i)):
+                out.append((text(i + 1), toks[i + 1][2]))
+        elif lang in ("ts", "java") and t == "<" and typed(i - 1) and text(i - 2) not in ("class", "interface", "type", "function"):
+            out.append((text(i - 1), line))
+        elif lang == "py" and t == "@" and (i == 0 or text(i - 1) == "\n"):
+            k = i + 1
+            while text(k + 1) == ".":
+                k += 2
+            if named(k):
+                out.append((text(k), line))
+        elif lang == "py" and t in (":", "->") and named(i + 1) and (t == "->" or named(i - 1)) and text(i + 2) in (",", ")", "=", ":", "["):
+            out.append((text(i + 1), toks[i + 1][2]))
+    return out
+
+
+def _bodies(toks: list) -> tuple[dict[int, tuple], list[tuple]]:
+    """Functions given to const, let or var by name: ({place of the body's brace: (kind, name, line)}, those whose body is an expression)."""
+    at, whole = {}, []
+    for i, (t, _, line, _) in enumerate(toks):
+        if t not in ("const", "let", "var") or i + 2 >= len(toks) or not toks[i + 1][0].isidentifier():
+            continue
+        name, k, depth = toks[i + 1][0], i + 2, 0
+        while k < len(toks) and toks[k][0] != "=" and toks[k][0] != ";" and k < i + 200:  # a type may stand between
+            k += 1
+        if k >= len(toks) or toks[k][0] != "=":
+            continue
+        k += 1
+        text = lambda k: toks[k][0] if k < len(toks) else ""
+        k += text(k) == "async"
+        plain = text(k) == "function"
+        if plain or text(k) == "<":
+            while k < len(toks) and text(k) not in ("(", "{", ";"):
+                k += 1
+        if text(k) == "(":
+            while k < len(toks):  # over the parameters
+                depth += (text(k) == "(") - (text(k) == ")")
+                if not depth:
+                    break
+                k += 1
+            k += 1
+            if text(k) == ":":  # a type of the result
+                while k < len(toks) and text(k) not in (";", "=") and not (text(k) == ("{" if plain else "=>")):
+                    k += 1
+        elif text(k + 1) == "=>":
+            k += 1
+        else:
+            continue
+        arrow = text(k) == "=>"
+        if not arrow and not (plain and text(k) == "{"):
+            continue
+        k -= plain
+        k += 1
+        if k < len(toks) and toks[k][0] == "{":
+            at[k] = ("function", name, line)
+        elif arrow and k < len(toks):
+            depth, last = 0, toks[k][2]
+            while k < len(toks):
+                x, _, row, _ = toks[k]
+                depth += (x in ("(", "[", "{")) - (x in (")", "]", "}"))
+                if depth < 0 or depth == 0 and (x in (";", ",") or row > last and x not in (".", "?", ":", "?.", "+", "&&", "||", "??")):
+                    break
+                last, k = row, k + 1
+            whole.append(("function", name, line, last))
+    return at, whole
+
+
 def _called(toks: list, i: int) -> bool:
     t, c = toks[i][0], toks[i][1]
     return c in "iw" and i + 1 < len(toks) and toks[i + 1][0] == "(" and t not in _NOT_CALLED and t.rstrip("!").isidentifier()
@@ -100,6 +217,8 @@ def _called(toks: list, i: int) -> bool:
 
 def _by_braces(toks: list, words: dict, lang: str, last: int) -> tuple[list, list]:
     ents, calls, stack, depth, pending, paren = [], [], [], 0, None, 0
+    bodies, whole = _bodies(toks) if lang in ("js", "ts") else ({}, [])
+    ents += whole
     for i, (t, c, line, _) in enumerate(toks):
         if t == "(":
             paren += 1
@@ -107,7 +226,9 @@ def _by_braces(toks: list, words: dict, lang: str, last: int) -> tuple[list, lis
             paren = max(0, paren - 1)
         elif t == "{":
             depth += 1
-            if pending:
+            if i in bodies:
+                stack.append((*bodies[i], depth))
+            elif pending:
                 stack.append((*pending, depth))
                 pending = None
         elif t == "}":
@@ -153,7 +274,7 @@ def _by_braces(toks: list, words: dict, lang: str, last: int) -> tuple[list, lis
             top = lang == "c" and depth == 0 or lang == "cpp" and (depth == 0 or body is not None and body[0] == "module" and depth == body[3])
             if (member or top) and paren == 0 and pending is None and prev not in (".", "=", "new", "return", "@"):
                 pending = ("method" if member or prev == "::" else "function", t, line)
-            elif depth:
+            elif depth or lang in ("js", "ts"):
                 calls.append((t.rstrip("!"), line))
     ents += [(k, n, f, last) for k, n, f, _d in stack]
     return ents, calls
@@ -234,7 +355,8 @@ def extracted_entities(files: DataFrame, rows: DataFrame | None = None) -> DataF
 
 def extracted_edges(files: DataFrame, rows: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """(from_key, to_key, edge_type, source_location): calls and implementations from the smallest entity around them to
-    an unresolved name, imports from the file to a module; one row per key, the first place.
+    an unresolved name, imports, fields, types and decorators from the file to a module (one outside by its crate); one
+    row per key, the first place.
 
     Entities are named by their lines unless their keys are given (isgl1_key, file_path, line_start, line_end, entity_type).
     """
@@ -247,12 +369,11 @@ def extracted_edges(files: DataFrame, rows: DataFrame | None = None, entities: D
     place = F.concat_ws(":", "file_path", "line_start")
     deps = rows.filter("edge_type is not null").withColumn("site_id", F.concat_ws("|", "file_path", "line_start"))
     uses = deps.filter("edge_type = 'Uses'").select(
-        F.concat_ws(":", "lang", F.lit("file"), "file_path", F.lit("1-1")).alias("from_key"), F.concat_ws(":", "lang", F.lit("module"), F.regexp_replace("name", ":", "_"), F.lit("0-0")).alias("to_key"), "edge_type", place.alias("source_location")
+        F.concat_ws(":", "lang", F.lit("file"), sanitize_path("file_path"), F.lit("1-1")).alias("from_key"), F.concat_ws(":", "lang", F.lit("module"), sanitize_colons("name"), F.lit("0-0")).alias("to_key"), "edge_type", place.alias("source_location")
     )
     sites = deps.filter("edge_type <> 'Uses'").select("site_id", "file_path", F.col("line_start").alias("line")).distinct()
     owner = containing_entity(sites, ents).filter("isgl1_key is not null").withColumnRenamed("isgl1_key", "from_key")
-    kind = F.when(F.col("edge_type") == "Implements", "trait").otherwise("fn")
-    calls = deps.filter("edge_type <> 'Uses'").join(owner, "site_id").select("from_key", F.concat_ws(":", "lang", kind, "name", F.lit("unresolved-reference"), F.lit("0-0")).alias("to_key"), "edge_type", place.alias("source_location"))
+    calls = deps.filter("edge_type <> 'Uses'").join(owner, "site_id").select("from_key", F.concat_ws(":", "lang", F.lit("fn"), sanitize_colons("name"), F.lit("unresolved-reference"), F.lit("0-0")).alias("to_key"), "edge_type", place.alias("source_location"))
     return calls.unionByName(uses).groupBy("from_key", "to_key", "edge_type").agg(F.min("source_location").alias("source_location"))
 
 
