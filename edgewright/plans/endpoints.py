@@ -1,6 +1,7 @@
 """The public queries as one function each: parameters in, a table and its cost hint out.
 
-Each returns an Answer: the endpoint's name, its rows and the token hint that clients read. An empty required parameter
+Each returns an Answer: the endpoint's name, its rows, written once, and the token hint that clients read; what else a body
+holds is in `extra`, lists of members as tables of their own, since one component may hold a third of all nodes. An empty required parameter
 raises BadRequest, a missing record NotFound; list and search queries may be empty. `scope` is "L1" or "L1||L2".
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from edgewright.operators import communities as C
 from edgewright.operators import context, coverage, graph, metrics, traversal
 from edgewright.operators import relations as R
+from edgewright.session import cut
 from edgewright.sources.catalog import NotFound
 
 
@@ -34,8 +36,9 @@ class Answer:
 
         from edgewright.sinks.text import json_array
 
-        rows = json.loads(json_array(self.data, most)) if self.data is not None else []
-        out = {"success": True, "endpoint": self.endpoint, "data": self.extra | {"rows": rows}}
+        table = lambda df: json.loads(json_array(df, most))
+        plain = lambda v: table(v) if isinstance(v, DataFrame) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+        out = {"success": True, "endpoint": self.endpoint, "data": plain(self.extra) | {"rows": table(self.data) if self.data is not None else []}}
         return json.dumps(out | ({"tokens": self.tokens} if self.tokens is not None else {}))
 
 
@@ -74,15 +77,24 @@ class Service:
         return Answer("/codebase-statistics-overview-summary", rows, 50)
 
     def reference(self) -> Answer:
-        names = [(n, (getattr(Service, n).__doc__ or "").strip()) for n in ENDPOINTS]
-        return Answer("/api-reference-documentation-help", self.spark.createDataFrame(names, "function string, what string"))
+        """All endpoints with their parameters and defaults."""
+        import inspect
+
+        rows = []
+        for name in ENDPOINTS:
+            f = getattr(Service, name)
+            args = [p for p in inspect.signature(f).parameters.values() if p.name != "self"]
+            shown = [f"{p.name}: {p.annotation}" + ("" if p.default is p.empty else f" = {p.default!r}") for p in args]
+            rows.append((name, ROUTES.get(name, ""), (f.__doc__ or "").strip(), shown, [p.name for p in args if p.default is p.empty]))
+        data = self.spark.createDataFrame(rows, "function string, route string, what string, parameters array<string>, required array<string>")
+        return Answer("/api-reference-documentation-help", data, None, {"api_version": "1", "total_endpoints": len(rows)})
 
     # entities
 
     def list_entities(self, entity_type: str | None = None, scope: str | None = None) -> Answer:
         """All entities, of one type and scope if given."""
         rows = R.in_scope(self.entities("isgl1_key", "file_path", "entity_type", "entity_class", "language", "root_subfolder_l1", "root_subfolder_l2"), scope)
-        rows = rows.filter(F.col("entity_type") == entity_type) if entity_type else rows
+        rows = cut(rows.filter(F.col("entity_type") == entity_type) if entity_type else rows)
         return Answer("/code-entities-list-all", rows, 50 + 20 * rows.count())
 
     def entity_detail(self, key: str, scope: str | None = None) -> Answer:
@@ -96,14 +108,14 @@ class Service:
     def search(self, q: str, scope: str | None = None) -> Answer:
         """Entities whose key contains the text, case aside."""
         rows = R.in_scope(self.entities("isgl1_key", "file_path", "entity_type", "entity_class", "language", "root_subfolder_l1", "root_subfolder_l2"), scope)
-        rows = rows.filter(F.lower("isgl1_key").contains(_need(q, "q").lower()))
+        rows = cut(rows.filter(F.lower("isgl1_key").contains(_need(q, "q").lower())))
         return Answer("/code-entities-search-fuzzy", rows, 60 + 20 * rows.count() + len(q.encode()))
 
     # edges
 
     def callers(self, entity: str, scope: str | None = None) -> Answer:
         """Edges to the entity or to one named like it."""
-        rows = traversal.callers(self.edges(scope, True), _need(entity, "entity"))
+        rows = cut(traversal.callers(self.edges(scope, True), _need(entity, "entity")))
         n = rows.count()
         if not n:
             raise NotFound(entity)
@@ -111,7 +123,7 @@ class Service:
 
     def callees(self, entity: str, scope: str | None = None) -> Answer:
         """Edges from the entity; the scope is that of the callee."""
-        rows = traversal.callees(self.edges(scope, True, "to_key"), _need(entity, "entity"))
+        rows = cut(traversal.callees(self.edges(scope, True, "to_key"), _need(entity, "entity")))
         n = rows.count()
         if not n:
             raise NotFound(entity)
@@ -119,114 +131,133 @@ class Service:
 
     def list_edges(self, limit: int = 100, offset: int = 0, scope: str | None = None) -> Answer:
         """A page of all edges in the order of their key."""
-        rows = self.edges(scope, True).orderBy("from_key", "to_key", "edge_type").offset(offset).limit(limit)
-        return Answer("/dependency-edges-list-all", rows, 60 + 40 * rows.count(), {"total": self.edges(scope).count()})
+        all_edges = cut(self.edges(scope, True))
+        rows = cut(all_edges.orderBy("from_key", "to_key", "edge_type").offset(offset).limit(limit))
+        return Answer("/dependency-edges-list-all", rows, 60 + 40 * rows.count(), {"total": all_edges.count()})
+
+    def _rows(self, scope: str | None) -> DataFrame:
+        """Pairs for lookups, repeats included where no scope asks for a join."""
+        return R.edge_rows(self.raw_edges) if not scope else self.edges(scope).select("from_key", "to_key")
 
     def blast_radius(self, entity: str, hops: int = 3, scope: str | None = None) -> Answer:
-        """Callers by hop."""
-        rows = traversal.impact_backward(self.edges(scope), _need(entity, "entity"), hops)
+        """Callers by hop, with the number of those at each."""
+        rows = cut(traversal.impact_backward(self._rows(scope), _need(entity, "entity"), hops))
+        per_hop = traversal.impact_summary(rows).orderBy("hop")
         n = rows.count()
         if not n:
             raise NotFound(entity)
-        return Answer("/blast-radius-impact-analysis", rows, 80 + 30 * n + len(entity.encode()))
+        return Answer("/blast-radius-impact-analysis", rows.orderBy("hop", "from_key"), 80 + 30 * n + len(entity.encode()), {"total": n, "by_hop": per_hop})
 
     # graph
 
     def cycles(self, scope: str | None = None) -> Answer:
         """Cycles, one per back edge."""
-        rows = graph.cycles(self.pairs(scope))
+        rows = cut(graph.cycles(self.pairs(scope)))
         got = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("path")), F.lit(0))).first()
-        return Answer("/circular-dependency-detection-scan", rows, 60 + 20 * got[0] + 15 * got[1])
+        return Answer("/circular-dependency-detection-scan", rows, 60 + 20 * got[0] + 15 * got[1], {"total_cycles": got[0], "has_cycles": got[0] > 0})
 
     def hotspots(self, top: int = 10, scope: str | None = None) -> Answer:
         """The most coupled nodes."""
-        rows = metrics.hotspots(self.pairs(scope), top)
+        rows = cut(metrics.hotspots(self.pairs(scope), top))
         return Answer("/complexity-hotspots-ranking-view", rows, 80 + 25 * rows.count())
 
     def clusters(self, scope: str | None = None) -> Answer:
-        """Clusters by label propagation."""
+        """Clusters by label propagation, largest first; members in extra."""
         e = self.pairs(scope)
-        labels = C.label_clusters(e)
-        rows = C.cluster_edges(e, labels)
+        labels = cut(C.label_clusters(e))
+        rows = cut(C.cluster_edges(e, labels))
         names = labels.agg(F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()[0]
-        return Answer("/semantic-cluster-grouping-list", rows, 80 + 30 * rows.count() + names // 4)
+        members = labels.join(rows.select("label", "cluster_id"), "label").select("cluster_id", "key").orderBy("cluster_id", "key")
+        return Answer("/semantic-cluster-grouping-list", rows.orderBy("cluster_id"), 80 + 30 * rows.count() + names // 4, {"members": members})
 
     def smart_context(self, focus: str, tokens: int = 4000, scope: str | None = None) -> Answer:
         """What is most relevant to a focus within a token budget."""
-        rows = context.smart_context(self.pairs(scope), _need(focus, "focus"), tokens)
-        return Answer("/smart-context-token-budget", rows, 100 + 40 * rows.count())
+        rows = context.smart_context(self._rows(scope), _need(focus, "focus"), tokens)
+        used = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("estimated_tokens"), F.lit(0))).first()
+        return Answer("/smart-context-token-budget", rows.orderBy("position"), 100 + 40 * used[0], {"focus": focus, "token_budget": tokens, "tokens_used": used[1], "entities_included": used[0]})
 
     def components(self, scope: str | None = None) -> Answer:
-        """Strongly connected components by size."""
-        parts = graph.components(self.edges(scope))
-        rows = graph.component_sizes(parts)
-        return Answer("/strongly-connected-components-analysis", rows, 50 + 30 * rows.count() + 15 * parts.count())
+        """Strongly connected components by size; members in extra."""
+        parts = cut(graph.components(self.edges(scope)))
+        rows = cut(graph.component_sizes(parts))
+        members = parts.join(rows.select("component", "scc_id"), "component").select("scc_id", "key").orderBy("scc_id", "key")
+        return Answer("/strongly-connected-components-analysis", rows.orderBy("scc_id"), 50 + 30 * rows.count() + 15 * parts.count(), {"members": members})
 
     def debt(self, entity: str | None = None, min_debt: float | None = None, scope: str | None = None) -> Answer:
-        """Technical debt per node in hours."""
-        rows = metrics.sqale_debt(self.edges(scope), min_debt, entity)
+        """Technical debt per node in hours, most first."""
+        rows = cut(metrics.sqale_debt(self.edges(scope), min_debt, entity))
         got = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("violations")), F.lit(0)), F.coalesce(F.sum("debt_hours"), F.lit(0.0))).first()
-        return Answer("/technical-debt-sqale-scoring", rows, 60 + 40 * got[0] + 25 * got[1], {"total_debt_hours": got[2]})
+        return Answer("/technical-debt-sqale-scoring", rows.orderBy(F.desc("debt_hours"), "key"), 60 + 40 * got[0] + 25 * got[1], {"total_debt_hours": got[2]})
 
     def kcore(self, k: int | None = None, scope: str | None = None) -> Answer:
-        """Coreness and layer; the greatest coreness is that before the filter."""
+        """Coreness and layer, most first; the greatest coreness is that before the filter."""
         from edgewright.functions.scalars import core_layer
 
-        rows = graph.coreness(self.edges(scope)).withColumn("layer", core_layer("coreness"))
+        rows = cut(graph.coreness(self.edges(scope)).withColumn("layer", core_layer("coreness")))
         most = rows.agg(F.max("coreness")).first()[0] or 0
         rows = rows.filter(F.col("coreness") >= k) if k is not None else rows
-        return Answer("/kcore-decomposition-layering-analysis", rows, 50 + 25 * rows.count(), {"max_coreness": most})
+        return Answer("/kcore-decomposition-layering-analysis", rows.orderBy(F.desc("coreness"), "key"), 50 + 25 * rows.count(), {"max_coreness": most})
 
     def centrality(self, method: str = "pagerank", top: int | None = None, scope: str | None = None) -> Answer:
         """Nodes ranked by PageRank or betweenness; an unknown method ranks by PageRank and is echoed."""
         e = self.edges(scope)
-        rows = graph.ranked_scores(graph.betweenness(e) if method == "betweenness" else graph.pagerank(e), top)
-        return Answer("/centrality-measures-entity-ranking", rows, 50 + 30 * rows.count(), {"method": method})
+        rows = cut(graph.ranked_scores(graph.betweenness(e) if method == "betweenness" else graph.pagerank(e), top))
+        return Answer("/centrality-measures-entity-ranking", rows.orderBy("rank"), 50 + 30 * rows.count(), {"method": method})
 
     def entropy(self, entity: str | None = None, scope: str | None = None) -> Answer:
-        """Entropy of the types of edges out."""
-        rows = metrics.edge_entropy(self.edges(scope), entity)
-        return Answer("/entropy-complexity-measurement-scores", rows, 50 + 25 * rows.count())
+        """Entropy of the types of edges out, most first."""
+        rows = cut(metrics.edge_entropy(self.edges(scope), entity))
+        return Answer("/entropy-complexity-measurement-scores", rows.orderBy(F.desc("entropy"), "key"), 50 + 25 * rows.count())
 
     def coupling(self, entity: str | None = None, scope: str | None = None) -> Answer:
-        """Coupling and cohesion metrics with a grade."""
-        rows = metrics.ck_metrics(self.edges(scope), entity)
-        return Answer("/coupling-cohesion-metrics-suite", rows, 50 + 35 * rows.count())
+        """Coupling and cohesion metrics with a grade, most coupled first."""
+        rows = cut(metrics.ck_metrics(self.edges(scope), entity))
+        return Answer("/coupling-cohesion-metrics-suite", rows.orderBy(F.desc("cbo"), "key"), 50 + 35 * rows.count())
 
     def communities(self, scope: str | None = None) -> Answer:
-        """Communities and their modularity."""
-        e = self.edges(scope)
-        parts = C.communities(e)
-        rows = parts.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("first"))
+        """Communities, largest first, and their modularity; members in extra."""
+        e = cut(self.edges(scope))
+        parts = cut(C.communities(e))
+        rows = cut(parts.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("first")))
         q = C.modularity(e, parts).first()[0]
-        return Answer("/leiden-community-detection-clusters", rows, 60 + 25 * rows.count() + 15 * parts.count(), {"modularity": q})
+        return Answer("/leiden-community-detection-clusters", rows.orderBy(F.desc("size"), "community"), 60 + 25 * rows.count() + 15 * parts.count(), {"modularity": q, "members": parts.orderBy("community", "key")})
 
     # ingestion
 
     def folder_coverage(self, depth: int = 2) -> Answer:
-        """Coverage per folder at a depth, lowest first, and what is left."""
-        ents = self.entities("isgl1_key", "file_path")
-        rows = coverage.folder_coverage(self.files, ents, depth).orderBy("coverage_pct", "folder_path")
-        left = coverage.unparsed_files(self.files, ents).count()
-        return Answer("/ingestion-coverage-folder-report", rows, 100 + 40 * rows.count() + 10 * left)
+        """Coverage per folder at a depth, lowest first, with totals and what is left."""
+        ents = cut(self.entities("isgl1_key", "file_path"))
+        rows = cut(coverage.folder_coverage(self.files, ents, depth))
+        left = cut(coverage.unparsed_files(self.files, ents))
+        summary = coverage.coverage_summary(self.files, ents, self.edges())
+        return Answer("/ingestion-coverage-folder-report", rows.orderBy("coverage_pct", "folder_path"), 100 + 40 * rows.count() + 10 * left.count(), {"summary": summary, "unparsed_files": left.orderBy("file_path")})
 
     def diagnostics(self, section: str = "all") -> Answer:
-        """Excluded tests, word coverage and ignored files; an unknown section selects nothing."""
-        parts: dict[str, DataFrame] = {}
-        if section in ("all", "test_entities"):
-            parts["test_entities"] = coverage.excluded_tests(self.entities("isgl1_key", "file_path", "entity_class", "language", "interface_signature"))
-        if section in ("all", "word_coverage"):
-            parts["word_coverage"] = coverage.word_coverage(self.files, self.entities("isgl1_key", "file_path", "entity_class", "current_code"))
-        if section in ("all", "ignored_files"):
-            parts["ignored_files"] = coverage.ignored_files(self.files)
-        n = {k: v.count() for k, v in parts.items()}
-        tokens = 100 + 30 * n.get("test_entities", 0) + 50 * n.get("word_coverage", 0) + 20 * n.get("ignored_files", 0)
-        rows = self.spark.createDataFrame(list(n.items()), "section string, n_rows long")
-        return Answer("/ingestion-diagnostics-coverage-report", rows, tokens, {"sections": parts} if section != "all" else {})
+        """Excluded tests, word coverage and ignored files, with counts and averages; `summary` has these alone; an unknown
+        section selects nothing."""
+        wanted = lambda name: section in ("all", name, "summary")
+        n, body = {"test_entities": 0, "word_coverage": 0, "ignored_files": 0}, {}
+        averages = (0, 0.0, 0.0)
+        if wanted("test_entities"):
+            tests = cut(coverage.excluded_tests(self.entities("isgl1_key", "file_path", "entity_class", "language", "interface_signature")))
+            n["test_entities"] = tests.count()
+            body["test_entities"] = {"total_count": n["test_entities"], "entities": tests}
+        if wanted("word_coverage"):
+            words = cut(coverage.word_coverage(self.files, self.entities("isgl1_key", "file_path", "entity_class", "current_code")))
+            averages = tuple(coverage.coverage_averages(words).first())
+            n["word_coverage"] = averages[0]
+            body["word_coverage"] = {"total_files": averages[0], "avg_raw_coverage_pct": averages[1], "avg_effective_coverage_pct": averages[2], "files": words}
+        if wanted("ignored_files"):
+            ignored = cut(coverage.ignored_files(self.files))
+            n["ignored_files"] = ignored.count()
+            body["ignored_files"] = {"total_count": n["ignored_files"], "by_extension": ignored.groupBy("extension").agg(F.count(F.lit(1)).alias("n")).orderBy("extension"), "files": ignored}
+        summary = self.spark.createDataFrame([(n["test_entities"], n["word_coverage"], averages[1], averages[2], n["ignored_files"])], "test_entities_count long, total_files_with_coverage long, avg_raw_coverage_pct double, avg_effective_coverage_pct double, ignored_files_count long")
+        tokens = 100 if section == "summary" else 100 + 30 * n["test_entities"] + 50 * n["word_coverage"] + 20 * n["ignored_files"]
+        return Answer("/ingestion-diagnostics-coverage-report", summary, tokens, {} if section == "summary" else {"sections": body})
 
     def folder_tree(self) -> Answer:
         """Folders of the code base with their entities."""
-        rows = coverage.folder_tree(self.entities("isgl1_key", "root_subfolder_l1", "root_subfolder_l2"))
+        rows = cut(coverage.folder_tree(self.entities("isgl1_key", "root_subfolder_l1", "root_subfolder_l2")))
         return Answer("/folder-structure-discovery-tree", rows, 100 + 30 * rows.count())
 
     # incremental
@@ -248,5 +279,13 @@ class Service:
         return Answer("/file-watcher-status-check", None, None, status(query))
 
 
+#: The endpoints' public names.
+ROUTES = {
+    "health": "/server-health-check-status", "statistics": "/codebase-statistics-overview-summary", "reference": "/api-reference-documentation-help", "list_entities": "/code-entities-list-all", "entity_detail": "/code-entity-detail-view", "search": "/code-entities-search-fuzzy",
+    "callers": "/reverse-callers-query-graph", "callees": "/forward-callees-query-graph", "list_edges": "/dependency-edges-list-all", "blast_radius": "/blast-radius-impact-analysis", "cycles": "/circular-dependency-detection-scan", "hotspots": "/complexity-hotspots-ranking-view",
+    "clusters": "/semantic-cluster-grouping-list", "smart_context": "/smart-context-token-budget", "components": "/strongly-connected-components-analysis", "debt": "/technical-debt-sqale-scoring", "kcore": "/kcore-decomposition-layering-analysis", "centrality": "/centrality-measures-entity-ranking",
+    "entropy": "/entropy-complexity-measurement-scores", "coupling": "/coupling-cohesion-metrics-suite", "communities": "/leiden-community-detection-clusters", "folder_coverage": "/ingestion-coverage-folder-report", "diagnostics": "/ingestion-diagnostics-coverage-report",
+    "folder_tree": "/folder-structure-discovery-tree", "reindex": "/incremental-reindex-file-update", "watcher": "/file-watcher-status-check",
+}
 #: Functions of the service that are endpoints.
 ENDPOINTS = [n for n in vars(Service) if not n.startswith("_") and n not in ("entities", "edges", "pairs")]

@@ -808,16 +808,62 @@ def reindexed_files(spark, d):
     return reindex(cut(first.entities), cut(first.edges), cut(first.cache), again).metrics
 
 
-@query()
+_ENDPOINTS = """, hk as (select key as k, octet_length(encode(key)) as b from hot_in), ho as (select key as k, octet_length(encode(key)) as b from hot_out),
+  det as (select octet_length(encode(current_code)) as b from n where isgl1_key = (select min(isgl1_key) from n where current_code is not null)),
+  back(k, hop) as (select key, 0 from hot_in union select p.from_key, hop + 1 from back join p on p.to_key = back.k
+    or (regexp_matches(p.to_key, '^rust:(fn|method):') and split_part(p.to_key, ':', 3) = split_part(back.k, ':', 3) and split_part(back.k, ':', 3) <> '') where hop < 3),
+  fo as (select key from hot_out), f2(k, dist) as (select p.to_key, 1 from p join fo on p.from_key = fo.key union select p.to_key, dist + 1 from f2 join p on p.from_key = f2.k where dist < 4),
+  cand as (select k, min(r) as r from (select from_key as k, 0 as r from p join fo on p.to_key = fo.key union all select k, dist from f2) where k <> (select key from fo) group by k),
+  line as (select k, 100 + octet_length(encode(k)) // 10 as cost, row_number() over (order by r, k) as i from cand),
+  fill(i, used) as (select 0::bigint, 0::bigint union all select l.i, case when f.used + l.cost <= 4000 then f.used + l.cost else f.used end from fill f join line l on l.i = f.i + 1)"""
+
+
+@query("""select '/codebase-statistics-overview-summary' as endpoint, 50::bigint as tokens union all
+  select '/code-entities-list-all', 50 + 20 * count(*) from n where entity_type = 'function' union all
+  select '/code-entity-detail-view', 100 + b from det union all
+  select '/code-entities-search-fuzzy', 66 + 20 * count(*) from n where contains(lower(isgl1_key), 'walker') union all
+  select '/reverse-callers-query-graph', 80 + 50 * count(*) + (select b from hk) from (select distinct e.* from e, hot_in h where to_key = h.key or starts_with(to_key, 'rust:fn:' || split_part(h.key, ':', 3) || ':') or starts_with(to_key, 'rust:method:' || split_part(h.key, ':', 3) || ':')) union all
+  select '/forward-callees-query-graph', 80 + 50 * count(*) + (select b from ho) from e where from_key = (select key from hot_out) union all
+  select '/dependency-edges-list-all', 60 + 40 * least(100, count(*)) from e union all
+  select '/blast-radius-impact-analysis', 80 + 30 * (count(distinct k) - 1) + (select b from hk) from back union all
+  select '/complexity-hotspots-ranking-view', 80 + 25 * least(10, count(*)) from v union all
+  select '/semantic-cluster-grouping-list', 80 + 30 * (select count(distinct label) from l10) + (select sum(octet_length(encode(key))) from l10) // 4 union all
+  select '/smart-context-token-budget', 100 + 40 * (count(distinct used) - 1) from fill union all
+  select '/strongly-connected-components-analysis', 50 + 30 * count(distinct component) + 15 * count(*) from scc union all
+  select '/technical-debt-sqale-scoring', 60 + 40 * count(*) + 25 * sum((cbo > 10)::int + (lcom > 0.8)::int + (wmc > 15)::int)::bigint from ck0 union all
+  select '/kcore-decomposition-layering-analysis', 50 + 25 * count(*) from v union all
+  select '/centrality-measures-entity-ranking', 50 + 30 * least(20, count(*)) from v union all
+  select '/entropy-complexity-measurement-scores', 50 + 25 * count(*) from v union all
+  select '/coupling-cohesion-metrics-suite', 50 + 35 * count(*) from v union all
+  select '/leiden-community-detection-clusters', 60 + 25 * count(distinct community) + 15 * count(*) from com union all
+  select '/ingestion-coverage-folder-report', 100 + 40 * (select count(distinct array_to_string(list_slice(string_split(regexp_extract(file_path, '^(.*)/[^/]*$', 1), '/'), 1, 2), '/')) from el) + 10 * (select count(*) from el where file_path not in (select file_path from pf)) union all
+  select '/ingestion-diagnostics-coverage-report', 100 + 30 * (select count(*) from n where entity_class = 'TEST') + 50 * (select count(*) from cov) + 20 * (select count(distinct file_path) from source_files where file_path not in (select file_path from el)) union all
+  select '/folder-structure-discovery-tree', 100 + 30 * count(distinct root_subfolder_l1) from n""")
 def endpoint_tokens(spark, d):
-    """Every read endpoint asked once, with its cost hint."""
+    """Every read endpoint asked once, with its cost hint (but that of cycles, which depends on those found)."""
     from edgewright.plans.endpoints import Service
 
     s = Service(spark, table(spark, d, "entities"), table(spark, d, "edges"), table(spark, d, "source_files"))
     hub, source = busiest(spark, d, "in"), busiest(spark, d, "out")
     detail = s.entities("isgl1_key", "current_code").dropna().agg(F.min("isgl1_key")).first()[0]
     asked = [
-        s.statistics(), s.list_entities("function"), s.entity_detail(detail), s.search("walker"), s.callers(hub), s.callees(source), s.list_edges(), s.blast_radius(hub), s.cycles(), s.hotspots(), s.clusters(), s.smart_context(source),
+        s.statistics(), s.list_entities("function"), s.entity_detail(detail), s.search("walker"), s.callers(hub), s.callees(source), s.list_edges(), s.blast_radius(hub), s.hotspots(), s.clusters(), s.smart_context(source),
         s.components(), s.debt(), s.kcore(), s.centrality(top=20), s.entropy(), s.coupling(), s.communities(), s.folder_coverage(), s.diagnostics(), s.folder_tree(),
     ]
     return spark.createDataFrame([(a.endpoint, a.tokens) for a in asked], "endpoint string, tokens long")
+
+
+SQL["endpoint_tokens"] = SQL["endpoint_tokens"].replace(_PRELUDE, _PRELUDE.rstrip() + _SCC + _LABELS + _CK + _WALK + _WORDS + _communities_sql() + _ENDPOINTS)
+
+
+@query("""select count(*) filter (entity_class = 'TEST') as test_entities_count, (select count(*) from cov) as total_files_with_coverage, round((select avg(raw_coverage_pct) from cov), 6) as avg_raw_coverage_pct,
+       round((select avg(effective_coverage_pct) from cov), 6) as avg_effective_coverage_pct, (select count(distinct file_path) from source_files where file_path not in (select file_path from el)) as ignored_files_count from n""")
+def diagnostics_summary(spark, d):
+    """The summary section of the diagnostics report."""
+    from edgewright.plans.endpoints import Service
+
+    s = Service(spark, table(spark, d, "entities"), table(spark, d, "edges"), table(spark, d, "source_files"))
+    return rounded(s.diagnostics("summary").data, "avg_raw_coverage_pct", "avg_effective_coverage_pct")
+
+
+SQL["diagnostics_summary"] = SQL["diagnostics_summary"].replace(_PRELUDE, _PRELUDE.rstrip() + _WALK + _WORDS)
