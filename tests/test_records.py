@@ -124,6 +124,19 @@ def test_state_versions(spark, seed):
     assert sorted(got, key=key) == sorted(brute_versions(rows), key=key)
 
 
+def test_state_versions_of_a_hot_key(spark):
+    """A key with most of the rows is split by day, beside keys that are not."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        at = T0 + timedelta(minutes=rng.randrange(90_000))
+        rows.append((i, "hot" if i % 5 else f"k{i % 7}", rng.random() < 0.6, True, None, None, at, at + timedelta(hours=rng.randrange(3))))
+    df = spark.createDataFrame(rows, STATES)
+    assert hot_buckets(df, "isgl1_key")
+    key = lambda r: (r[0], r[5])
+    assert sorted((tuple(r) for r in state_versions(df).collect()), key=key) == sorted(brute_versions(rows), key=key)
+
+
 def test_state_versions_small(spark):
     assert state_versions(spark.createDataFrame([], STATES)).count() == 0
     one = [(1, "a", True, True, None, None, T0, T0), (1, "a", True, True, None, None, T0, T0)]
