@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -211,41 +212,46 @@ def metric_status(value, fail: float | None, warn: float | None) -> Column:
     return F.when(_c(value) > fail, "FAIL").otherwise(out) if fail is not None else out
 
 
-def _rotl(x: int, b: int) -> int:
-    return ((x << b) | (x >> (64 - b))) & 0xFFFFFFFFFFFFFFFF
+def _rounds(v: list[np.ndarray], n: int) -> None:
+    turn = lambda x, b: (x << np.uint64(b)) | (x >> np.uint64(64 - b))
+    for _ in range(n):
+        v[0] = v[0] + v[1]
+        v[1] = turn(v[1], 13) ^ v[0]
+        v[0] = turn(v[0], 32)
+        v[2] = v[2] + v[3]
+        v[3] = turn(v[3], 16) ^ v[2]
+        v[0] = v[0] + v[3]
+        v[3] = turn(v[3], 21) ^ v[0]
+        v[2] = v[2] + v[1]
+        v[1] = turn(v[1], 17) ^ v[2]
+        v[2] = turn(v[2], 32)
+
+
+def siphash13_all(texts: list[bytes]) -> np.ndarray:
+    """SipHash with one compression and three finalisation rounds under the zero key (published algorithm), of texts of the
+    same length at a time."""
+    out = np.zeros(len(texts), dtype=np.uint64)
+    lengths = np.array([len(x) for x in texts])
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        words = n // 8 + 1
+        data = np.zeros((len(rows), words * 8), dtype=np.uint8)
+        data[:, :n] = np.frombuffer(b"".join(texts[i] for i in rows), dtype=np.uint8).reshape(len(rows), n)
+        data[:, -1] = n & 0xFF
+        blocks = data.view("<u8")
+        v = [np.full(len(rows), k, dtype=np.uint64) for k in (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)]
+        for k in range(words):
+            v[3] = v[3] ^ blocks[:, k]
+            _rounds(v, 1)
+            v[0] = v[0] ^ blocks[:, k]
+        v[2] = v[2] ^ np.uint64(0xFF)
+        _rounds(v, 3)
+        out[rows] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    return out
 
 
 def siphash13(data: bytes) -> int:
-    """SipHash with one compression and three finalisation rounds under the zero key (published algorithm)."""
-    mask = 0xFFFFFFFFFFFFFFFF
-    v = [0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573]
-
-    def rounds(n: int) -> None:
-        for _ in range(n):
-            v[0] = (v[0] + v[1]) & mask
-            v[1] = _rotl(v[1], 13) ^ v[0]
-            v[0] = _rotl(v[0], 32)
-            v[2] = (v[2] + v[3]) & mask
-            v[3] = _rotl(v[3], 16) ^ v[2]
-            v[0] = (v[0] + v[3]) & mask
-            v[3] = _rotl(v[3], 21) ^ v[0]
-            v[2] = (v[2] + v[1]) & mask
-            v[1] = _rotl(v[1], 17) ^ v[2]
-            v[2] = _rotl(v[2], 32)
-
-    whole = len(data) - len(data) % 8
-    for k in range(0, whole, 8):
-        m = int.from_bytes(data[k : k + 8], "little")
-        v[3] ^= m
-        rounds(1)
-        v[0] ^= m
-    m = ((len(data) & 0xFF) << 56) | int.from_bytes(data[whole:], "little")
-    v[3] ^= m
-    rounds(1)
-    v[0] ^= m
-    v[2] ^= 0xFF
-    rounds(3)
-    return v[0] ^ v[1] ^ v[2] ^ v[3]
+    return int(siphash13_all([data])[0])
 
 
 #: Start and length in seconds of the period of synthetic birth stamps (2020 and ten years).
@@ -257,6 +263,10 @@ def birth_timestamp(path, name) -> Column:
 
     @F.pandas_udf("long")
     def born(paths: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([BIRTH_FROM + siphash13(p.encode() + b"\xff" + n.encode() + b"\xff") % BIRTH_SPAN if p is not None and n is not None else None for p, n in zip(paths, names)], dtype="Int64")
+        known = (paths.notna() & names.notna()).to_numpy()
+        out = pd.Series(pd.NA, index=paths.index, dtype="Int64")
+        hashes = siphash13_all([p.encode() + b"\xff" + n.encode() + b"\xff" for p, n in zip(paths[known], names[known])])
+        out[known] = BIRTH_FROM + (hashes % np.uint64(BIRTH_SPAN)).astype("int64")
+        return out
 
     return born(_c(path), _c(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgewright.operators.skew import spread_join
+
 TOLERANCE = 10
 
 
@@ -69,6 +71,9 @@ def resolve_names(edges: DataFrame, entities: DataFrame) -> DataFrame:
     named = entities.filter("entity_type in ('function', 'method')").select(F.get(F.split("isgl1_key", ":"), F.lit(2)).alias("name"), "language", "isgl1_key")
     single = named.groupBy("language", "name").agg(F.count(F.lit(1)).alias("n"), F.min("isgl1_key").alias("target")).filter("n = 1").drop("n")
     p = F.split("to_key", ":")
-    open_ = F.get(p, F.lit(3)) == "unresolved-reference"
-    rows = edges.withColumns({"language": F.when(open_, F.get(p, F.lit(0))), "name": F.when(open_, F.get(p, F.lit(2)))})
-    return rows.join(single, ["language", "name"], "left").withColumn("to_key", F.coalesce("target", "to_key")).drop("language", "name", "target")
+    is_open = F.coalesce(F.get(p, F.lit(3)) == "unresolved-reference", F.lit(False))
+    rest, todo = edges.filter(~is_open), edges.filter(is_open).withColumns({"language": F.get(p, F.lit(0)), "name": F.get(p, F.lit(2))})
+    # names are few beside the edges that call them: they are spread by the hash of the caller
+    keyed = todo.withColumn("_name", F.concat_ws(":", "language", "name"))
+    found = spread_join(keyed, single.select(F.concat_ws(":", "language", "name").alias("_name"), "target"), "_name", "from_key", how="left")
+    return rest.unionByName(found.withColumn("to_key", F.coalesce("target", "to_key")).select(*edges.columns))

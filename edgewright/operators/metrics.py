@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import debt_severity, entropy_level, metric_status
 from edgewright.operators.graph import _ranked, neighbours, nodes_of
+from edgewright.operators.skew import spread_join
 from edgewright.schemas import EDGE_TYPES
 from edgewright.session import cut
 
@@ -35,7 +36,7 @@ def coupling(edges: DataFrame) -> DataFrame:
 def response(edges: DataFrame) -> DataFrame:
     """(key, rfc): distinct callees and callees of callees."""
     pairs = edges.select("from_key", "to_key").distinct()
-    two = pairs.join(pairs.select(F.col("from_key").alias("to_key"), F.col("to_key").alias("next")), "to_key").select("from_key", F.col("next").alias("to_key"))
+    two = spread_join(pairs, pairs.select(F.col("from_key").alias("to_key"), F.col("to_key").alias("next")), "to_key", "from_key").select("from_key", F.col("next").alias("to_key"))
     return pairs.unionByName(two).distinct().groupBy(F.col("from_key").alias("key")).agg(F.count(F.lit(1)).alias("rfc"))
 
 
@@ -51,7 +52,7 @@ def cohesion(edges: DataFrame) -> DataFrame:
     signature = sets.select(F.col("from_key").alias("to_key"), F.concat_ws("/", "a", "b", "n").alias("sig"))
     children = edges.groupBy("from_key", "to_key").agg(F.count(F.lit(1)).alias("w"))
     all_pairs = children.groupBy("from_key").agg(F.sum("w").alias("c"))
-    classes = children.join(signature, "to_key").groupBy("from_key", "sig").agg(F.sum("w").alias("w"))
+    classes = spread_join(children, signature, "to_key", "from_key").groupBy("from_key", "sig").agg(F.sum("w").alias("w"))
     same = classes.groupBy("from_key").agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("shared"))
     of_class = pairs.join(signature.select(F.col("to_key").alias("from_key"), "sig"), "from_key").select("sig", F.col("to_key").alias("target")).distinct()
     on = classes.join(of_class, "sig")

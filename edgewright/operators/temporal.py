@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewright.functions.scalars import effective_code, temporal_state_valid
@@ -59,10 +61,29 @@ def promote(entities: DataFrame) -> DataFrame:
     })
 
 
+#: Rules that a state must keep: name to condition. Callers may add their own.
+RULES: dict[str, Callable[[], Column]] = {"state": lambda: temporal_state_valid("current_ind", "future_ind", "future_action")}
+
+
+def broken_rules(rows: DataFrame, rules: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
+    """The rows once per rule they break, with its name in `rule`; a condition that is null is broken."""
+    checks = [F.when(~F.coalesce(rule(), F.lit(False)), name) for name, rule in (RULES if rules is None else rules).items()]
+    broken = F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array().cast("array<string>")
+    return rows.withColumn("rule", F.explode(broken))
+
+
 def invalid_states(rows: DataFrame) -> DataFrame:
     """Rows whose (current_ind, future_ind, future_action) break the rules."""
     return rows.filter(~temporal_state_valid("current_ind", "future_ind", "future_action"))
 
 
+def add_changes(pending: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes accepted, changes rejected): a key that is being changed already takes no second change; of several new
+    ones of a key the first by seq is taken."""
+    first = latest(new, ["isgl1_key"], F.asc("seq"))
+    ok = first.join(pending.select("isgl1_key"), "isgl1_key", "left_anti").select(*new.columns)
+    return ok, new.join(ok.select("isgl1_key", "seq"), ["isgl1_key", "seq"], "left_anti").select(*new.columns)
+
+
 def changed_entities(entities: DataFrame) -> DataFrame:
     return entities.filter("future_action is not null")

@@ -35,22 +35,41 @@ class Store:
 
     def list_relations(self) -> list[str]:
         fs, path = self._fs()
-        return sorted(s.getPath().getName().removesuffix(".parquet") for s in fs.listStatus(path) if s.getPath().getName().endswith(".parquet"))
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted({n.removesuffix(".current") for n in names if n.endswith(".current")} | {n.removesuffix(".parquet") for n in names if n.endswith(".parquet") and not n.startswith("_")})
 
     def create(self, name: str) -> None:
         """An empty relation of its fixed schema; an error if it exists."""
         self.spark.createDataFrame([], RELATIONS[name]).write.mode("error").parquet(f"{self.path}/{name}.parquet")
 
+    def _version(self, name: str) -> str | None:
+        """The folder that a relation's pointer names; None before its first replacement."""
+        fs, _ = self._fs()
+        pointer = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}.current")
+        if not fs.exists(pointer):
+            return None
+        return self.spark.read.text(pointer.toString()).first()[0]
+
     def read(self, name: str) -> DataFrame:
-        return table(self.spark, self.path, name)
+        return table(self.spark, self.path, self._version(name) or name)
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """Replace a relation. The rows may come from the relation itself: they are written beside it and then moved."""
-        fs, _ = self._fs()
+        """Replace a relation: a new version is written beside the old one, then the pointer, one small file, is switched.
+        The rows may come from the relation itself; a crash leaves one version or the other; the version before the last
+        is kept for those who still read it."""
+        import uuid
+
+        fs, base = self._fs()
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        rows.write.mode("overwrite").parquet(f"{self.path}/_next_{name}.parquet")
-        fs.delete(hadoop(f"{self.path}/{name}.parquet"), True)
-        fs.rename(hadoop(f"{self.path}/_next_{name}.parquet"), hadoop(f"{self.path}/{name}.parquet"))
+        old, new = self._version(name), f"_{name}.v-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{new}.parquet")
+        out = fs.create(hadoop(f"{self.path}/{name}.current"), True)
+        out.write(bytearray(new.encode()))
+        out.close()
+        for status in fs.listStatus(base):
+            stale = status.getPath().getName().removesuffix(".parquet")
+            if stale.startswith(f"_{name}.v-") and stale not in (old, new) or stale == name:
+                fs.delete(status.getPath(), True)
 
     def put(self, name: str, rows: DataFrame, seq: str | None = None) -> None:
         """Upsert by the relation's key; nothing to do for no rows."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -325,9 +325,10 @@ def _by_end(toks: list, words: dict, last: int) -> tuple[list, list]:
     return ents, calls
 
 
-def extracted(files: DataFrame) -> DataFrame:
+def extracted(files: DataFrame, parser: Callable[[str, str], tuple[list, list]] = extract) -> DataFrame:
     """(file_path, lang, kind, name, line_start, line_end, edge_type): entities (edge_type null) and targets of
-    dependencies (kind null) of each text; null texts and unknown extensions give none."""
+    dependencies (kind null) of each text; null texts and unknown extensions give none. parser: another
+    function of text and language that returns what `extract` does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file_path", "lang", "kind", "name", "line_start", "line_end", "edge_type"]
@@ -335,7 +336,7 @@ def extracted(files: DataFrame) -> DataFrame:
             out = []
             for path, ext, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 lang = EXTENSIONS[ext]
-                ents, deps = extract(text, lang)
+                ents, deps = parser(text, lang)
                 out += [(path, NAMES[lang], k, n, a, b, None) for k, n, a, b in ents]
                 out += [(path, NAMES[lang], None, n, a, a, e) for e, n, a in deps]
             cols = list(zip(*out)) if out else [()] * 7
@@ -383,8 +384,9 @@ def _token():
     return type_token("entity_type")
 
 
-def as_entities(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """Extracted entities in the columns of the relation, keys of the current format; tests by path and text."""
+def as_entities(files: DataFrame, rows: DataFrame | None = None, is_test: Callable = is_test_file) -> DataFrame:
+    """Extracted entities in the columns of the relation, keys of the current format; tests by path and text, or by another
+    detector, a function of the columns of path, text and language."""
     from edgewright.functions.scalars import birth_timestamp, code_lines, subfolder_l1, subfolder_l2
 
     ents = extracted_entities(files, rows)
@@ -394,7 +396,7 @@ def as_entities(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     signature = F.to_json(F.struct("entity_type", "name", F.lit("Public").alias("visibility"), "file_path", F.struct(F.col("line_start").alias("start"), F.col("line_end").alias("end")).alias("line_range")))
     return e.select(
         key_v2("language", "entity_type", "name", "file_path", "birth_timestamp").alias("isgl1_key"), code.alias("current_code"), signature.alias("interface_signature"), F.lit(True).alias("current_ind"), F.lit(True).alias("future_ind"),
-        "file_path", "language", "entity_type", F.when(is_test_file("file_path", "text", "language"), "TEST").otherwise("CODE").alias("entity_class"), "birth_timestamp", content_hash(code).alias("content_hash"),
+        "file_path", "language", "entity_type", F.when(is_test("file_path", "text", "language"), "TEST").otherwise("CODE").alias("entity_class"), "birth_timestamp", content_hash(code).alias("content_hash"),
         semantic_path("file_path").alias("semantic_path"), subfolder_l1("file_path").alias("root_subfolder_l1"), subfolder_l2("file_path").alias("root_subfolder_l2"), "name", "line_start", "line_end",
     )
 

@@ -1,13 +1,10 @@
-"""Lexers: source text to token classes, one character each, with brackets, line ends and blocks made explicit.
+"""Lexers: source text to tokens and their classes, one character each, for extraction and documentation.
 
 Classes (fixed values of this module): i name, w word that may be a name or a keyword, 0 number, s string or regular
 expression, brackets and , ; . : ? as they are, = assignment, b binary operator, o prefix or binary operator,
 * star, u prefix operator, p ++ or --, g angle bracket, a =>, t ->, d ::, e dots, @ annotation, # attribute mark,
-P directive line, K keyword that begins something, k keyword between things, c keyword before a parenthesis,
-N line end that ends a statement, T type mark in parameters, X what is no token, M merge marker, ^ and $ the file's ends.
-Only for some languages: F item keyword, V visibility, Q package, I import, C class-like keyword, m modifier;
-Python: H block keyword, B line end after a block's colon, > indent, < dedent, ! dedent to no open level,
-y dedent out of a try block, h except or finally, l else or elif, D decorator; Ruby: ( and ) also stand for blocks (see lex_ruby).
+P directive line, K keyword that begins something, k keyword between things, c keyword before a parenthesis, X what is no token, M merge marker. Only for some languages: F item keyword, V visibility, Q package, I import, C class-like
+keyword, m modifier; Python: H block keyword, h except or finally, l else or elif; Ruby: O and F open blocks, E ends them.
 """
 
 from __future__ import annotations
@@ -132,260 +129,3 @@ LEXERS |= {
     "swift": (_one(_MARK, _SLASH, r'"""(?s:.*?)"""', _STR, r"@[^\W\d]\w*", r"#[^\W\d]\w*", r"[^\W\d]\w*", _NUM, _OPS), Classes({}, {"C": "class struct enum protocol extension", "F": "func", "m": "public private internal static final override mutating open lazy weak", "K": _PLAIN + " let var guard if for while switch in"}, _COMMENT | {"@": "@", "#": "i"})),
 }
 LANGUAGE = {"rs": "rs", "py": "py", "js": "js", "jsx": "js", "ts": "ts", "tsx": "ts", "java": "java", "go": "go", "c": "c", "h": "c", "rb": "rb"}
-
-_MEMBER = re.compile(r"(?<=\.)[CFIKQVckmw]")
-_PROPERTY = re.compile(r"(?<=[{,])[kcK](?=:)")
-#: Where an element may begin; whether it does is decided on tokens. The tokens after which `<` opens no comparison.
-_MARKUP = re.compile(r"(?:\breturn|\bdefault|=>|[=(?:,&|{\[}])\s*<(?:[A-Za-z]|>)")
-_BEFORE_ELEMENT = frozenset("return default => = ( ? : , && || ?? [ {".split())
-_TAG = re.compile(r"\s*(?:[^\W\d][\w$]*(?:[-.:][\w$]+)*)?")
-_ATTRIBUTE = re.compile(r"\s*[^\W\d]?[\w$:-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'))?")
-_GAP = re.compile(r"(?:\s|/\*(?s:.*?)\*/|//[^\n]*)*")
-_CHILDREN = re.compile(r"[^<{]*")
-_JS_BREAK = re.compile(r"(?<=[iw0s)\]}pK])\n+(?=[iw0sKcu@{p*])")
-_GO_BREAK = re.compile(r"(?<=[iw0s)\]}p])\n+")
-_INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
-_EMPTY = re.compile(r"\(\)|\[\]|\{\}")
-_NOT_BRACKET = re.compile(r"[^()\[\]{}]+")
-
-
-def collapse(s: str) -> str:
-    """Every bracketed group as its brackets alone."""
-    for _ in range(60):
-        t = _INNER.sub(lambda m: "\x01\x02" if m[0][0] == "(" else "\x03\x04" if m[0][0] == "[" else "\x05\x06", s)
-        if t == s:
-            return s.translate({1: "(", 2: ")", 3: "[", 4: "]", 5: "{", 6: "}"})
-        s = t
-    # very deep nesting: one pass with a stack instead of one pass per level
-    out, stack = [], []
-    for c in s.translate({1: "(", 2: ")", 3: "[", 4: "]", 5: "{", 6: "}"}):
-        if c in "([{":
-            stack.append((c, len(out)))
-        out.append(c)
-        if c in ")]}" and stack and stack[-1][0] + c in ("()", "[]", "{}"):
-            _, at = stack.pop()
-            out[at + 1 :] = [c]
-    return "".join(out)
-
-
-def _element(text: str, at: int, pattern: re.Pattern, classes: Classes) -> tuple[int, list[str]] | None:
-    """(end, tokens) of the element that begins at `at`, as the call it stands for: its name, then in parentheses the code
-    between its braces. None if it has no end."""
-    out, open_tags, first = ["x", "("], [], True
-    while first or open_tags:
-        if not first:
-            at = _CHILDREN.match(text, at).end()
-            if text[at : at + 1] == "{":
-                inner = _braces(text, at, pattern, classes)
-                if inner is None:
-                    return None
-                at = inner[0]
-                out += [*inner[1], ","] if inner[1] else []
-                continue
-        first = False
-        if text[at : at + 1] != "<":
-            return None
-        if text[at + 1 : at + 2] == "/":
-            m = _TAG.match(text, at + 2)
-            end = _GAP.match(text, m.end()).end()
-            if text[end : end + 1] != ">" or not open_tags or open_tags.pop() != m[0].strip():
-                return None
-            at = end + 1
-            continue
-        m = _TAG.match(text, at + 1)
-        at = m.end()
-        while True:
-            at = _GAP.match(text, at).end()
-            if text[at : at + 1] == ">":
-                open_tags.append(m[0].strip())
-                at += 1
-                break
-            if text[at : at + 2] == "/>":
-                at += 2
-                break
-            if text[at : at + 1] == "{" or (text[at : at + 1] == "=" and text[at + 1 :].lstrip()[:1] == "{"):
-                inner = _braces(text, text.index("{", at), pattern, classes)
-                if inner is None:
-                    return None
-                at = inner[0]
-                out += [*inner[1], ","] if inner[1] else []
-                continue
-            a = _ATTRIBUTE.match(text, at)
-            if a.end() == at:
-                return None
-            at = a.end()
-    return at, [*(out[:-1] if out[-1] == "," else out), ")"]
-
-
-def _braces(text: str, at: int, pattern: re.Pattern, classes: Classes) -> tuple[int, list[str]] | None:
-    """(end, tokens within) of the brace group that begins at `at`."""
-    end, tokens = _tokens(text, at + 1, pattern, classes, True)
-    return None if end is None else (end, [t for t in tokens if classes[t] != " " and t != "\n"])
-
-
-def _tokens(text: str, at: int, pattern: re.Pattern, classes: Classes, inside: bool = False) -> tuple[int | None, list[str]]:
-    """(end, tokens) from `at` on, elements as calls; inside: up to the brace that closes what was open at `at`."""
-    out, prev, depth = [], "{" if inside else "", 0
-    while m := pattern.search(text, at):
-        t, at = m[0], m.end()
-        if t == "<" and prev in _BEFORE_ELEMENT and (found := _element(text, m.start(), pattern, classes)):
-            at, own = found
-            out += own
-            prev = ")"
-            continue
-        depth += (t == "{") - (t == "}")
-        if inside and depth < 0:
-            return at, out
-        out.append(t)
-        if t != "\n" and classes[t] != " ":
-            prev = t
-    return None if inside else at, out
-
-
-class _Stated(Classes):
-    """A comment over several lines counts as their end."""
-
-    def __missing__(self, t: str) -> str:
-        c = super().__missing__(t)
-        if c == " " and "\n" in t:
-            c = self[t] = "\n"
-        return c
-
-
-#: Word classes for statements: v const and var, Y try, Z catch and finally; the rest as in the lexer.
-def _stated(lang: str, words: dict[str, str], first: dict[str, str], exact: dict[str, str]) -> Classes:
-    own = {"v": "const var" if lang != "java" else "", "Y": "try", "Z": "catch finally"}
-    taken = {w for ws in own.values() for w in ws.split()}
-    return _Stated(exact, {c: " ".join(w for w in ws.split() if w not in taken) for c, ws in words.items()} | own, first)
-
-
-_JAVA = {c: " ".join(w for w, k in LEXERS["java"][1].words.items() if k == c) for c in set(LEXERS["java"][1].words.values())}
-STATED = {"js": _stated("js", _JS_WORDS, _JS_FIRST, {}), "ts": _stated("ts", _TS_WORDS, _JS_FIRST, {}), "java": _stated("java", _JAVA, LEXERS["java"][1].first, {"@interface": "C"})}
-_NAME = re.compile(r"(?<=\.)[vYZKc]|(?<=[{,\n])[vYZKck](?=:)")
-
-
-def lex(text: str, language: str, elements: bool = False) -> str:
-    """The token classes of a text, from ^ to $. elements: the language has elements (JSX), which become calls."""
-    return lex_both(text, language, elements)[0]
-
-
-def lex_both(text: str, language: str, elements: bool = False) -> tuple[str, str]:
-    """(token classes, the same with the classes of STATED, empty where the language has none; line ends are kept for js and ts)."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    pattern, classes = LEXERS[language]
-    if language == "py":
-        return lex_python(text, pattern, classes), ""
-    if language == "rb":
-        return lex_ruby(text, pattern, classes), ""
-    tokens = _tokens(text, 0, pattern, classes)[1] if elements and "<" in text and _MARKUP.search(text) else pattern.findall(text)
-    s = "".join(map(classes.__getitem__, tokens)).replace(" ", "")
-    stated = ""
-    if language in STATED:
-        stated = "".join(map(STATED[language].__getitem__, tokens)).replace(" ", "")
-        stated = f"^{_NAME.sub('i', stated if language != 'java' else stated.replace('\n', ''))}$"
-    if "." in s and language != "rs":
-        s = _MEMBER.sub("i", s)
-    if language in ("js", "ts"):
-        s = _JS_BREAK.sub("N", s).replace("\n", "")
-        s = _PROPERTY.sub("i", s)
-        if language == "js" and ":" in s:
-            s = re.sub(r"\([^()?{}]*\)", lambda m: m[0].replace(":", "T"), s)
-    elif language == "go":
-        s = _GO_BREAK.sub(";", s).replace("\n", "")
-    else:
-        s = s.replace("\n", "")
-    s = f"^{s}$"
-    return s, s if language == "go" else stated
-
-
-def lex_python(text: str, pattern: re.Pattern, classes: Classes) -> str:
-    """Line ends, indents and dedents as tokens: > after B opens a block; a dedent closes one level."""
-    out, line, depth, levels, pending = ["^"], [], 0, [(0, "")], 0
-    for t in pattern.findall("\n" + text + "\n"):
-        if t[0] == "\n":
-            if depth:
-                continue
-            if line:
-                if pending > levels[-1][0]:
-                    out.append(">")
-                    levels.append((pending, ""))
-                else:
-                    while pending < levels[-1][0]:
-                        levels.pop()
-                        out.append("y" if levels[-1][1] == "try" else "<")
-                    if pending != levels[-1][0]:
-                        out.append("!")
-                head = line[0]
-                if head == "match" or head == "case":
-                    shape = "H" + "".join(map(classes.__getitem__, line[1:])) if line[-1] == ":" else "".join(map(classes.__getitem__, line))
-                else:
-                    shape = "".join(map(classes.__getitem__, line))
-                    if head == "@":
-                        shape = "D" + shape[1:]
-                    elif head in ("except", "finally"):
-                        shape = "h" + shape[1:]
-                    elif head in ("else", "elif"):
-                        shape = "l" + shape[1:]
-                    elif head == "async" and len(line) > 1:
-                        shape = shape[1:]
-                    elif head == "from":
-                        shape = "f" + shape[1:]
-                    elif head == "import":
-                        shape = "K" + shape[1:]
-                levels[-1] = (levels[-1][0], head)
-                block = line[-1] == ":" and shape[0] in "Hhl"
-                out.append(shape[:-1] + "B" if block else shape + "N")
-                line = []
-            pending = sum(8 - k % 8 if c == "\t" else 1 for k, c in enumerate(t[1:].replace("\f", "")))
-        elif t[0] != "#" and t != "\\\n":
-            line.append(t)
-            if t in "([{":
-                depth += 1
-            elif t in ")]}":
-                depth = max(0, depth - 1)
-    if line:  # an open bracket: the rest of the file is one line
-        out.append("".join(map(classes.__getitem__, line)))
-    while len(levels) > 1:
-        levels.pop()
-        out.append("y" if levels[-1][1] == "try" else "<")
-    return "".join(out) + "$"
-
-
-def lex_ruby(text: str, pattern: re.Pattern, classes: Classes) -> str:
-    """A block keyword that opens is written O( and its end )E; a modifier k; a loop's own do is dropped."""
-    raw = "".join(classes[m.group()] for m in pattern.finditer(text))
-    out, loop, prev, head = ["^"], False, "N", -1  # head: brackets open in a def's own line, -1 outside
-    for c in raw:
-        if c == " ":
-            continue
-        if c == "\n":
-            if prev not in "N.,b=^({[":
-                out.append("N")
-            prev, loop, head = "N", False, -1
-            continue
-        if prev in ".d" and c in "OFcyKkE":
-            c = "i"
-        if c in "OF":
-            out.append("O(")
-            head = 0 if c == "F" else -1
-        elif c == "c":
-            if prev in "N=(;^k":
-                out.append("O(")
-                loop = True
-            else:
-                out.append("k")
-                c = "k"
-        elif c == "y":
-            out.append("N" if loop else "O(")
-            loop, c = False, "k"
-        elif c == "E":
-            out.append(")E")
-        elif c == "=" and head == 0 and prev in "i)w":
-            out.append(")E=")  # a method of one expression has no end
-            head = -1
-        else:
-            if head >= 0:
-                head += (c in "([{") - (c in ")]}")
-            out.append("N" if c == ";" else c)
-        prev = c
-    return "".join(out) + "$"

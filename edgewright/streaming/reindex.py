@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,7 +53,7 @@ def reindex(entities: DataFrame, edges: DataFrame, cache: DataFrame, changes: Da
     relation; cache: file_path, content_hash. Entities keep their key if content or position match, others of the file
     are removed with their edges out, new ones are put in; the hash is cached. An event without content (a parse or read
     failure) purges the file and is not cached; `Deleted` purges it and its cached hash. An unchanged hash is a no-op.
-    metrics: (file_path, entities_before, entities_after, entities_added, entities_removed, edges_added, edges_removed,
+    metrics: (file_path, n_events (those before the last were coalesced), entities_before, entities_after, entities_added, entities_removed, edges_added, edges_removed,
     hash_changed), with after = before - removed + added.
     """
     last = cut(debounced(changes))
@@ -74,7 +75,7 @@ def reindex(entities: DataFrame, edges: DataFrame, cache: DataFrame, changes: Da
     cache_out = cache.select("file_path", "content_hash").join(todo.select("file_path"), "file_path", "left_anti").unionByName(hashes)
     per = lambda df, path, name: df.groupBy(F.col(path).alias("file_path")).agg(F.count(F.lit(1)).alias(name))
     owner = gone.select(F.col("key").alias("from_key"), "file_path")
-    m = last.select("file_path")
+    m = last.select("file_path", "n_events")
     for part in (
         per(old, "file_path", "entities_before"), per(matched.filter("match = 'new'"), "file_path", "entities_added"), per(gone, "file_path", "entities_removed"),
         per(found.withColumn("file_path", F.regexp_replace("source_location", r":\d+$", "")), "file_path", "edges_added"), per(edges_gone.join(owner, "from_key"), "file_path", "edges_removed"),
@@ -82,12 +83,16 @@ def reindex(entities: DataFrame, edges: DataFrame, cache: DataFrame, changes: Da
         m = m.join(part, "file_path", "left")
     counts = ["entities_before", "entities_added", "entities_removed", "edges_added", "edges_removed"]
     m = m.na.fill(0, counts).join(same.withColumn("_same", F.lit(True)), "file_path", "left")
-    metrics = m.select("file_path", "entities_before", (F.col("entities_before") - F.col("entities_removed") + F.col("entities_added")).alias("entities_after"), *counts[1:], F.col("_same").isNull().alias("hash_changed"))
+    metrics = m.select("file_path", "n_events", "entities_before", (F.col("entities_before") - F.col("entities_removed") + F.col("entities_added")).alias("entities_after"), *counts[1:], F.col("_same").isNull().alias("hash_changed"))
     return Indexed(entities_out, edges_out, cache_out, metrics)
 
 
-def start(spark: SparkSession, folder: str, store: Store, checkpoint: str, once: bool = False):
-    """Run the stream against a store; returns the query, whose status, lastProgress and stop() serve the status report."""
+def start(spark: SparkSession, folder: str, store: Store, checkpoint: str, once: bool = False, watched: tuple[str, ...] = (), source: Callable[..., DataFrame] = file_changes):
+    """Run the stream against a store; returns the query, whose status, lastProgress and stop() serve the status report.
+
+    watched: extensions of the files to take, all if none are named; source: another provider of the change stream, a
+    function of session, folder and watched.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
@@ -98,20 +103,20 @@ def start(spark: SparkSession, folder: str, store: Store, checkpoint: str, once:
         for name, rows in done.items():
             store.write(name, rows)
 
-    writer = file_changes(spark, folder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+    writer = source(spark, folder, watched=watched).writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="100 milliseconds").start()
 
 
 class Watcher:
     """One running change stream: starting it twice is an error, stopping it is not."""
 
-    def __init__(self, spark: SparkSession, folder: str, store: Store, checkpoint: str):
-        self._args, self.query = (spark, folder, store, checkpoint), None
+    def __init__(self, spark: SparkSession, folder: str, store: Store, checkpoint: str, watched: tuple[str, ...] = ()):
+        self._args, self.query, self.watched = (spark, folder, store, checkpoint), None, watched
 
     def start(self, once: bool = False) -> None:
         if self.query is not None and self.query.isActive:
             raise RuntimeError("the watcher runs already")
-        self.query = start(*self._args, once=once)
+        self.query = start(*self._args, once=once, watched=self.watched)
 
     def stop(self) -> None:
         if self.query is not None:
@@ -122,6 +127,9 @@ class Watcher:
 
 
 def status(query) -> dict:
-    """Whether a stream runs, its message, events so far and the last batch's size."""
+    """Whether a stream runs, its message, batches so far, events of the batches that the stream still remembers and the last batch's size."""
     last = query.lastProgress
-    return {"running": query.isActive, "message": query.status["message"], "batches": len(query.recentProgress), "last_rows": last["numInputRows"] if last else 0}
+    return {
+        "running": query.isActive, "message": query.status["message"], "batches": last["batchId"] + 1 if last else 0, "last_rows": last["numInputRows"] if last else 0,
+        "recent_events": sum(p["numInputRows"] for p in query.recentProgress),
+    }

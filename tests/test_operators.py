@@ -222,6 +222,28 @@ def test_store_and_stream(spark, tmp_path):
     assert deliver(5, ("a.py", "Deleted", None, 6)) == {} and store.read("indexed_edges").count() == 0
 
 
+def test_added_changes_and_rules(spark):
+    """A key that is being changed takes no second change; rules can be added, and a null condition is broken."""
+    schema = "isgl1_key string, action string, future_code string, seq long"
+    pending = spark.createDataFrame([("a", "Edit", "x", 1)], schema)
+    new = spark.createDataFrame([("a", "Edit", "y", 2), ("b", "Create", "z", 3), ("b", "Edit", "w", 4), ("c", "Delete", None, 5)], schema)
+    ok, no = temporal.add_changes(pending, new)
+    assert sorted((r.isgl1_key, r.seq) for r in ok.collect()) == [("b", 3), ("c", 5)] and sorted(r.seq for r in no.collect()) == [2, 4]
+    assert temporal.add_changes(pending.limit(0), new.limit(0))[0].count() == 0
+    rows = spark.createDataFrame([("a", True, True, None, "x"), ("b", False, False, None, None)], "isgl1_key string, current_ind boolean, future_ind boolean, future_action string, code string")
+    got = {(r.isgl1_key, r.rule) for r in temporal.broken_rules(rows, temporal.RULES | {"has code": lambda: F.length("code") > 0}).collect()}
+    assert got == {("b", "state"), ("b", "has code")} and temporal.broken_rules(rows, {}).count() == 0
+
+
+def test_plug_ins(spark):
+    """Another parser and another detector of tests take the place of the built-in ones."""
+    df = spark.createDataFrame([("a.py", "x"), ("b.py", "y")], "file_path string, current_code string")
+    rows = extraction.extracted(df, lambda text, lang: ([("function", text, 1, 1)], []))
+    assert {(r.file_path, r.name) for r in rows.collect()} == {("a.py", "x"), ("b.py", "y")}
+    got = {r.file_path: r.entity_class for r in extraction.as_entities(df, rows, lambda path, text, language: F.col(path) == "b.py").collect()}
+    assert got == {"a.py": "CODE", "b.py": "TEST"}
+
+
 def test_ingest(spark, tmp_path):
     from edgewright.plans.endpoints import BadRequest, Service
     from edgewright.plans.ingest import ingest
