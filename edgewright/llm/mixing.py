@@ -28,7 +28,8 @@ def solve_tilts(sizes: DataFrame, goals: dict[str, tuple[float, int, float]], to
 
     sizes: (src, n_tokens, n), goals: src -> (goal in tokens, cap, mean size). The dual is convex and separable; each
     Newton iteration is one aggregation over all sizes, kept inside a bracket that shrinks. Only one row per source
-    comes to the driver; a goal of at least cap * tokens has no finite tilt and is left to the caller.
+    comes to the driver; a goal of at least cap * tokens has no finite tilt and is left to the caller. After `most` steps
+    every bracket has shrunk to a point; if one has not, that is an error.
     """
     low, high = {}, {}
     tilt = {s: 0.0 for s in goals}
@@ -55,7 +56,10 @@ def solve_tilts(sizes: DataFrame, goals: dict[str, tuple[float, int, float]], to
                 new = (a + b) / 2 if a is not None and b is not None else tilt[s] + (1.0 if miss < 0 else -1.0) * max(1.0, abs(tilt[s]))
             tilt[s] = new
         if worst <= tolerance:
-            break
+            return tilt
+    wide = [s for s in goals if s not in low or s not in high or high[s] - low[s] > 1e-9 * (1 + abs(high[s]))]
+    if wide:
+        raise RuntimeError(f"no tilt found for {wide}")
     return tilt
 
 
