@@ -426,7 +426,7 @@ whole = {'not' | '!'} value | lhs {',' lhs} [','] '=' rhs | 'alias' fname fname
 lhs = ['*'] place | p.lhslist ;
 lhslist = lhs {',' lhs} [','] ;
 place = ID | CONST | VAR | 'self' | primary {tail} (('.' | '&.' | '::') (ID | CONST) | s.args) ;
-fname = ID | CONST | SYM | VAR ;
+fname = ID | CONST | SYM | VAR | BIN | PM | '<<' | '<' | '*' | '**' | '|' | '&' | '!' | '~' | s.args ['='] ;
 rhs = value {',' ['*'] value} | '*' value {',' ['*'] value} ;
 value = place asgop rhs | cond | command ;
 asgop = '=' | ASG ;

@@ -50,6 +50,20 @@ VALID = {
     "rb": [
         "def f a, b\n  a\nend\n\ndef self.f(a) = a\n\nvalidates :x, if: -> { y }\n", "class A < B::C\n  attr_accessor :a, :b\n  include D\n  def initialize(a, b = 1, *c, d:, e: 2, **f, &g)\n    @a, @b = a, b\n    super()\n  end\n  def ==(o) = o.is_a?(A) && a == o.a\n  def []=(k, v)\n    @h[k] = v\n  end\n  class << self\n    def x; 1; end\n  end\n  private\n  def y?; end\nend\n", "x = if a then b else c end\ny = case z\n    when 1, 2 then :a\n    when String, /x/ then :b\n    else nil\n    end\nreturn unless x\nputs 'a' if b and not c\n", "foo.each_with_index do |x, i|\n  next if x.nil?\n  puts \"#{x[\"a\"]} #{i}\"\nend\nfoo.map { |x| x * 2 }.select(&:even?).reduce(0) { |a, (b, c)| a + b }\n", "begin\n  a\nrescue A, B => e\n  b\nrescue => e then c\nelse\n  d\nensure\n  f\nend\n", "h = { a: 1, 'b' => 2, \"c\": 3, **d, e: }\nfoo a: 1, b: 2 do |x|\n  y\nend\nfoo(:a, *b, **c, &d)\nbar x, y: z\n",
         "s = <<~EOS\n  text ( { [ #{x}\nEOS\nfoo(<<-A, 1)\n  body\n  A\n", "a = b ? c : d\na ||= {}\na&.b&.c = 1\nx, (y, *z) = w\n*a, b = c\ni += 1 while i < 10\nbegin; x; end until y\n", "module A\n  module B::C\n    X = %w[a b].freeze\n    Y = ->(x, y = 1) { x + y }\n    Z = lambda do |x|\n      x\n    end\n  end\nend\n", "loop do\n  break if a || b\nend\nwhile a do b end\nfor i in 1..10 do puts i end\nuntil a\n  b\nend\n", "case x\nin {a: Integer => n, b: [1, *]}\n  n\nin [A, B] | nil\n  y\nelse\n  z\nend\n", "puts [1, 2].sum\nputs -x\nfoo ? bar : baz\nraise ArgumentError, \"x\" unless a =~ /b/\nalias_method :a, :b\nalias c d\np(*a)\nyield x, y\nreturn a, b\n", "a = [\n  1,\n  2,\n]\nfoo(\n  a,\n  b: 1,\n)\nx = a +\n  b\ny = a\n  .b\n  .c { |d| e }\n", "def f(...)\n  g(...)\nend\n__END__\nwhatever ( here\n", "Foo::Bar.new(1)::BAZ\n$stdout.puts :a.to_proc\n@@x = @y[0..-1]\nnot a\n!b\ndefined?(c)\nobj.method :name\nfoo.bar baz, qux do\nend\n", "describe 'x' do\n  it { is_expected.to eq 1 }\n  let(:a) { { b: 1 } }\n  expect { foo }.to raise_error(Bar)\n  before(:each) do end\nend\n", "private def x\n  1\nend\n\ntask default: [:a, :b]\ntask :x => :y do |t|\nend\n",
+        'class User < ApplicationRecord\n  has_many :posts, dependent: :destroy\n  validates :email, presence: true, format: { with: /\\A[^@]+@\\w+\\z/ }\n  scope :active, -> { where(active: true) }\n  before_save :downcase_email, if: :email_changed?\n\n  def full_name\n    "#{first_name} #{last_name}".strip\n  end\n\n  def self.search(query)\n    return all if query.blank?\n    where(\'name LIKE ?\', "%#{query}%")\n  end\n\n  private\n\n  def downcase_email\n    self.email = email.downcase\n  end\nend\n',
+        "Rails.application.routes.draw do\n  resources :users, only: [:index, :show] do\n    member do\n      get :profile\n    end\n  end\n  root to: 'home#index'\n  get '/a', to: 'b#c', as: :d\nend\n",
+        "module Foo\n  class Error < StandardError; end\n  VERSION = '1.0'.freeze\n  DEFAULTS = {\n    host: 'x',\n    port: 80,\n  }.freeze\n\n  class << self\n    attr_writer :config\n    def config\n      @config ||= Config.new\n    end\n  end\n\n  def self.configure\n    yield(config) if block_given?\n  end\nend\n",
+        'require \'json\'\nrequire_relative \'../lib/a\'\n\ndata = JSON.parse(File.read(\'x.json\'), symbolize_names: true)\ndata.each_with_object({}) do |(key, value), memo|\n  memo[key] = value.map(&:to_s).sort_by { |x| -x.size }\nend\nputs data.fetch(:a) { |k| "no #{k}" }\nwarn \'x\' unless $PROGRAM_NAME == __FILE__\nexit 1\n',
+        'def process(items, limit: 10, &block)\n  items.first(limit).each_slice(2) do |a, b|\n    next unless a && b\n    result = begin\n      block.call(a, b)\n    rescue ArgumentError, TypeError => e\n      logger.error(e.message)\n      nil\n    end\n    puts result if result\n  end\nensure\n  cleanup!\nend\n',
+        "x = if a > 1\n  :big\nelsif a == 1\n  :one\nelse\n  :small\nend\n\ny = case\n    when a < 0 then -1\n    else 1\n    end\n\nz = a > 0 ? 'pos' : 'neg'\nw = [1, 2, 3]\n  .map { |i| i * 2 }\n  .reject(&:zero?)\n\nunless x.nil? || y.nil?\n  foo(x, y)\nend\n",
+        "describe Foo do\n  let(:foo) { described_class.new(a: 1) }\n  context 'when x' do\n    it 'does y' do\n      expect(foo.bar).to eq(2)\n      expect { foo.baz }.to change { foo.count }.by(1)\n      expect(foo).to have_received(:x).with(hash_including(a: 1))\n    end\n  end\n  subject(:s) { foo }\n  it { is_expected.to be_valid }\nend\n",
+        'def fib(n)\n  n < 2 ? n : fib(n - 1) + fib(n - 2)\nend\nputs fib(10)\nputs "%d %s" % [1, \'a\']\nprintf("%d\\n", 3)\n(1..10).step(2) { |i| print i, \' \' }\n1.upto(5) { puts _1 }\na, b = b, a\nh = Hash.new { |hash, k| hash[k] = [] }\nh[:x] << 1\nh.dig(:a, :b)&.c\n',
+        "loop do\n  line = gets or break\n  case line.chomp\n  when /^quit/i\n    break\n  when 'a'..'f', Integer\n    redo\n  end\nend\nwhile (x = queue.shift)\n  puts x\nend\nuntil done? do step end\nbegin\n  tries += 1\n  connect\nrescue Timeout::Error\n  retry if tries < 3\n  raise\nend while false\n",
+        'class Stack\n  include Enumerable\n  def initialize = @items = []\n  def push(item)\n    @items.push item\n    self\n  end\n  alias << push\n  def each(&)\n    @items.each(&)\n  end\n  def [](i) = @items[i]\n  def to_s = "Stack(#{@items.join(\', \')})"\n  def <=>(other)\n    size <=> other.size\n  end\n  def -@\n    self.class.new\n  end\n  def method_missing(name, *args, **opts, &blk)\n    super\n  end\n  def respond_to_missing?(name, include_private = false) = true\nend\n',
+        'task :build, [:target] => [:clean] do |t, args|\n  sh "make #{args[:target] || \'all\'}"\nend\nGem::Specification.new do |s|\n  s.name = \'x\'\n  s.files = Dir[\'lib/**/*.rb\'] + %w[README.md LICENSE]\n  s.add_dependency \'y\', \'~> 1.0\', \'>= 1.0.2\'\nend\n',
+        'text = <<~HTML\n  <a href="#{x}">\n    it\'s (fine\n  </a>\nHTML\nputs text.gsub(/\\s+/, \' \')\nsql = <<-SQL.strip\n  select * from t where a = \'b\'\n  SQL\nfoo(<<~A, <<~B)\n  one\nA\n  two\nB\nvalue = obj.try(:name) || default\nraise NotImplementedError, "#{self.class} must implement"\nthrow :done, 1\ncatch(:done) { 2 }\n',
+        'Point = Struct.new(:x, :y) do\n  def dist = Math.sqrt(x**2 + y**2)\nend\np Point.new(1, 2).dist\nputs [*1..3, *[4]].inspect\nadd = proc { |a, b = 2| a + b }\nadd.(1)\nadd[1]\nm = 5.method(:+)\nputs (1 + 2) * 3\nputs(-1.abs)\nprint "a" "b"\ni = 0x1f + 0b11 + 1_000 + 1e3\n',
+        'if x then y end\nfoo if a and not b or c\nreturn if x\nreturn x, y if z\nyield\nyield a, b\nsuper\nsuper(a)\nsuper a, b: 1\nself.a ||= 1\nself[:x] = 1\na.b.c += 1\nA::B.c\n::D\ndefined?(@x) && @x\n!a.b?\nnot(a)\nalias_method :a, :b\nundef_method :c\n',
     ],
 }
 
