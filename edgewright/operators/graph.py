@@ -220,6 +220,19 @@ def _cycle_kernel(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _inner_cycle_kernel(rows: pd.DataFrame) -> pd.DataFrame:
+    # what begins or ends nowhere lies on no cycle: such edges go first, round by round
+    keys, src, dst = _csr(rows)
+    live = np.arange(len(rows))
+    while len(live):
+        starts, ends = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+        starts[src[live]] = ends[dst[live]] = True
+        left = live[ends[src[live]] & starts[dst[live]]]
+        if len(left) == len(live):
+            break
+        live = left
+    rows = rows.iloc[live]
+    if not len(rows):
+        return _cycle_kernel(rows)
     part = _scc_kernel(rows).set_index("key")["component"]
     return _cycle_kernel(rows[part.loc[rows["from_key"]].to_numpy() == part.loc[rows["to_key"]].to_numpy()])
 

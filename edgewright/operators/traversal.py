@@ -16,6 +16,8 @@ from edgewright.session import cut
 
 #: A frontier of at most so many keys is broadcast (some tens of megabytes).
 BROADCAST_KEYS = 200_000
+#: What was found is written together after so many steps; until then each step's part stays as it was written.
+MOST_PARTS = 8
 
 
 def forward_keys(edges: DataFrame, key: str) -> DataFrame:
@@ -81,7 +83,7 @@ def impact_backward(edges: DataFrame, key: str, hops: int = 3) -> DataFrame:
         if not n:
             break
         out = out.unionByName(new.select(F.lit(hop).alias("hop"), F.col("key").alias("from_key")))
-        seen = cut(seen.unionByName(new)) if hop > 1 else seen.unionByName(new)
+        seen = seen.unionByName(new) if hop % MOST_PARTS else cut(seen.unionByName(new))
     return out
 
 
@@ -96,7 +98,7 @@ def impact_forward(edges: DataFrame, key: str, hops: int) -> DataFrame:
         frontier, n = _sized(new.select(F.col("node").alias("from_key")))
         if not n:
             break
-        seen = cut(seen.unionByName(new)) if hop > 1 else new
+        seen = seen.unionByName(new) if hop % MOST_PARTS else cut(seen.unionByName(new))
     return seen
 
 
