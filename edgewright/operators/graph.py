@@ -403,11 +403,12 @@ def _betweenness_kernels(edges: DataFrame) -> DataFrame:
     return nodes.join(place, "id").join(sums, "pos", "left").select("key", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _betweenness_joins(edges: DataFrame, batch: int) -> DataFrame:
-    """Brandes by joins, for `batch` sources at a time."""
-    nodes, e = coded(edges)
+def _betweenness_joins(edges: DataFrame, batch: int, given: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Brandes by joins, for `batch` sources at a time. given: nodes, coded edges and the sources to start from, if known."""
+    nodes, e = given[:2] if given else coded(edges)
     e = cut(e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
-    sources = cut(_ranked(e.select(F.col("src").alias("s")).distinct(), "nr", [F.asc("s")], 0))
+    starts = given[2] if given else e.select(F.col("src").alias("s")).distinct()
+    sources = cut(_ranked(starts, "nr", [F.asc("s")], 0))
     total = None
     for b in range(-(-sources.count() // batch)):
         level = cut(sources.filter(f"nr div {batch} = {b}").select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))
@@ -444,6 +445,23 @@ def betweenness(edges: DataFrame, kernel: bool | None = None, batch: int = 1000)
     return _betweenness_kernels(e) if kernel else _betweenness_joins(e, batch)
 
 
+def betweenness_estimate(edges: DataFrame, pivots: int, confidence: float = 0.95, batch: int = 1000) -> DataFrame:
+    """(key, score, error): betweenness from `pivots` sources alone, for graphs too large for all of them; a sampling operator.
+
+    The sources are those whose hash comes first, a sample without bias; each stands for n / pivots of them. With the given
+    probability no score is further off than `error`, by Hoeffding's bound over n nodes (a dependency is at most n - 2).
+    As many pivots as there are sources give the exact scores, with error 0.
+    """
+    e = cut(edges.select("from_key", "to_key"))
+    nodes, coded_edges = coded(e)
+    n, m = nodes.count(), coded_edges.select("src").distinct().count()
+    k = min(pivots, m)
+    chosen = coded_edges.select(F.col("src").alias("s")).distinct().join(nodes.select(F.col("id").alias("s"), "key"), "s").orderBy(F.xxhash64("key"), "key").limit(k).select("s")
+    scores = _betweenness_joins(e, batch, (nodes, coded_edges, cut(chosen)))
+    error = 0.0 if k == m else m * max(n - 2, 0) * (np.log(2 * max(n, 1) / (1 - confidence)) / (2 * max(k, 1))) ** 0.5
+    return scores.select("key", (F.col("score") * F.lit(m / max(k, 1))).alias("score"), F.lit(float(error)).alias("error"))
+
+
 def ranked_scores(scores: DataFrame, top: int | None = None) -> DataFrame:
     """(rank, key, score) by descending score, then key; all or the first `top`."""
     if top is not None:

@@ -798,7 +798,18 @@ def call_chain(spark, d):
 @query()
 def reindexed_files(spark, d):
     """The whole source tree indexed as a first batch, then every file delivered again, every other one without its last line."""
-    from edgewright.session import cut
+    return _reindexed(spark, d)
+
+
+@query(r"""select file_path, 1::bigint as n_events, not coalesce(current_code is not null and (file_id % 2 = 1 or regexp_replace(current_code, '\n[^\n]*\n?$', '') = current_code), false) as hash_changed, true as adds_up
+       from (select * from source_files qualify row_number() over (partition by file_path order by loaded_at desc, file_id desc) = 1)""")
+def reindexed_hashes(spark, d):
+    """Which of the files delivered again had changed, and whether the counts of their entities add up."""
+    m = _reindexed(spark, d)
+    return m.select("file_path", "n_events", "hash_changed", (F.col("entities_after") == F.col("entities_before") - F.col("entities_removed") + F.col("entities_added")).alias("adds_up"))
+
+
+def _reindexed(spark, d):
     from edgewright.streaming.reindex import reindex
 
     files = R.latest(table(spark, d, "source_files"), ["file_path"], F.desc("loaded_at"), F.desc("file_id")).select("file_path", F.lit("Modified").alias("change_type"), F.col("current_code").alias("content"), F.col("loaded_at").alias("changed_at"), "file_id")

@@ -384,19 +384,30 @@ def _token():
     return type_token("entity_type")
 
 
+#: A test mark stands at most so many lines before its function: other attributes and blank lines may lie between.
+MARK_LINES = 20
+
+
 def as_entities(files: DataFrame, rows: DataFrame | None = None, is_test: Callable = is_test_file) -> DataFrame:
     """Extracted entities in the columns of the relation, keys of the current format; tests by path and text, or by another
     detector, a function of the columns of path, text and language."""
     from edgewright.functions.scalars import birth_timestamp, code_lines, subfolder_l1, subfolder_l2
+    from edgewright.operators.matching import next_function
 
     ents = extracted_entities(files, rows)
     texts = files.filter("current_code is not null").select("file_path", F.col("current_code").alias("text")).dropDuplicates(["file_path"])
     e = ents.join(texts, "file_path").withColumn("birth_timestamp", birth_timestamp("file_path", "name"))
+    # a function behind a test mark is a test, whatever its file
+    marked = next_function(texts.filter(F.col("file_path").endswith(".rs")).select(F.col("file_path").alias("file_id"), F.col("text").alias("current_code")))
+    marked = marked.select(F.col("file_id").alias("file_path"), "name", F.col("line").alias("_mark")).distinct()
+    near = F.col("line_start") - F.col("_mark")
+    hit = e.select("file_path", "name", "line_start").join(marked, ["file_path", "name"]).filter(near.between(1, MARK_LINES)).select("file_path", "name", "line_start").distinct().withColumn("_marked", F.lit(True))
+    e = e.join(hit, ["file_path", "name", "line_start"], "left")
     code = code_lines("text", F.col("line_start"), F.col("line_end"))
     signature = F.to_json(F.struct("entity_type", "name", F.lit("Public").alias("visibility"), "file_path", F.struct(F.col("line_start").alias("start"), F.col("line_end").alias("end")).alias("line_range")))
     return e.select(
         key_v2("language", "entity_type", "name", "file_path", "birth_timestamp").alias("isgl1_key"), code.alias("current_code"), signature.alias("interface_signature"), F.lit(True).alias("current_ind"), F.lit(True).alias("future_ind"),
-        "file_path", "language", "entity_type", F.when(is_test("file_path", "text", "language"), "TEST").otherwise("CODE").alias("entity_class"), "birth_timestamp", content_hash(code).alias("content_hash"),
+        "file_path", "language", "entity_type", F.when(F.coalesce("_marked", F.lit(False)) | is_test("file_path", "text", "language"), "TEST").otherwise("CODE").alias("entity_class"), "birth_timestamp", content_hash(code).alias("content_hash"),
         semantic_path("file_path").alias("semantic_path"), subfolder_l1("file_path").alias("root_subfolder_l1"), subfolder_l2("file_path").alias("root_subfolder_l2"), "name", "line_start", "line_end",
     )
 

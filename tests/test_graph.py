@@ -186,6 +186,15 @@ def test_communities_at_every_size(edges_of):
     assert as_dict(C.communities(e, kernel=True), "community") == as_dict(C.communities(e, kernel=False), "community")
 
 
+def test_betweenness_estimate(edges_of):
+    """All sources as pivots give the exact scores; fewer stay within the error they state."""
+    e = edges_of("A>B A>C B>D C>D D>E E>F F>D G>H H>G")
+    exact = as_dict(graph.betweenness(e), "score")
+    assert as_dict(graph.betweenness_estimate(e, 100), "score") == exact and {r.error for r in graph.betweenness_estimate(e, 100).collect()} == {0.0}
+    rows = graph.betweenness_estimate(e, 3).collect()
+    assert len(rows) == 8 and all(abs(r.score - exact[r.key]) <= r.error for r in rows)
+
+
 def test_label_clusters(edges_of):
     got = as_dict(C.label_clusters(edges_of("A>B B>C C>A X>Y Y>Z Z>X")), "label")
     text = "A>B B>C C>A A>D D>E E>F F>D G>G H>G"

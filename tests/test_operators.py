@@ -235,6 +235,13 @@ def test_added_changes_and_rules(spark):
     assert got == {("b", "state"), ("b", "has code")} and temporal.broken_rules(rows, {}).count() == 0
 
 
+def test_marked_functions_are_tests(spark):
+    text = "fn a() {}\n\n#[test]\n#[ignore]\n\nfn b() {\n    a();\n}\n\nfn c() {}\n"
+    df = spark.createDataFrame([("src/x.rs", text)], "file_path string, current_code string")
+    detect = lambda path, text, language: F.lit(False)
+    assert {r.name: r.entity_class for r in extraction.as_entities(df, None, detect).collect()} == {"a": "CODE", "b": "TEST", "c": "CODE"}
+
+
 def test_plug_ins(spark):
     """Another parser and another detector of tests take the place of the built-in ones."""
     df = spark.createDataFrame([("a.py", "x"), ("b.py", "y")], "file_path string, current_code string")
