@@ -358,7 +358,7 @@ suite = ':' (NL i.block | simple {';' simple} [';'] NL) ;
 compound = 'if' named suite {'elif' named suite} ['else' suite] | 'while' named suite ['else' suite] | ['async'] 'for' targets 'in' stars suite ['else' suite]
   | 'try' suite (handler {handler} ['else' suite] ['finally' suite] | 'finally' suite) | ['async'] 'with' (withitem {',' withitem} | p.withitems) suite
   | {'@' named NL} (['async'] 'def' name [s.tparams] p.params ['->' expr] suite | 'class' name [s.tparams] [p.args] suite) | 'match' stars ':' NL i.cases ;
-handler = 'except' ['*'] [expr {',' expr} ['as' name]] suite ;
+handler = 'except' ['*'] [expr ['as' name]] suite ;
 withitem = expr ['as' target] ;
 withitems = withitem {',' withitem} [','] ;
 cases = case {case} ;

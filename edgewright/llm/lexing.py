@@ -44,9 +44,9 @@ _PATTERNS = {
     "c": re.compile("|".join((r"^[ \t]*#(?:[^\n\\]|\\(?s:.))*", r"[ \t]+", _MARK, _SLASH, r"(?:L|u8?|U)?" + _STR, r"(?:L|u8?|U)?" + _CHR, _NAME, r"\.?\d(?:[\w']|\.|(?<=[eEpP])[+-])*", r"\.\.\.|->|<<=|>>=|\+\+|--|&&|\|\||==|!=|<=|>=|[-+*/%&|^]=|<<|>>|\n|\S")), re.M),
     "js": _one(r"[^\W\d$][\w$]*", _MARK, _SLASH, r"\A#![^\n]*", _STR, _CHR, r"`(?:[^`\\$]|\\(?s:.)|\$(?!\{))*`?", r"@[^\W\d][\w$]*(?:\.[\w$]+)*", r"#[^\W\d$][\w$]*|#\$[\w$]*", r"\$[\w$]*", _NUM, _OPS),
     "py": _one(
-        _MARK, r"#[^\n]*", r"\\\n", r"(?i:[rbuft]{0,2})(?:\"\"\"(?:[^\\]|\\(?s:.))*?\"\"\"|'''(?:[^\\]|\\(?s:.))*?''')", r"\"\"\"|'''",
+        _MARK, r"#[^\n]*", r"\\\n", r"(?i:br?|rb?|u|fr?|rf?|tr?|rt?)?(?:\"\"\"(?:[^\\]|\\(?s:.))*?\"\"\"|'''(?:[^\\]|\\(?s:.))*?''')", r"\"\"\"|'''",
         r'(?i:f|fr|rf|t)"(?:[^"\\\n{]|\\.|\{\{|\{(?:[^{}"\n]|"[^"\n]*"|\{[^{}\n]*\})*\})*"', r"(?i:f|fr|rf|t)'(?:[^'\\\n{]|\\.|\{\{|\{(?:[^{}'\n]|'[^'\n]*'|\{[^{}\n]*\})*\})*'",
-        r"(?i:[rbuft]{0,2})(?:" + _STR + "|" + _CHR + ")", r"\n[ \t\f]*", _NAME, r"0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?", r"\*\*=|//=|>>=|<<=|\.\.\.|!=|==|<=|>=|->|:=|[-+*/%&|^@]=|\*\*|//|<<|>>|\S",
+        r"(?i:br?|rb?|u|fr?|rf?|tr?|rt?)?(?:" + _STR + "|" + _CHR + ")", r"\n[ \t\f]*", r"[^\W\d][\w\u0300-\u036f\u0900-\u0dff\u0e31-\u0fff]*", r"0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?", r"\*\*=|//=|>>=|<<=|\.\.\.|!=|==|<=|>=|->|:=|[-+*/%&|^@]=|\*\*|//|<<|>>|\S",
     ),
     "rb": _one(
         _MARK, r"^=begin\b(?s:.*?)^=end\b[^\n]*", r"#[^\n]*", r"^__END__\n(?s:.*)", r"\\\n", r"%[wWiIqQrx]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^>]*>|\|[^|]*\||![^!]*!)[a-z]*",
@@ -99,6 +99,8 @@ class Codes(dict):
                 return NONE
             return g("TPL") if h == "`" and lang in ("js", "ts") else g("STR")
         if h.isdigit() or (h == "." and len(t) > 1 and t[1].isdigit()):
+            if lang == "py" and h == "0" and t.replace("_", "").isdigit() and t.strip("0_"):
+                return NONE  # octal digits without a prefix
             return g("NUM")
         if lang == "rs" and t[-1] == "!" and len(t) > 1:
             return g("MACRO")
