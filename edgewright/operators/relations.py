@@ -38,7 +38,7 @@ def edge_rows(edges: DataFrame) -> DataFrame:
 
 def edge_pairs(edges: DataFrame) -> DataFrame:
     """(from_key, to_key): the simple graph, parallel edges of different types collapsed."""
-    return edge_types(edges).select("from_key", "to_key").distinct()
+    return edge_rows(edges).distinct()
 
 
 def entity_relation(entities: DataFrame, *columns: str) -> DataFrame:

@@ -34,9 +34,10 @@ def entities(spark, d, *columns):
 
 def busiest(spark, d, side: str) -> str:
     """The key with the most distinct neighbours on a side (`in`, `out`, or `both`: the greatest product), the least key among equals."""
-    deg = metrics.degrees(pairs(spark, d))
-    order = {"in": F.desc("n_in"), "out": F.desc("n_out"), "both": F.desc(F.col("n_in") * F.col("n_out"))}[side]
-    row = deg.orderBy(order, "key").first()
+    if side == "both":
+        row = metrics.degrees(pairs(spark, d)).orderBy(F.desc(F.col("n_in") * F.col("n_out")), "key").first()
+    else:
+        row = pairs(spark, d).groupBy(F.col("to_key" if side == "in" else "from_key").alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").first()
     return row[0] if row else ""
 
 
