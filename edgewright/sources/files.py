@@ -17,14 +17,15 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def nested_repositories(spark: SparkSession, root: str, depth: int = 8) -> list[str]:
-    """Folders below root, down to a depth, that have a .git of their own; the file source leaves such names out."""
+def nested_repositories(spark: SparkSession, root: str) -> list[str]:
+    """Folders below root, at any depth, that have a .git of their own; the file source leaves such names out."""
+    glob = lambda *parts: fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "/".join(parts))) or []
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = []
-    for d in range(1, depth + 1):
-        hits = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "/".join(["*"] * d + [".git"])))
-        out += [h.getPath().getParent().toString() for h in hits or []]
+    out, level = [], ["*"]
+    while any(h.isDirectory() for h in glob(*level)):
+        out += [h.getPath().getParent().toString() for h in glob(*level, ".git")]
+        level.append("*")
     return out
 
 

@@ -165,14 +165,14 @@ def test_extracted_edges(spark):
 
 
 def test_source_tree(spark, tmp_path):
-    for p, t in {"src/a.rs": "fn a() {}", "src/b.txt": "x", "sub/.git/HEAD": "ref", "sub/c.rs": "fn c() {}", "big.py": "x" * 50, "bad.py": b"\xff\xfe\xff"}.items():
+    for p, t in {"src/a.rs": "fn a() {}", "src/b.txt": "x", "sub/.git/HEAD": "ref", "sub/c.rs": "fn c() {}", "/".join("d" * 12) + "/.git/HEAD": "ref", "/".join("d" * 12) + "/e.rs": "fn e() {}", "big.py": "x" * 50, "bad.py": b"\xff\xfe\xff"}.items():
         f = tmp_path / p
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_bytes(t if isinstance(t, bytes) else t.encode())
     tree = files.walk(spark, str(tmp_path))
     names = lambda df, c="path": {os.path.basename(r[c]) for r in df.collect()}
     nested = files.nested_repositories(spark, str(tmp_path))
-    assert names(files.eligible(tree, ["*.rs"], None, nested)) == {"a.rs"} and names(files.eligible(tree, ["*.rs"])) == {"a.rs", "c.rs"} and "a.rs" not in names(files.eligible(tree, None, ["src/"]))
+    assert names(files.eligible(tree, ["*.rs"], None, nested)) == {"a.rs"} and names(files.eligible(tree, ["*.rs"])) == {"a.rs", "c.rs", "e.rs"} and "a.rs" not in names(files.eligible(tree, None, ["src/"]))
     texts, errors = files.read_texts(spark, str(tmp_path), 20)
     assert {(r.tag) for r in errors.collect()} == {"TOO_LARGE", "READ_ERROR"} and "a.rs" in names(texts, "file_path")
 
