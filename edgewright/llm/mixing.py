@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import log
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,33 +23,6 @@ def clean_source(col="source") -> F.Column:
     return F.regexp_replace(F.lower(F.trim(F.col(col))), r"[\s_-]+", "_")
 
 
-#: Tilts at which all sources are measured by one aggregation before the first Newton step.
-GRID = tuple(x / 2 for x in range(-24, 25))
-
-
-def _bracketed(sizes: DataFrame, goals: dict[str, tuple[float, int, float]], low: dict[str, float], high: dict[str, float]) -> dict[str, float]:
-    """Tilts to start from, between the neighbouring points of the grid whose sums enclose each goal, which go into low and high."""
-    par = F.map_from_entries(F.array(*[F.struct(F.lit(s), F.struct(F.lit(float(c)), F.lit(float(m)))) for s, (_, c, m) in goals.items()]))
-    p = F.element_at(par, F.col("src"))
-    rows = sizes.filter(F.col("src").isin(list(goals))).select("src", "n_tokens", (F.col("n") * F.col("n_tokens")).alias("w"), F.log(p.getField("col1")).alias("top"), (F.col("n_tokens") / p.getField("col2")).alias("x"))
-    sums = rows.groupBy("src").agg(*[F.sum(F.exp(F.least(F.lit(t) * F.col("x"), F.col("top"))) * F.col("w")).alias(f"g{i}") for i, t in enumerate(GRID)]).collect()
-    tilt = dict.fromkeys(goals, 0.0)
-    for row in sums:
-        s, goal = row[0], goals[row[0]][0]
-        under = [i for i in range(len(GRID)) if row[i + 1] <= goal]
-        over = [i for i in range(len(GRID)) if row[i + 1] > goal]
-        if under:
-            low[s] = GRID[max(under)]
-        if over:
-            high[s] = GRID[min(over)]
-        if under and over:  # the sums grow about exponentially between two points
-            a, b = row[max(under) + 1], row[min(over) + 1]
-            tilt[s] = low[s] + (high[s] - low[s]) * (log(goal / a) / log(b / a) if a > 0 and goal > a and b > a else 0.5)
-        else:
-            tilt[s] = low[s] if under else high[s]
-    return tilt
-
-
 def solve_tilts(sizes: DataFrame, goals: dict[str, tuple[float, int, float]], tolerance: float = 1e-7, most: int = 80) -> dict[str, float]:
     """The dual variable of each source: sum over its texts of n * min(cap, exp(tilt * n / mean)) = goal.
 
@@ -60,10 +32,10 @@ def solve_tilts(sizes: DataFrame, goals: dict[str, tuple[float, int, float]], to
     every bracket has shrunk to a point; if one has not, that is an error.
     """
     low, high = {}, {}
-    if not goals:
-        return {}
-    tilt = _bracketed(sizes, goals, low, high)
+    tilt = {s: 0.0 for s in goals}
     for _ in range(most):
+        if not goals:
+            break
         rows = [F.struct(F.lit(s), F.lit(float(tilt[s])), F.lit(float(c)), F.lit(float(m))) for s, (_, c, m) in goals.items()]
         par = F.map_from_entries(F.array(*[F.struct(r.getField("col1"), r) for r in rows]))
         p = F.element_at(par, F.col("src"))
