@@ -262,3 +262,41 @@ def test_hub(edges_of):
     e = edges_of(text)
     assert graph.components(e).count() == 1001 and graph.coreness(e).count() == 1001
     assert metrics.ck_metrics(e).filter("key = 'hub'").first().cbo == 501
+
+
+def tangle(rng, n, m):
+    return sorted({(f"k{rng.randrange(n):03}", f"k{rng.randrange(n):03}") for _ in range(m)})
+
+
+def no_joins(monkeypatch, *names):
+    """Graphs of more than a few edges, which are not to go through the joins named."""
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 5)
+    for module, name in names:
+        monkeypatch.setattr(module, name, lambda *a, **k: pytest.fail(f"{name} was called"))
+
+
+def test_cycles_of_larger_graphs(edges_of, monkeypatch):
+    """Beyond the kernels with keys the components come from one task too, and the cycles are those of the search in key order."""
+    e = edges_of(" ".join(f"{a}>{b}" for a, b in tangle(random.Random(9), 60, 150)))
+    want = sorted((r.length, r.path) for r in graph.cycles(e, kernel=True).collect())
+    parts = as_dict(graph.components(e, True), "component")
+    no_joins(monkeypatch, (graph, "_scc_joins"))
+    monkeypatch.setattr(graph, "KEYS_PER_TASK", 40)
+    assert len(want) > 20 and sorted((r.length, r.path) for r in graph.cycles(e, 500_000).collect()) == want
+    assert as_dict(graph.components(e), "component") == parts
+
+
+def test_tasks_share_the_cycles_of_a_component(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    rows = pd.DataFrame(tangle(random.Random(4), 40, 120), columns=["from_key", "to_key"])
+    one = graph._packed(rows).iloc[0]
+    args = pa.array(one["names"]), np.frombuffer(one["start"], np.int32), np.frombuffer(one["to"], np.int32)
+    monkeypatch.setattr(graph, "KEYS_PER_BATCH", 25)
+    found = lambda part, parts: [p for b in graph._cycle_batches(*args, part, parts) for p in b.column("path").to_pylist()]
+    whole = found(0, 1)
+    shares = [found(i, 3) for i in range(3)]
+    assert all(shares) and sorted(p for s in shares for p in s) == sorted(whole)
+    assert sum(map(len, whole)) == one["n"]
