@@ -300,3 +300,29 @@ def test_tasks_share_the_cycles_of_a_component(monkeypatch):
     shares = [found(i, 3) for i in range(3)]
     assert all(shares) and sorted(p for s in shares for p in s) == sorted(whole)
     assert sum(map(len, whole)) == one["n"]
+
+
+def test_cycle_inspection():
+    """In one pass: each step once, the first keys, and what is no simple closed path."""
+    import pyarrow as pa
+
+    rows = [(2, ["a", "b", "a"]), (3, ["a", "b", "c", "a"]), (1, ["x", "x"]), (3, ["p", "q", "p", "p"]), (1, ["u", "w"]), (5, ["h", "i", "h"])]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int32()), pa.array([p for _, p in part], pa.list_(pa.string()))], ["length", "path"])
+    got = [r for b in graph._looked_at(iter([batch(rows[:2]), batch(rows[2:]).slice(0)])) for r in b.to_pylist()]
+    assert [r["n"] for r in got if r["from_key"] is None] == [3]
+    assert sorted(r["from_key"] for r in got if r["from_key"] and not r["to_key"]) == ["a", "h", "p", "u", "x"]
+    steps = [(r["from_key"], r["to_key"]) for r in got if r["to_key"]]
+    assert len(steps) == len(set(steps)) and set(steps) == {s for _, p in rows for s in zip(p, p[1:])}
+
+
+def test_cycle_check_reads_the_edges_once(spark, tmp_path, monkeypatch):
+    """The cycles' paths are looked at where they arise: none is written beside the edges."""
+    from edgewright.plans import graph_queries as Q
+
+    rows = [(a, b, "Calls") for a, b in tangle(random.Random(2), 60, 150)]
+    spark.createDataFrame(rows, "from_key string, to_key string, edge_type string").write.parquet(str(tmp_path / "edges.parquet"))
+    monkeypatch.setattr(Q.graph, "cycles", lambda *a: pytest.fail("the paths were written"))
+    e = spark.createDataFrame(rows, "from_key string, to_key string, edge_type string")
+    part, loops = as_dict(graph.components(e), "component"), {a for a, b, _ in rows if a == b}
+    sizes = [c for c in set(part.values()) if sum(x == c for x in part.values()) > 1 or c in loops]
+    assert tuple(Q.cycle_check(spark, str(tmp_path)).first()) == (len(sizes), 0, 0, 0)
