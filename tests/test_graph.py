@@ -302,6 +302,13 @@ def test_tasks_share_the_cycles_of_a_component(monkeypatch):
     assert sum(map(len, whole)) == one["n"]
 
 
+def test_communities_of_larger_graphs(edges_of, monkeypatch):
+    e = edges_of(" ".join(f"{a}>{b}" for a, b in tangle(random.Random(11), 50, 120)))
+    want = as_dict(C.communities(e, kernel=True), "community")
+    no_joins(monkeypatch, (C, "_moving_joins"))
+    assert len(set(want.values())) > 3 and as_dict(C.communities(e), "community") == want
+
+
 def test_cycle_inspection():
     """In one pass: each step once, the first keys, and what is no simple closed path."""
     import pyarrow as pa
