@@ -333,3 +333,12 @@ def test_cycle_check_reads_the_edges_once(spark, tmp_path, monkeypatch):
     part, loops = as_dict(graph.components(e), "component"), {a for a, b, _ in rows if a == b}
     sizes = [c for c in set(part.values()) if sum(x == c for x in part.values()) > 1 or c in loops]
     assert tuple(Q.cycle_check(spark, str(tmp_path)).first()) == (len(sizes), 0, 0, 0)
+
+
+def test_betweenness_of_larger_graphs(edges_of, monkeypatch):
+    """Beyond the kernels with keys the sources are still shared by tasks that hold the graph, not taken in batches of joins."""
+    rows = tangle(random.Random(13), 40, 90)
+    want = brute_betweenness(rows)
+    no_joins(monkeypatch, (graph, "_betweenness_joins"))
+    got = as_dict(graph.betweenness(edges_of(" ".join(f"{a}>{b}" for a, b in rows))), "score")
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
