@@ -342,3 +342,44 @@ def test_betweenness_of_larger_graphs(edges_of, monkeypatch):
     no_joins(monkeypatch, (graph, "_betweenness_joins"))
     got = as_dict(graph.betweenness(edges_of(" ".join(f"{a}>{b}" for a, b in rows))), "score")
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_cycles_by_hashes(edges_of, monkeypatch):
+    """Keys are not moved with the edges: the components come from hashes; deliveries may repeat, and large components are shared by tasks."""
+    rows = tangle(random.Random(21), 60, 150)
+    e = edges_of(" ".join(f"{a}>{b}" for a, b in rows + rows[:40]) + " x>y y>z z>x é>é")
+    want = sorted((r.length, r.path) for r in graph.cycles(e, kernel=True).collect())
+    monkeypatch.setattr(graph, "inner_edges", lambda *a: pytest.fail("the keys were moved"))
+    assert len(want) > 20 and sorted((r.length, r.path) for r in graph.cycles(e).collect()) == want
+    monkeypatch.setattr(graph, "KEYS_PER_TASK", 40)
+    monkeypatch.setattr(graph, "BUNDLE_EDGES", 2)
+    for most in (500_000, 0):
+        monkeypatch.setattr(graph, "BROADCAST_NODES", most)
+        assert sorted((r.length, r.path) for r in graph.cycles(e).collect()) == want
+    # components beyond the kernels with keys are searched in key order too
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 2)
+    assert sorted((r.length, r.path) for r in graph.cycles(e).collect()) == want
+
+
+def test_cycles_where_hashes_meet(edges_of, monkeypatch):
+    """Keys of one hash: found out where one is on a cycle, without harm where none is, and the cycles are those of the keys."""
+    text = "a>b b>a bb>cc cc>c c>dd ddd>e"
+    want = [(2, ["a", "b", "a"])]
+    inner, called = graph.inner_edges, []
+    monkeypatch.setattr(graph, "inner_edges", lambda *a: called.append(a) or inner(*a))
+    for hash_, falls_back in ((lambda k: graph.F.length(k).cast("long"), True), (lambda k: graph.F.ascii(graph.F.col(k)).cast("long"), True), (lambda k: graph.F.when(graph.F.col(k).isin("cc", "ddd"), 7).otherwise(graph.F.xxhash64(k)), False)):
+        monkeypatch.setattr(graph, "_hash", hash_)
+        called.clear()
+        assert [(r.length, r.path) for r in graph.cycles(edges_of(text)).collect()] == want
+        assert bool(called) == falls_back
+
+
+def test_paths_of_cycles_share_a_dictionary(spark, edges_of, tmp_path):
+    """A result of paths names each key once a row group, not once a path."""
+    import pyarrow.parquet as pq
+
+    keys = [f"{i:04d}" + "key" * 500 for i in range(1000)]
+    e = edges_of(" ".join([f"{a}>{b}" for a, b in zip(keys, keys[1:])] + [f"{keys[-1]}>{k}" for k in keys[:40]]))
+    graph.cycles(e).coalesce(1).write.parquet(str(tmp_path / "out"))
+    column = next(c for f in (tmp_path / "out").glob("*.parquet") for m in [pq.ParquetFile(f).metadata] if m.num_rows for c in [m.row_group(0).column(1)])
+    assert column.total_uncompressed_size < 4_000_000  # 40 paths of a thousand keys are 60 MB, the keys 1.5 MB
